@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+from . import chat, line_dedup, url_filter
 from .decontaminate import op1_benchmark_decontamination
 from .packing import op3_sum_of_squares_packing
 from .token_files import op2_simple8b_token_files
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_simple8b_token_files, op3_sum_of_squares_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination,
+        op2_simple8b_token_files,
+        op3_sum_of_squares_packing,
+        line_dedup.op4_line_dedup,
+        url_filter.op8_url_bloom_cascade,
+        chat.op10_chat_formatting,
+    )
+}
+ORACLE_SQL = {
+    "op4_line_dedup": line_dedup.SQL,
+    "op8_url_bloom_cascade": url_filter.SQL,
+    "op10_chat_formatting": chat.SQL,
+}
