@@ -15,8 +15,9 @@ DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 MAX_PIECES = 2_000_000
 #: Bytes of text encoded at once.
 SLICE_BYTES = 8 << 20
-#: Texts in which a blank meets other white space or an end, or that hold rarer white space or NUL.
-_UNSAFE = r"  | \n|\n |\A | \z|[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Texts in which a blank meets other white space or an end, with long runs of newlines or two at the end, or that
+#: hold rarer white space or the marks below.
+_UNSAFE = r"  | \n|\n |\A | \z|\n\n\n|\n\n\z|[\x00\x01\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -29,8 +30,8 @@ class Encoder:
     """Ids equal to those of tokenizers' encode(text, add_special_tokens=False).
 
     The vocabulary's pre-tokenizer never joins what stands on both sides of a single blank between two
-    characters that aren't white space; the blank goes with what follows. So such texts are split at
-    blanks, and each distinct piece goes through the library once. All other texts, and texts that hold
+    characters that aren't white space; the blank goes with what follows. A newline there, or each of two, stands
+    alone. So such texts are split at blanks and newlines, and each distinct piece goes through the library once. All other texts, and texts that hold
     a special token's string or over 1 MB, go through the library whole.
     """
 
@@ -60,10 +61,10 @@ class Encoder:
             known.clear()
             self.used = 0
         new = [p for p in distinct if p not in known]
-        # NUL marks a text's first piece, which has no blank before it.
+        # NUL marks a piece that has no blank before it: a text's or a line's first. \1 is a newline.
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            flat, n = self._library([p[1:] if p[:1] == "\0" else " " + p for p in part])
+            flat, n = self._library([p[1:] if p[0] == "\0" else "\n" if p == "\1" else " " + p for p in part])
             if self.used + len(flat) > len(self.store):
                 self.store = np.concatenate([self.store[: self.used], np.zeros(self.used // 2 + 2 * len(flat), np.uint32)])
             self.store[self.used : self.used + len(flat)] = flat
@@ -84,7 +85,7 @@ class Encoder:
             apart = dict(zip(apart, self.library([texts[i].as_py() for i in apart]), strict=True))
             texts = pc.if_else(pa.array(whole), "", texts)
         marked = pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), texts, pa.scalar("", pa.large_string()))
-        lists = pc.split_pattern(marked, " ")
+        lists = pc.split_pattern(pc.replace_substring(marked, "\n", " \1 \0"), " ")
         coded = lists.values.dictionary_encode()
         index = coded.indices.to_numpy()
         places = self._places(coded.dictionary.to_pylist())
