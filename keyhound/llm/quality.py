@@ -83,7 +83,7 @@ class Vectors:
 
     def look(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The places of the tokens' words and shapes; what isn't known is the last place."""
-        if len(self.cache) > 300_000:
+        if len(self.cache) > 150_000:
             self.cache.clear()
         cache, none = self.cache, len(self.ids)
         for t in set(tokens):

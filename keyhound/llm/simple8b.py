@@ -45,6 +45,8 @@ def _choices(values: np.ndarray, limit: np.ndarray) -> np.ndarray:
             most[: n - step] = np.maximum(most[: n - step], most[step:])
             span += step
         fits = (most <= width) & (limit >= count)
+        if not fits.any():
+            break  # more and narrower values fit nowhere either
         selector[fits] = k
     return selector
 
