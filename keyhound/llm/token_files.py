@@ -38,6 +38,8 @@ from .tokens import encoder, slices, vocabulary_path
 END_ID = 0
 #: Ids in a segment, more only where one document alone has more.
 SEGMENT_IDS = 1 << 19
+#: Pieces that an encoding worker keeps; nothing else runs in it that needs the memory.
+MAX_PIECES = 4_000_000
 SCHEMA = (
     "part int, segment int, first_doc bigint, doc_ids array<bigint>, n_tokens array<int>, n_ids bigint, "
     "ids_before bigint, block_offsets binary, words binary"
@@ -65,7 +67,7 @@ def segments(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_I
         part, segment, before, open_docs, open_ids, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
         for b in batches:
             for piece in slices(b):
-                ids, bounds = encoder(path).encode(piece.column("text"))
+                ids, bounds = encoder(path, MAX_PIECES).encode(piece.column("text"))
                 for k, doc_id in enumerate(piece.column("doc_id").to_pylist()):
                     own = np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id))
                     if open_docs and size + len(own) > segment_ids:
