@@ -1,7 +1,7 @@
 """URL filters by Bloom filter cascades over the corpus's own keys.
 
 A rule is (host, path, verdict). It fits a url whose host is the rule's host or a subdomain of it and whose path
-starts with the rule's path; of several, the longest wins. A url's keys are all pairs of a host suffix (at dots)
+starts with the rule's path; of several, the longest wins, and of two as long the one of the longer host. A url's keys are all pairs of a host suffix (at dots)
 with a path prefix of a length that some rule has. For each verdict one cascade is built: level 0 is a Bloom filter
 of the rules' keys, level 1 of those other keys of the corpus that level 0 lets through, level 2 of the rules' keys
 that level 1 lets through, and so on until nothing is let through. Membership of any key of the corpus is exact, and
@@ -189,7 +189,7 @@ def _joined(picked: DataFrame, rules: list, default: str) -> DataFrame:
     listed = spark.createDataFrame([(h + p, v) for h, p, v in rules], "key string, verdict string").groupBy("key").agg(F.max("verdict").alias("verdict"))
     numbered = picked.withColumn("row", F.struct("page_id", "url"))
     found = numbered.select("page_id", "url").mapInArrow(go, schema).join(listed, "key", "left")
-    best = F.max_by(F.struct("key", "verdict"), F.when(F.col("verdict").isNotNull(), F.char_length("key")))
+    best = F.max_by(F.struct("key", "verdict"), F.when(F.col("verdict").isNotNull(), F.struct(F.char_length("key"), F.char_length(F.substring_index("key", "/", 1)))))
     out = found.groupBy("page_id", "host", "path").agg(best.alias("best"))
     return out.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 

@@ -1,0 +1,389 @@
+"""Each operator against brute force, a round trip or planted cases, and its defined cases."""
+
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from keyhound.llm import chat, components, decontaminate, imatch, line_dedup, packing, quality, simhash, simple8b, token_files, tokens, url_filter, wrappers
+
+DOCS = "doc_id bigint, text string"
+
+
+def docs(spark, *texts, schema=DOCS):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], schema)
+
+
+def words(rng, n, of=2000):
+    return " ".join(f"w{i}" for i in rng.integers(0, of, n))
+
+
+# -- 1: decontamination
+
+
+def brute_hits(text, items, window=10):
+    split = lambda t: decontaminate.words((t or "").encode())
+    w, hit, found = split(text), set(), set()
+    for item, t in items:
+        x = split(t)
+        for i in range(max(1, len(x) - window + 1) if x else 0):
+            k = x[i : i + window]
+            for j in range(len(w) - len(k) + 1):
+                if w[j : j + len(k)] == k:
+                    hit |= set(range(j, j + len(k)))
+                    found.add(str(item))
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("max_chars", [10**9, 120])
+def test_decontamination_equals_brute_force(spark, max_chars):
+    rng = np.random.default_rng(0)
+    items = [(1, words(rng, 14, 50)), (2, "Short One!"), (3, ""), (4, None), (10, words(rng, 12, 50) + " É ü"), (2, "again, other")]
+    w = items[0][1].split()
+    texts = [None, "", "nothing", "x, SHORT-one y", " ".join(w[:10]) + ". tail", " ".join(w[1:9]), "a " + "  ".join(w) + " b " + items[4][1].upper().replace("É", "é"), items[4][1] + " short one", "shorten ones", "again other again other"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    d = docs(spark, *texts).withColumn("decontam", F.lit("mine")).withColumn("mark", F.lit(1))
+    got = {r.doc_id: r.found for r in decontaminate.scan(d.drop("decontam"), bench, max_chars=max_chars).withColumn("found", F.col("decontam")).collect()}
+    for i, t in enumerate(texts):
+        n, hit, found = brute_hits(t, items)
+        assert (got[i].n_words, sum(b - a for a, b in zip(got[i].hit_from, got[i].hit_to)), got[i]["items"]) == (n, hit, found), t
+    kept = decontaminate.decontaminate(d, bench, max_chars=max_chars)
+    assert kept.columns == d.columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, t in enumerate(texts) if not brute_hits(t, items)[1]}
+    assert decontaminate.decontaminate(d.limit(0), bench).count() == 0
+    assert decontaminate.decontaminate(d, bench.limit(0)).count() == len(texts)
+
+
+def test_spans_are_code_points_of_the_original():
+    assert decontaminate.spans("É, ab  Cd.", [(1, 3)]) == [(3, 9)]
+
+
+# -- 2: token files
+
+
+@pytest.mark.parametrize("values", [[], [0], [2**64 - 1] * 3, [2**60 - 1, 2**60, 1], [0] * 3000, list(range(5000)), [(7 * i) % 50257 for i in range(3000)], [2 ** (i % 63) for i in range(2000)]])
+def test_simple8b_round_trip_and_blocks(values):
+    v = np.array(values, dtype=np.uint64)
+    w, o = simple8b.encode(v)
+    assert (simple8b.decode(w, len(v)) == v).all()
+    for k in range(len(o)):
+        assert (simple8b.decode_block(w, o, len(v), k) == v[k * simple8b.BLOCK : (k + 1) * simple8b.BLOCK]).all()
+
+
+ODD = ["a  b", " a b", "a b ", "a\n b", "", None, "it's  ok 12", "<|endoftext|> a", "\x1c a b", "é  b", "x\ny", "x\n\ny", "x\n\n\ny", "x\n\n", "\n", "don't. dogs' x_. foo_! (a) b), .. é. 3.)", "日本語 テスト。 ok", "\0 a", "a\u00a0b c"]
+
+
+def test_encoder_equals_the_library():
+    import pyarrow as pa
+
+    for limit in (1000, 2):
+        e = tokens.Encoder(tokens.vocabulary_path(), limit)
+        for _ in range(2):
+            ids, at = e.encode(pa.array(ODD))
+            want = e.library([t or "" for t in ODD])
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [w.tolist() for w in want]
+
+
+def test_token_files_hold_all_documents_in_order(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    texts = [*ODD, *(words(rng, n) for n in (3, 700, 4000))]
+    d = spark.createDataFrame([(i * 3 % 1000, t, "x") for i, t in enumerate(texts)], DOCS + ", part string")
+    token_files.write(d, str(tmp_path / "t"), segment_ids=500, parts=3)
+    got = {r.doc_id: r for r in token_files.documents(spark, str(tmp_path / "t")).collect()}
+    lib, start = tokens.Encoder(tokens.vocabulary_path()), 0
+    for doc_id, t in sorted((i * 3 % 1000, t) for i, t in enumerate(texts)):
+        ids = np.append(lib.library([t or ""])[0], 0).astype("<u4")
+        r = got[doc_id]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    token_files.write(d.limit(0), str(tmp_path / "e"))
+    assert token_files.documents(spark, str(tmp_path / "e")).count() == 0
+
+
+# -- 3: packing
+
+
+def check_packing(rows, ids_of, length):
+    by_doc, by_seq = {}, {}
+    for r in rows:
+        by_doc.setdefault(r[0], []).append(r)
+        by_seq.setdefault(r[5], []).append(r)
+    for doc_id, ids in ids_of.items():
+        at = 0
+        for _, start, n, crc, total, *_ in sorted(by_doc[doc_id], key=lambda r: r[1]):
+            assert start == at and total == len(ids) and crc == zlib.crc32(ids[start : start + n].tobytes())
+            at += n
+        assert at == len(ids)
+    padding = 0
+    for own in by_seq.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r[6]):
+            assert r[6] == at
+            at += r[2]
+        assert at <= length
+        padding += 0 if at & (at - 1) == 0 else length - at
+    return padding
+
+
+@pytest.mark.parametrize("max_open", [4096, 3])
+def test_packing_places_every_id_once_without_padding(max_open):
+    rng = np.random.default_rng(2)
+    p, ids_of = packing.Packer(64, max_open), {}
+    for i, n in enumerate([1, 64, 65, 128, 63, 1, *rng.integers(1, 200, 300)]):
+        ids_of[i] = rng.integers(0, 50000, n).astype("<u4")
+        p.add(i, ids_of[i])
+    p.drain()
+    assert check_packing(p.take(), ids_of, 64) == 0
+
+
+def test_an_item_goes_where_the_sum_of_squares_is_least():
+    rng = np.random.default_rng(3)
+    p = packing.Packer(16)
+    for _ in range(200):
+        size = int(rng.integers(1, 16))
+        level = p.level(size)
+
+        def cost(h):
+            n = p.counts.copy()
+            if h:
+                n[h] -= 1
+            if h + size < 16:
+                n[h + size] += 1
+            return (n[1:] ** 2).sum()
+
+        open_ = [0] + [h for h in range(1, 17 - size) if p.counts[h]]
+        assert level in open_ and cost(level) == min(map(cost, open_))
+        p.add(0, np.zeros(size, np.uint32))
+
+
+def test_packing_a_table(spark):
+    d = docs(spark, *ODD, "x " * 5000)
+    lib = tokens.Encoder(tokens.vocabulary_path())
+    ids = {i: np.append(lib.library([t or ""])[0], 1).astype("<u4") for i, t in enumerate([*ODD, "x " * 5000])}
+    assert check_packing([tuple(r) for r in packing.pack(d).collect()], ids, 2048) == 0
+    assert packing.pack(d.limit(0)).count() == 0
+
+
+# -- 4: line dedup
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    pool = [f"A line of some length {i}" for i in range(6)] + ["short", "", "Ünïcode LINE with enough letters É", " \t padded line with blanks here \x0b\r"]
+    rows = [(i, "\n".join(pool[k] if rng.random() < 0.7 else f"unique line number {i} {k} {rng.random()}" for k in rng.integers(0, len(pool), 5))) for i in range(25)]
+    rows += [(25, None), (26, ""), (None, pool[0]), (3, pool[1]), (27, "É line of some LENGTH but other\n" * 3), (28, "é line of some length but other"), (29, "É line of some length but other")]
+    d = spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS + ", lost_id string, kept_lines int")
+
+    def key(line):
+        k = line.strip(" \t\n\x0b\x0c\r")
+        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in k)
+
+    holders = {}
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if i is not None and len(key(line)) >= 20:
+                holders.setdefault(key(line), set()).add(i)
+    want = []
+    for i, t in rows:
+        kept = [x for x in (t or "").split("\n") if not (i is not None and len(holders.get(key(x), ())) >= 3 and max(holders[key(x)]) != i)]
+        want.append((i, "\n".join(kept) if t is not None else None))
+    out = line_dedup.dedup_lines(d)
+    assert out.columns == d.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(repr, want))
+    assert line_dedup.dedup_lines(d.limit(0)).count() == 0
+
+
+# -- 5: quality
+
+
+def test_quality_learns_and_stays_calibrated(spark):
+    rng = np.random.default_rng(5)
+    good = lambda: " ".join(f"{a}{b}" for a, b in zip(rng.choice(["the", "of", "re"], 80), rng.choice(["", "ing", "ed."], 80)))
+    rows = [(i, good() if i % 3 else good().upper().replace(" ", "!! ")) for i in range(400)] + [(400, None), (401, "")]
+    d = spark.createDataFrame([(*r, 1.5) for r in rows], DOCS + ", score double")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(400)] + [(401, None)], "doc_id long, quality int")
+    model = quality.train(d, labels)
+    out = quality.scored(d, model)
+    assert out.columns == ["doc_id", "text", "score", "score_"]
+    s = {r[0]: r[3] for r in out.collect()}
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(s[i] >= 0.3) == (i % 3 > 0) for i in held]) > 0.97
+    assert all(0 <= x <= 1 for x in s.values())
+    kept = quality.keep_quality(d, labels)
+    assert kept.columns == d.columns and 250 < kept.count() < 280
+    assert quality.train(d, labels.limit(0)).score(["x", None]).tolist() == [0.5, 0.5]
+
+
+# -- 6: wrappers
+
+
+PAGE = '<html><head><title>T</title></head><body><nav><ul><li><a href="/{0}">m{0}</a></li></ul></nav><div class="ad">buy {0}</div>{1}<div id="comments"><p>nice {0} post indeed</p></div><footer>&copy; {0}</footer></body></html>'
+
+
+def test_main_text_of_two_hosts(spark):
+    a = "<article><h1>Head {0}</h1><p>One &amp; two<br>three {0}<p>Four\n  five.</p>{2}</article>"
+    b = '<div class="wrap"><div class="content"><p>Alpha beta gamma delta {0} epsilon zeta eta.</p><p>Theta iota kappa lambda mu nu.</p></div><div class="sidebar">see also {0}</div></div>'
+    rows = [(i, "http://a.example/x", PAGE.format(i, a.format(i, 0, "<ul><li>six<li>seven</ul>" if i % 2 else ""))) for i in range(6)]
+    rows += [(10 + i, "http://B.example", PAGE.format(i, b.format(i))) for i in range(3)] + [(20, None, None), (21, "x", "bare text &lt;b&gt;"), (22, "http://a.example", "")]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id bigint, url string, html string, wrapper int")
+    for limit in (wrappers.MAX_BROADCAST, 0):
+        got = {r.page_id: r.text for r in wrappers.extract(pages, limit).collect()}
+        assert got[0] == "Head 0 One & two three 0 Four five." and got[1] == "Head 1 One & two three 1 Four five. six seven"
+        assert got[10] == "Alpha beta gamma delta 0 epsilon zeta eta. Theta iota kappa lambda mu nu."
+        assert (got[20], got[21], got[22]) == ("", "bare text <b>", "")
+    assert wrappers.extract(pages.limit(0)).count() == 0
+
+
+def test_alignment_marks_optional_and_repeated_groups():
+    one, two = (wrappers.wrap(wrappers.parse(x)) for x in ("<div><p>a</p><p>b</p></div>", "<div><h1>t</h1><p>c</p></div>"))
+    assert wrappers.expression(wrappers.align(one, two)) == "<div>(<h1>#TEXT </>)? (<p>#TEXT </>)+</>"
+
+
+# -- 7: SimHash
+
+
+def test_fingerprints_are_majorities():
+    text = "A b\tc  d e É f"
+    w = "a b c d e É f".split()
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(4)]
+    assert simhash.fingerprint(text.encode()) == [sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > 4)]
+    assert simhash.fingerprint(b"  ") == [0]
+    assert simhash.fingerprint(b"One two") == [xxhash.xxh64_intdigest(b"one two", 42)]
+
+
+def near_rows(rng):
+    f = [int(x) for x in rng.integers(0, 2**63, 60)]
+    for x in list(f[:20]):
+        for _ in range(4):
+            y = x
+            for b in rng.choice(64, rng.integers(0, 6), replace=False):
+                y ^= 1 << int(b)
+            f.append(y)
+            x = y if rng.random() < 0.5 else x
+    return f
+
+
+@pytest.mark.parametrize("max_bucket", [1 << 16, 6])
+def test_links_and_components_lose_nothing(spark, max_bucket):
+    f = near_rows(np.random.default_rng(6))
+    n = len(f)
+    label = list(range(n))
+    for _ in range(n):
+        before = list(label)
+        for i in range(n):
+            for j in range(n):
+                if bin(f[i] ^ f[j]).count("1") <= 4:
+                    label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    first = {}
+    for i, x in enumerate(f):
+        first.setdefault(x, i)
+    rows = [(i, int(np.uint64(x).astype(np.int64))) for x, i in first.items()]
+    nodes = spark.createDataFrame(rows, "rep bigint, f0 bigint")
+    joined = components.components(simhash.links(nodes, 1, 4, max_bucket=max_bucket))
+    got = {r.node: r.component for r in joined.collect()}
+    assert {i: got.get(i, i) for i in first.values()} == {i: label[i] for i in first.values()}
+
+
+def test_near_duplicates_and_defined_cases(spark):
+    rng = np.random.default_rng(7)
+    base = [words(rng, 300) for _ in range(12)]
+    edit = lambda t, k: " ".join("zz" if i % k == k - 1 else w for i, w in enumerate(t.split()))
+    rows = list(enumerate([*base, base[0], edit(base[1], 150), edit(base[2], 100), None, "", words(rng, 3)])) + [(None, base[3]), (3, base[3])]
+    d = spark.createDataFrame([(*r, "x") for r in rows], DOCS + ", component_id string")
+    kept = simhash.drop_near_duplicates(d)
+    assert kept.columns == d.columns
+    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
+    assert ids == [0, 1, 2, 3, 3, *range(4, 12), 15, 17]
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(d).collect()}
+    assert found[12] == 0 and found[16] == 15 and found[None] is None
+    assert simhash.near_duplicates(d.limit(0)).count() == 0
+
+
+def test_long_chains_are_one_component(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)], "u bigint, v bigint")
+    got = {r.node: r.component for r in components.components(edges).collect()}
+    assert all(got[i] == 0 for i in range(301)) and got[1001] == 1000 and len(got) == 303
+
+
+# -- 8: URL filters
+
+
+def test_url_rules_against_brute_force(spark):
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("a.example.net", "/e", "block"), ("org", "", "allow"), ("org", "/x", "block")]
+    urls = [None, "", "no scheme", "http://", "http://NET/", "http://net", "https://a.b.net/q?x", "http://example.net/en/1", "http://a.example.net/en/1", "http://xexample.net/en/1", "http://z.org#a", "http://z.org/x/y", "ftp://o.com/a?b://c", "http://Ä.NET/é", "http://u@h.net:80/"]
+    pages = spark.createDataFrame([(i, u, "v") for i, u in enumerate([*urls, *urls])], "page_id bigint, url string, verdict string")
+
+    def brute(u):
+        host, path = url_filter.split_url(u)
+        fits = [(h + p, v, h) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, v, _ = max(fits, key=lambda x: (len(x[0]), len(x[2])), default=(None, "allow", ""))
+        return host, path, rule, v
+
+    for limit in (100, 0):
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, rules, max_rules=limit).collect()}
+        assert got == {i: brute(u) for i, u in enumerate([*urls, *urls])}
+    assert url_filter.judge(pages.limit(0)).count() == 0
+
+
+def test_a_cascade_is_exact_over_its_universe():
+    listed, others = {f"k{i}" for i in range(300)}, {f"o{i}" for i in range(20000)}
+    first = url_filter.Bloom(len(listed), 0.05, 0)
+    for k in listed:
+        first.add(k)
+    c = url_filter.Cascade.deepen(first, listed, {k for k in others if k in first})
+    assert len(c.levels) > 2 and all(k in c for k in listed) and not any(k in c for k in others)
+
+
+# -- 9: I-Match
+
+
+def test_imatch_edits_and_likeness(spark):
+    rng = np.random.default_rng(8)
+    texts = [words(rng, 200, 5000) for _ in range(60)] + [None, "", "é", "one"]
+    d = spark.createDataFrame([(i * 7 % 100, t, 1) for i, t in enumerate(texts)], DOCS + ", fingerprint int")
+    got = {r.doc_id: r for r in imatch.fingerprints(d).collect()}
+    order = sorted((i * 7 % 100, t or "") for i, t in enumerate(texts))
+    for (doc_id, t), (_, after) in zip(order, [*order[1:], order[0]]):
+        n = len(t) // 4
+        assert got[doc_id].edited_sha256 == hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()
+        assert got[doc_id].n_chars == len(t)
+    long_ = [r for r in got.values() if r.n_chars > 100]
+    assert np.mean([r.near_edited for r in long_]) > 0.3 > 0.05 > np.mean([r.near_next for r in long_])
+    assert imatch.fingerprints(d.limit(0)).count() == 0
+    one = imatch.fingerprints(d.limit(1)).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_frequencies_count_documents(spark):
+    counts, n = imatch.frequencies(docs(spark, "a b a", "b", None, "B!"))
+    at = lambda w: counts[imatch.terms(w)[0] & np.uint64(imatch.COUNTERS - 1)]
+    assert (n, at(b"a"), at(b"b"), counts.sum()) == (4, 1, 3, 4)
+
+
+# -- 10: chat
+
+
+def test_chat_round_trip_mask_and_parts(spark):
+    rows = [(1, 0, "user", "a <turn role=\"x\">&lt; </turn>\n\\"), (1, 1, "assistant", "é</turn>\n&amp;"), (1, 2, "assistant", None), (1, 2, None, "tie"), (None, 0, 'r">\n', "x"), (2, None, "assistant", "")]
+    t = spark.createDataFrame([(*r, 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, formatted int")
+    out = chat.format_chat(t).withColumn("turns", chat.parse(F.col("formatted"))).withColumn("said", chat.learnt(F.col("formatted"), F.col("loss")))
+    got = {r.conv_id: r for r in out.collect()}
+    assert [(x.role, x.text) for x in got[1].turns] == [("user", rows[0][3]), ("assistant", rows[1][3]), ("", "tie"), ("assistant", "")]
+    assert got[1].said == rows[1][3] and got[2].said == "" and got[None].turns[0].role == 'r">\n'
+    assert chat.format_chat(t.limit(0)).count() == 0
+
+
+def test_parts_become_placeholders(spark):
+    kind = "array<struct<kind:string,text:string,ref:string,units:int>>"
+    t = spark.createDataFrame(
+        [(1, 0, "user", None, [("text", "see <b>", None, None), ("image", None, "i.png", 2), ("image", None, "j.png", None)]), (1, 1, "user", None, [("audio", None, "k.wav", 10), ("odd", None, "o", 1), (None, "end", None, None)]), (1, 2, "user", None, None)],
+        f"conv_id bigint, turn bigint, role string, text string, parts {kind}",
+    )
+    r = chat.format_chat(t, "parts").first()
+    assert r.formatted == '<turn role="user">see &lt;b><image 0><image 1></turn>\n<turn role="user"><audio 2><odd 3>end</turn>\n<turn role="user"></turn>\n'
+    assert [(a["index"], a.kind, a.ref, a.tokens) for a in r.attachments] == [(0, "image", "i.png", 512), (1, "image", "j.png", 256), (2, "audio", "k.wav", 250), (3, "odd", "o", 0)]

@@ -1,0 +1,35 @@
+"""The queries on small tables against their SQL, and the pipeline against its parts."""
+
+import os
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from keyhound.llm import queries
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_rows_equal_sql(spark, name):
+    c = duckdb.connect()
+    for f in os.listdir(DATA):
+        c.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DATA}/{f}'")
+    df = queries.QUERIES[name](spark, DATA)
+    cols = sorted(df.columns)
+    want = c.execute(f"SELECT {', '.join(cols)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(repr, (tuple(r) for r in df.select(*cols).collect()))) == sorted(map(repr, want))
+
+
+def test_pipeline_stages_keep_the_columns_of_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    before = docs.count()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        docs = out
+    assert 0 < docs.count() <= before
+    ids = {r.doc_id for r in docs.select("doc_id").collect()}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, DATA).select("doc_id").collect()} == ids
