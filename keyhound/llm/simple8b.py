@@ -13,7 +13,7 @@ import numpy as np
 #: Fixed values of the format: values in a word and bits of each, for selectors 1 to 14.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 0
-BLOCK = 1024
+BLOCK = 256
 _COUNTS = np.array([1] + [n for n, _ in SELECTORS], dtype=np.int64)
 _WIDTHS = np.array([64] + [w for _, w in SELECTORS], dtype=np.int64)
 

@@ -8,7 +8,7 @@ Spark's committer) whose rows are segments: some consecutive documents of one pa
     doc_ids array<bigint>, n_tokens array<int>   its documents and their numbers of ids
     n_ids bigint              their sum
     ids_before bigint         the ids of the part's segments before it
-    block_offsets binary      little-endian uint32: the first word of each block of 1024 ids
+    block_offsets binary      little-endian uint32: the first word of each block of 256 ids
     words binary              little-endian uint64 Simple-8b words
 
 Documents are range-partitioned once by (doc_id, hash of the text) and encoded where they are sorted; the texts
@@ -39,7 +39,7 @@ END_ID = 0
 #: Ids in a segment, more only where one document alone has more.
 SEGMENT_IDS = 1 << 19
 #: Pieces that an encoding worker keeps; nothing else runs in it that needs the memory.
-MAX_PIECES = 4_000_000
+MAX_PIECES = 1_800_000
 SCHEMA = (
     "part int, segment int, first_doc bigint, doc_ids array<bigint>, n_tokens array<int>, n_ids bigint, "
     "ids_before bigint, block_offsets binary, words binary"
