@@ -11,8 +11,22 @@ POSIX = {
     "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
 }
 SPACE = r"\t\n\f\r "
-_BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
-_NO_BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<![0-9A-Za-z_])(?![0-9A-Za-z_]))"
+#: Case apart: ignoring it, Java would count the Kelvin sign and long s as letters of ASCII.
+_BOUNDARY = r"(?-i:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+_NO_BOUNDARY = r"(?-i:(?<=[0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<![0-9A-Za-z_])(?![0-9A-Za-z_]))"
+_RANGES = r"\[(?:[0-9]-[0-9]|[a-z]-[a-z]|[A-Z]-[A-Z]|[0-9A-Za-z_])+\]"
+_STARTS = re.compile(rf"(?:\((?:\?:|\?P?<\w+>)?)*(?:\\[wd]|{_RANGES}|[0-9A-Za-z_])(?![*?]|\{{0)")
+_ENDS = re.compile(rf"(?:\\[wd]|{_RANGES}|(?<!\\)[0-9A-Za-z_])(?:\+|\{{[1-9]\d*(?:,\d*)?\}})?\)*\Z")
+
+
+def _boundary(pattern: str, i: int) -> str:
+    """A word boundary at i. Where a word character must follow, or stand before, one look to the other side is enough."""
+    if not re.search(r"\(\?[A-Za-z]*i", pattern):
+        if "|" not in pattern[i:] and _STARTS.match(pattern, i + 2):
+            return "(?<![0-9A-Za-z_])"
+        if "|" not in pattern[:i] and _ENDS.search(pattern[:i]):
+            return "(?![0-9A-Za-z_])"
+    return _BOUNDARY
 
 
 class PatternError(ValueError):
@@ -43,7 +57,7 @@ def translate(pattern: str) -> Translated:
                 out.append("".join(x if x.isalnum() else "\\" + x for x in literal))
                 i = n if end < 0 else end + 2
                 continue
-            out.append({"b": _BOUNDARY, "B": _NO_BOUNDARY, "s": f"[{SPACE}]", "S": f"[^{SPACE}]", "z": r"\z", "C": "(?s:.)"}.get(e, c + e))
+            out.append({"b": _boundary(pattern, i), "B": _NO_BOUNDARY, "s": f"[{SPACE}]", "S": f"[^{SPACE}]", "z": r"\z", "C": "(?s:.)"}.get(e, c + e))
             i += 2
         elif c == "[":
             text, i = _class(pattern, i)

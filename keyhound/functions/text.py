@@ -36,7 +36,8 @@ def report_entropy(s: Column) -> Column:
 
 def fold(s: Column) -> Column:
     """Lower case for keyword search; the Kelvin sign and long s fold to ASCII."""
-    return F.lower(F.translate(s, "\u212a\u017f", "ks"))
+    rare = F.contains(s, F.lit("\u212a")) | F.contains(s, F.lit("\u017f"))
+    return F.lower(F.when(rare, F.translate(s, "\u212a\u017f", "ks")).otherwise(s))
 
 
 def contains_any(s: Column, terms: list[str]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyhound.functions import text as T
+from keyhound.plans.lineage import materialised
 from keyhound.plans.rules import Config
 
 MAX_SETS = 100
@@ -117,7 +118,8 @@ def scan(fragments: DataFrame, config: Config, depth: int = 0, redact: int = 0,
     found = findings(fragments, config, **options)
     if depth:
         found = found.unionByName(decoded_findings(fragments, config, depth, **options))
-    found = suppressed(composed(found, config))
+    # What follows joins findings to findings; the texts are scanned once, and findings are small beside them.
+    found = suppressed(composed(materialised(found), config))
     if ignored is not None:
         found = without_ignored(found, ignored)
     if baseline is not None:

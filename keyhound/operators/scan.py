@@ -51,7 +51,8 @@ def candidate(rule: Rule, folded: Column) -> Column:
 
 def keyword_candidates(df: DataFrame, config: Config) -> DataFrame:
     """fragment_id, rule_id for each rule that a fragment is a candidate of."""
-    folded = T.fold(F.col("raw"))
+    # A column of its own is computed once, not once for each rule.
+    df, folded = df.withColumn("folded", T.fold(F.col("raw"))), F.col("folded")
     hits = F.array_compact(F.array(*[F.when(candidate(r, folded), F.lit(r.id)) for r in config.rules.values()]))
     return df.select("fragment_id", F.explode(hits).alias("rule_id"))
 
@@ -77,9 +78,9 @@ def _named(rule_id: str):
 def raw_matches(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """df's rows by their matches: rule_id, match, cstart, bstart."""
     path = F.coalesce(F.try_element_at("attributes", F.lit("path")), F.lit(""))
-    parts = []
+    parts, folded = [], F.col("folded")
+    names, df = df.columns, df.withColumn("folded", T.fold(F.col("raw")))
     for i in range(0, len(rules), BATCH):
-        folded = T.fold(F.col("raw"))
         arrays = []
         for r in rules[i : i + BATCH]:
             when = candidate(r, folded)
@@ -95,7 +96,7 @@ def raw_matches(df: DataFrame, rules: list[Rule]) -> DataFrame:
             arrays.append(F.when(when, F.transform(found, _named(r.id))).otherwise(F.array().cast(MATCH)))
         parts.append(df.withColumn("m", F.explode(F.flatten(F.array(*arrays)))))
     out = reduce(DataFrame.unionByName, parts)
-    return out.select(*df.columns, *(F.col(f"m.{c}").alias(c) for c in ("rule_id", "match", "cstart", "bstart")))
+    return out.select(*names, *(F.col(f"m.{c}").alias(c) for c in ("rule_id", "match", "cstart", "bstart")))
 
 
 def trimmed(df: DataFrame) -> DataFrame:
