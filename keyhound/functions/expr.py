@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import secrets as S
 from . import text as T
 
 
@@ -272,8 +273,14 @@ def _path(value: Any, path: str, default: Any) -> Column:
     return F.coalesce(F.get_json_object(value, "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in parts)), _col(default))
 
 
+def _environment(scope: dict, name: str) -> Column:
+    """A variable that the caller allows, by the scope's `__environment__`; nothing else is read."""
+    return F.lit(scope.get("__environment__", {}).get(name)).cast("string")
+
+
 def _call(name: str, a: list, scope: dict) -> Any:
     alias = {"matchesAny": "filter.matchesAny", "containsAny": "filter.containsAny", "findMatch": "filter.findMatch", "entropy": "filter.entropy", "failsTokenEfficiency": "filter.failsTokenEfficiency",
+             "hmac_sha256": "crypto.hmacSha256", "hmac_sha1": "crypto.hmacSha1", "obfuscate": "strings.obfuscate", "env_get": "env.get",
              "url_query_escape": "strings.urlQueryEscape", "now_unix": "time.nowUnix", "unknown": "validate.unknown"}
     name = alias.get(name, name)
     if name in scope.get("__functions__", {}):
@@ -307,6 +314,12 @@ def _call(name: str, a: list, scope: dict) -> Any:
         "crypto.md5": lambda s: F.unhex(F.md5(_col(s))),
         "crypto.sha1": lambda s: F.unhex(F.sha1(_col(s))),
         "crypto.sha256": lambda s: F.unhex(F.sha2(_col(s), 256)),
+        "crypto.hmacSha1": lambda k, m: S.hmac_sha1(_col(k), _col(m)),
+        "crypto.hmacSha256": lambda k, m: S.hmac_sha256(_col(k), _col(m)),
+        "strings.obfuscate": lambda s: S.obfuscate(_col(s)),
+        "validate.unknown": lambda r: S.unknown(_col(_index(r, "status"))),
+        "env.get": lambda k: _environment(scope, _known(k)),
+        "env.getOrDefault": lambda k, d: F.coalesce(_environment(scope, _known(k)), _col(d)),
         "hex.encode": lambda s: F.lower(F.hex(_col(s))),
         "base64.encode": lambda s: F.base64(_col(s).cast("binary")),
         "base64.decode": lambda s: F.try_to_binary(_col(s), F.lit("base64")),
