@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyhound.functions import text as T
@@ -12,16 +12,23 @@ from keyhound.plans.lineage import materialised
 from keyhound.plans.rules import Config
 
 MAX_SETS = 100
+#: A component in sets; captures are sorted entries, since maps can't be compared.
+_CAPTURES = "array<struct<key:string,value:string>>"
+SETS = f"array<struct<components:array<struct<rule_id:string,start_line:int,end_line:int,start_column:int,end_column:int,match:string,secret:string,capture_groups:{_CAPTURES},specificity:int>>,validation_status:string,validation_reason:string>>"
 _COMPONENT = ("rule_id", "start_line", "end_line", "start_column", "end_column", "match", "secret", "capture_groups", "specificity")
 
 
+def _entries() -> Column:
+    return F.array_sort(F.map_entries("capture_groups")).cast(_CAPTURES).alias("capture_groups")
+
+
 def required_pairs(found: DataFrame, config: Config) -> DataFrame:
     """Primary findings with each component near enough: a band join within fragment and pass."""
-    needs = [(r.id, q.rule_id, q.within_lines, q.within_columns) for r in config.rules.values() for q in r.required]
+    needs = [(r.id, i, q.rule_id, q.within_lines, q.within_columns) for r in config.rules.values() for i, q in enumerate(r.required)]
     spark = found.sparkSession
-    wanted = spark.createDataFrame(needs, "primary_id string, required_id string, within_lines int, within_columns int")
+    wanted = spark.createDataFrame(needs, "primary_id string, place int, required_id string, within_lines int, within_columns int")
     p = found.join(F.broadcast(wanted), F.col("rule_id") == F.col("primary_id"))  # as many rows as the rules require
-    c = found.select(F.col("fragment_id").alias("f2"), F.col("pass").alias("p2"), F.col("rule_id").alias("r2"), F.struct(*_COMPONENT).alias("component"))
+    c = found.select(F.col("fragment_id").alias("f2"), F.col("pass").alias("p2"), F.col("rule_id").alias("r2"), F.struct(*[_entries() if c == "capture_groups" else c for c in _COMPONENT]).alias("component"))
     near = (F.col("within_lines").isNull() | (F.abs(F.col("start_line") - F.col("component.start_line")) <= F.col("within_lines"))) & (
         F.col("within_columns").isNull() | (F.abs(F.col("start_column") - F.col("component.start_column")) <= F.col("within_columns"))
     )
@@ -30,9 +37,9 @@ def required_pairs(found: DataFrame, config: Config) -> DataFrame:
 
 def required_sets(groups: Column) -> Column:
     """The product of arrays of components, of which no more than MAX_SETS are kept at any level."""
-    one = F.array(F.array().cast("array<struct<rule_id:string,start_line:int,end_line:int,start_column:int,end_column:int,match:string,secret:string,capture_groups:map<string,string>,specificity:int>>"))
+    one = F.from_json(F.lit('[{"components": []}]'), SETS)["components"]
     step = lambda acc, g: F.slice(F.flatten(F.transform(acc, lambda s: F.transform(g, lambda c: F.array_append(s, c)))), 1, MAX_SETS)
-    return F.transform(F.aggregate(groups, one, step), lambda s: F.struct(s.alias("components"), F.lit("").alias("validation_status"), F.lit("").alias("validation_reason")))
+    return F.transform(F.aggregate(groups, one, step), lambda s: F.struct(s.alias("components"), F.lit("").alias("validation_status"), F.lit("").alias("validation_reason"))).cast(SETS)
 
 
 def composed(found: DataFrame, config: Config) -> DataFrame:
@@ -40,13 +47,13 @@ def composed(found: DataFrame, config: Config) -> DataFrame:
     key = ["fragment_id", "pass", "rule_id", "start_line", "start_column", "end_line", "end_column", "secret"]
     primaries = {r.id: len({q.rule_id for q in r.required}) for r in config.rules.values() if r.required}
     if not primaries:
-        return found.where(~F.col("skip_report")).withColumn("required_sets", F.lit(None).cast("array<struct<components:array<string>>>"))
-    order = {q.rule_id: i for r in config.rules.values() for i, q in enumerate(r.required)}
-    place = F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))])
-    per_rule = required_pairs(found, config).groupBy(*key, "required_id").agg(F.array_sort(F.collect_set(F.struct(*[F.col(f"component.{c}").alias(c) for c in _COMPONENT if c != "capture_groups"]))).alias("cs"), F.min(place[F.col("required_id")]).alias("place"))
-    full = lambda c: F.struct(*[(c[n] if n != "capture_groups" else F.create_map().cast("map<string,string>")).alias(n) for n in _COMPONENT])
+        return found.where(~F.col("skip_report")).withColumn("required_sets", F.lit(None).cast(SETS))
+    # Sets hold the first MAX_SETS at most, so no rule needs more of its components; ranks are limited before the shuffle.
+    first = Window.partitionBy(*key, "required_id").orderBy("component")
+    pairs = required_pairs(found, config).select(*key, "required_id", "place", "component").withColumn("nth", F.dense_rank().over(first)).where(F.col("nth") <= MAX_SETS)
+    per_rule = pairs.groupBy(*key, "required_id").agg(F.array_sort(F.collect_set("component")).alias("cs"), F.min("place").alias("place"))
     sets = per_rule.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", "required_id", "cs"))).alias("g"))
-    sets = sets.select(*key, F.size("g").alias("n_required"), required_sets(F.transform("g", lambda g: F.transform(g["cs"], full))).alias("required_sets"))
+    sets = sets.select(*key, F.size("g").alias("n_required"), required_sets(F.transform("g", lambda g: g["cs"])).alias("required_sets"))
     need = F.coalesce(F.create_map(*[x for k, v in primaries.items() for x in (F.lit(k), F.lit(v))])[F.col("rule_id")], F.lit(0))
     out = found.where(~F.col("skip_report")).join(sets, key, "left")
     return out.where((need == 0) | (F.coalesce("n_required", F.lit(0)) == need)).drop("n_required")
@@ -62,7 +69,7 @@ def suppressed(found: DataFrame) -> DataFrame:
     same = (F.col("fragment_id") == F.col("f2")) & (F.col("start_line") == F.col("l2"))
     higher = same & (F.col("rule_id") != F.col("r2")) & F.contains("s2", F.col("secret")) & (F.col("p2") > F.col("specificity"))
     out = found.join(g, higher & (sha("attributes") == F.col("sha2")), "left_anti")
-    if "required_sets" in found.columns and "struct<rule_id" in found.schema["required_sets"].simpleString():
+    if "required_sets" in found.columns:
         sets = out.where(F.col("required_sets").isNotNull()).select("fragment_id", F.explode("required_sets").alias("s"))
         c = sets.select(F.col("fragment_id").alias("f2"), F.explode("s.components").alias("c"))
         c = c.select("f2", F.col("c.start_line").alias("l2"), F.col("c.rule_id").alias("r2"), F.col("c.secret").alias("s2"), F.col("c.specificity").alias("p2")).distinct()
@@ -96,13 +103,24 @@ def without_baseline(found: DataFrame, baseline: DataFrame, redacted: bool = Fal
 
 
 def redacted(found: DataFrame, percent: int = 100) -> DataFrame:
-    """Findings with the secret masked, in match and line and captures too."""
+    """Findings with the secret masked, in match, line, context and captures too, and in components of sets theirs."""
     if percent <= 0:
         return found
     hidden = T.mask(F.col("secret"), percent)
     swap = lambda c: F.when(F.col("secret") == "", c).otherwise(F.replace(c, F.col("secret"), hidden))
     out = found.withColumn("match", swap(F.col("match"))).withColumn("line", swap(F.col("line")))
     out = out.withColumn("capture_groups", F.transform_values("capture_groups", lambda k, v: swap(v)))
+    if "match_context" in found.columns:
+        out = out.withColumn("match_context", swap(F.col("match_context")))
+    if "required_sets" in found.columns:
+
+        def covered(c: Column) -> Column:
+            own = T.mask(c["secret"], percent)
+            within = lambda x: F.when(c["secret"] == "", x).otherwise(F.replace(x, c["secret"], own))
+            captures = F.transform(c["capture_groups"], lambda e: F.struct(e["key"].alias("key"), within(e["value"]).alias("value")))
+            return c.withField("match", within(c["match"])).withField("capture_groups", captures).withField("secret", own)
+
+        out = out.withColumn("required_sets", F.transform("required_sets", lambda s: s.withField("components", F.transform(s["components"], covered))))
     return out.withColumn("secret", hidden)
 
 

@@ -7,7 +7,9 @@ are streamed through the driver a partition at a time.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
+from string import Template
 from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame
@@ -81,6 +83,40 @@ def junit_report(found: DataFrame, tool: str = "keyhound") -> str:
     return f'<?xml version="1.0" encoding="UTF-8"?>\n<testsuites>\n  <testsuite failures="{n}" name="{tool}" tests="{n}" time="">\n' + "".join(cases) + "  </testsuite>\n</testsuites>\n"
 
 
+def template_report(found: DataFrame, template: str) -> Iterator[str]:
+    """The template once a finding, with $RuleID and the other columns of reports in it."""
+    t = Template(template)
+    for r in flat(found).toLocalIterator():
+        yield t.substitute(r.asDict())
+
+
+def console_report(found: DataFrame, width: int = 120) -> Iterator[str]:
+    """A block of lines a finding, for reading; long matches are cut at `width`."""
+    for r in flat(found).toLocalIterator():
+        shown = r.Match if len(r.Match) <= width else r.Match[: width - 3] + "..."
+        place = f"{r.File}:{r.StartLine}" if r.File else f"line {r.StartLine}"
+        yield f"{r.RuleID}  {place}\n  {shown!r}\n  entropy {r.Entropy:.2f}" + (f"  tags {r.Tags}" if r.Tags else "") + f"\n  {r.Fingerprint}\n"
+
+
+def rule_timings(fragments: DataFrame, config) -> DataFrame:
+    """A diagnosis: the seconds and hits of each rule that is run alone, slowest first (a scan runs all rules at once)."""
+    from .scan import findings
+
+    rows = []
+    for r in config.rules.values():
+        began = time.perf_counter_ns()
+        hits = findings(fragments, config.only([r.id])).where(F.col("rule_id") == r.id).count()
+        total = time.perf_counter_ns() - began
+        rows.append((r.id, total, hits, total // max(1, hits)))
+    rows.sort(key=lambda x: (-x[1], -x[2], x[0]))
+    return fragments.sparkSession.createDataFrame(rows, "rule_id string, total_duration_ns bigint, hits bigint, avg_duration_ns bigint")
+
+
+def exit_code(findings: int, failed: bool = False, code: int = 1) -> int:
+    """A command's exit code: 1 on failure, `code` where there are findings, else 0."""
+    return 1 if failed else code if findings else 0
+
+
 def kind_of(path: str) -> str:
     """The report's kind by its file's ending."""
     ending = path.rsplit(".", 1)[-1].lower() if "." in path else ""

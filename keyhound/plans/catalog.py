@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from keyhound.functions import expr
 from keyhound.functions import text as T
 from keyhound.operators import compose, decode, report, scan, validate
-from keyhound.plans import rules
+from keyhound.plans import configs, rules
 from keyhound.sources import files
 
 QUERIES: dict = {}
@@ -304,6 +304,24 @@ def status_filter(spark, sf_dir):
     return validate.with_status(_validated(spark, sf_dir), ["valid", "none"]).select(F.col("fragment_id").alias("doc_id"), "secret")
 
 
+_MAIL = "CASE WHEN e.secret < 'h' THEN 6 WHEN e.secret < 'p' THEN 2 ELSE 0 END"
+
+
+@query(_NEAR + f"""SELECT doc_id, start_line, secret, CASE r WHEN 6 THEN 'valid' WHEN 2 THEN 'invalid' ELSE '' END AS validation_status, all_valid FROM (
+  SELECT c.doc_id, CAST(c.n AS INTEGER) AS start_line, c.secret, max({_MAIL}) AS r, max({_MAIL}) = 6 AS all_valid FROM c JOIN e ON c.doc_id = e.doc_id AND abs(c.n - e.n) <= 50 GROUP BY ALL)""")
+def validation_sets(spark, sf_dir):
+    """Composites by the addresses near them: the best of a card's sets counts, and only valid sets stay if there are any."""
+
+    def evaluate(keys):
+        mail = F.element_at("captures", "email")
+        return keys.where(mail < "p").select("key", F.when(mail < "h", F.lit("valid")).otherwise(F.lit("invalid")).alias("result"), mail.alias("reason"), F.create_map(F.lit("mail"), mail).alias("metadata"))
+
+    found = compose.composed(scan.findings(documents(spark, sf_dir), _near(50)), _near(50))
+    v = validate.validated_sets(found, None, evaluate)
+    all_valid = F.forall("required_sets", lambda s: s["validation_status"] == "valid")
+    return v.select(F.col("fragment_id").alias("doc_id"), "start_line", "secret", "validation_status", all_valid.alias("all_valid")).distinct()
+
+
 @query(f"SELECT source, max_by(s, CASE s WHEN 'valid' THEN 6 WHEN 'unknown' THEN 3 WHEN 'invalid' THEN 2 ELSE 0 END) AS validation_status FROM (SELECT source, {_STATUS} AS s FROM {_SECRETS}) GROUP BY source")
 def validation_rollup(spark, sf_dir):
     v = _validated(spark, sf_dir).withColumn("source", F.substring_index(F.element_at("attributes", "path"), "/", 1))
@@ -349,6 +367,50 @@ def chunk_fragments(spark, sf_dir):
     return c.groupBy(F.col("fragment_id").alias("doc_id")).agg(F.sum(F.octet_length("raw")).cast("bigint").alias("n_bytes"))
 
 
+@query("SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS sha, source || '/' || doc_id || '.txt' AS path, CAST(7 AS INTEGER) AS start_line, text || chr(10) AS raw FROM documents")
+def patch_hunks(spark, sf_dir):
+    """Texts as added lines of a patch, read back with their commits' attributes."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    added = F.concat(F.lit("+"), F.replace("text", F.lit("\n"), F.lit("\n+")))
+    head = F.format_string("commit %s\nAuthor: A B <a@b.c>\nDate:   2024-01-01\n\n    said\n\ndiff --git a/%s b/%s\n--- a/%s\n+++ b/%s\n@@ -7,0 +7,%d @@\n", F.md5(F.col("doc_id").cast("string").cast("binary")), path, path, path, path, F.size(F.split("text", "\n", -1)))
+    f = files.patch_fragments(d.select("doc_id", F.concat(head, added).alias("patch")), "patch", "doc_id")
+    return f.select(F.substring_index("fragment_id", ":", 1).cast("bigint").alias("doc_id"), F.element_at("attributes", "git.sha").alias("sha"), F.element_at("attributes", "path").alias("path"), "start_line", "raw")
+
+
+@query("SELECT doc_id || '.zip!in/' || doc_id || '.tar!' || doc_id || '.txt' AS path, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents WHERE text <> ''")
+def archive_members(spark, sf_dir):
+    """Each text in a tar, compressed, in a zip; read back as files of archives."""
+    f = files.file_fragments(files.archived(documents(spark, sf_dir)))
+    return f.groupBy(F.element_at("attributes", "path").alias("path")).agg(F.sum(F.octet_length("raw")).cast("bigint").alias("n_bytes"))
+
+
+@query("SELECT doc_id, CASE WHEN source = '' OR source IS NULL THEN 'unknown' ELSE source END AS source, 'documents' AS resource FROM documents")
+def attribute_stamp(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    own = F.create_map(F.lit("source"), F.coalesce("source", F.lit("")), F.lit("resource"), F.lit("file"))
+    f = files.with_attributes(scan.fragments(d, "text", "doc_id", attributes=own), {"source": "unknown", "resource": "documents"})
+    return f.select(F.col("fragment_id").alias("doc_id"), F.element_at("attributes", "source").alias("source"), F.element_at("attributes", "resource").alias("resource"))
+
+
+@query("""SELECT doc_id, CASE WHEN lang = 'fr' THEN 'storage_class:GLACIER' WHEN strlen(text) > 5000 THEN 'size_limit' WHEN strlen(text) = 0 THEN 'empty'
+  WHEN doc_id % 10 = 0 THEN 'directory' ELSE '' END AS reason FROM documents""")
+def object_skips(spark, sf_dir):
+    """Texts as the objects of a store: which wouldn't be read, and why."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = F.concat("source", F.when(F.col("doc_id") % 10 == 0, F.lit("/")).otherwise(F.lit("/x")))
+    reason = files.skip_reason(path, F.octet_length("text"), F.when(F.col("lang") == "fr", F.lit("GLACIER")).otherwise(F.lit("STANDARD")), 5000)
+    return d.select("doc_id", reason.alias("reason"))
+
+
+@query("SELECT rule_id, has_filter, n_keywords FROM (VALUES ('hex-token', true, 1), ('generic-assignment', false, 1), ('email-address', false, 1), ('license-line', false, 1), ('card-number', false, 0), ('ipv4-address', false, 0), ('token-with-address', false, 1)) v(rule_id, has_filter, n_keywords)")
+def config_rules(spark, sf_dir):
+    """The default rules as they are after loading, rendering and loading again."""
+    config = rules.parse(configs.rendered(rules.default_config()))
+    configs.checked(config)
+    return spark.createDataFrame([(r.id, bool(r.filter), len(r.keywords)) for r in config.rules.values()], "rule_id string, has_filter boolean, n_keywords int")
+
+
 @query(f"""SELECT doc_id, secret FROM {_SECRETS} WHERE NOT (contains(secret, 'abc') OR regexp_matches(secret, '^0'))
   AND NOT (regexp_matches(source || '/' || doc_id || '.txt', '^src1') AND contains(secret, '7'))""")
 def allowlist_and_or(spark, sf_dir):

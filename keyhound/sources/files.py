@@ -10,7 +10,9 @@ import re
 import shlex
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +21,17 @@ from pyspark.sql import functions as F
 from keyhound.functions.dialect import glob
 from keyhound.functions.expr import skips
 
+try:
+    import zstandard
+except ImportError:
+    zstandard = None
+
 CHUNK, LOOK_AHEAD = 100_000, 25_000
 ARCHIVE_DEPTH = 8
+#: What broken archives raise.
+_BROKEN = (OSError, EOFError, lzma.LZMAError, zlib.error, zipfile.BadZipFile, tarfile.TarError, NotImplementedError, RuntimeError, ValueError, *([zstandard.ZstdError] if zstandard else []))
+#: Storage classes that can't be read at once. Fixed values.
+ARCHIVED = ("GLACIER", "GLACIER_IR", "DEEP_ARCHIVE")
 SCHEMA = "fragment_id string, raw string, start_line int, attributes map<string,string>"
 
 
@@ -41,28 +52,43 @@ def read_files(spark: SparkSession, paths: list[str], prefilter: str = "", max_b
     return df.select("path", "length", "content")
 
 
+def _unzst(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+
+
+def _members(name: str, data: bytes) -> Iterator[tuple[str, bytes]] | None:
+    """The files of an archive or the content of a compressed stream; None for anything else."""
+    if zipfile.is_zipfile(io.BytesIO(data)):
+        z = zipfile.ZipFile(io.BytesIO(data))
+        return ((f"{name}!{i.filename}", z.read(i)) for i in z.infolist() if not i.is_dir() and not i.flag_bits & 1)
+    for magic, opened in ((b"\x1f\x8b", gzip.decompress), (b"BZh", bz2.decompress), (b"\xfd7zXZ\x00", lzma.decompress), (b"\x28\xb5\x2f\xfd", _unzst)):
+        if data.startswith(magic) and not (opened is _unzst and zstandard is None):
+            return iter([(name, opened(data))])
+    if data[257:262] == b"ustar":
+        t = tarfile.open(fileobj=io.BytesIO(data))
+        return ((f"{name}!{i.name}", t.extractfile(i).read()) for i in t if i.isfile())
+    return None
+
+
 def unpack(name: str, data: bytes, depth: int = ARCHIVE_DEPTH) -> Iterator[tuple[str, bytes]]:
-    """A file, or the files of an archive by names joined with !; single compressed streams are opened in place."""
+    """A file, or the files of an archive by names joined with !; single compressed streams are opened in place.
+
+    A broken archive gives the files before its first fault; encrypted files are left out.
+    """
     if depth > 0:
-        if zipfile.is_zipfile(io.BytesIO(data)):
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                for i in z.infolist():
-                    if not i.is_dir():
-                        yield from unpack(f"{name}!{i.filename}", z.read(i), depth - 1)
+        try:
+            inner = _members(name, data)
+        except _BROKEN:
             return
-        for magic, opened in ((b"\x1f\x8b", gzip.decompress), (b"BZh", bz2.decompress), (b"\xfd7zXZ\x00", lzma.decompress)):
-            if data.startswith(magic):
+        if inner is not None:
+            while True:
                 try:
-                    yield from unpack(name, opened(data), depth - 1)
-                except (OSError, EOFError, lzma.LZMAError):
-                    pass
-                return
-        if data[257:262] == b"ustar":
-            with tarfile.open(fileobj=io.BytesIO(data)) as t:
-                for i in t:
-                    if i.isfile():
-                        yield from unpack(f"{name}!{i.name}", t.extractfile(i).read(), depth - 1)
-            return
+                    below, content = next(inner)
+                except StopIteration:
+                    return
+                except _BROKEN:
+                    return
+                yield from unpack(below, content, depth - 1)
     yield name, data
 
 
@@ -104,6 +130,26 @@ def file_fragments(files: DataFrame, archive_depth: int = ARCHIVE_DEPTH, size: i
     return files.select("path", "content").mapInArrow(go, SCHEMA)
 
 
+def archived(fragments: DataFrame) -> DataFrame:
+    """Fragments as files (path, content), each a zip with a compressed tar with the text; what file_fragments() undoes."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for f, raw in zip(b.column("f").to_pylist(), b.column("raw").to_pylist(), strict=True):
+                data, tar, packed = (raw or "").encode("utf-8", "surrogatepass"), io.BytesIO(), io.BytesIO()
+                with tarfile.open(fileobj=tar, mode="w", format=tarfile.USTAR_FORMAT) as t:
+                    info = tarfile.TarInfo(f"{f}.txt")
+                    info.size = len(data)
+                    t.addfile(info, io.BytesIO(data))
+                with zipfile.ZipFile(packed, "w") as z:
+                    z.writestr(zipfile.ZipInfo(f"in/{f}.tar"), gzip.compress(tar.getvalue(), mtime=0))
+                out.append(packed.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([f"{f}.zip" for f in b.column("f").to_pylist()], pa.string()), pa.array(out, pa.binary())], ["path", "content"])
+
+    return fragments.select(F.col("fragment_id").cast("string").alias("f"), "raw").mapInArrow(go, "path string, content binary")
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
     types = [pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string())]
@@ -208,6 +254,42 @@ def excluded(name: Column, patterns: list[str], lower: bool = False) -> Column:
     return out
 
 
+def skip_reason(path: Column, length: Column, storage_class: Column, max_bytes: int) -> Column:
+    """Why an object of a store isn't read, or the empty string; objects are rows with a path, a length and a class."""
+    return (
+        F.when(storage_class.isin(*ARCHIVED), F.concat(F.lit("storage_class:"), storage_class))
+        .when(length > max_bytes, F.lit("size_limit"))
+        .when(length == 0, F.lit("empty"))
+        .when(F.endswith(path, F.lit("/")), F.lit("directory"))
+        .otherwise(F.lit(""))
+    )
+
+
+def object_location(url: str) -> dict:
+    """bucket (a shell pattern may stand for several), prefix, endpoint (None: the default) and path for Spark of an object URL.
+
+    Forms: s3://bucket/prefix; hosts that name the bucket; hosts with the bucket as the first part of the path.
+    """
+    u = urlsplit(url)
+    host, path, endpoint = (u.hostname or ""), u.path.lstrip("/"), None
+    if u.scheme == "s3":
+        bucket, prefix = u.netloc, path
+    elif u.scheme in ("http", "https"):
+        if any(c in host for c in "*?["):
+            raise ValueError("a pattern can only stand for the bucket, not for the host")
+        named = re.fullmatch(r"(?:(?P<bucket>.+)\.)?(?P<store>s3(?:[.-][a-z0-9-]+)?\.amazonaws\.com|[0-9a-z]+\.r2\.cloudflarestorage\.com)", host)
+        if named and named["bucket"]:
+            bucket, prefix = named["bucket"], path
+        else:
+            bucket, _, prefix = path.partition("/")
+        endpoint = f"{u.scheme}://{named['store'] if named else u.netloc}"
+    else:
+        raise ValueError(f"no object store of scheme {u.scheme!r}")
+    if not bucket:
+        raise ValueError(f"{url}: no bucket")
+    return {"bucket": bucket, "prefix": prefix, "endpoint": endpoint, "path": f"s3a://{bucket}/{prefix}"}
+
+
 def web_remote(remote: Column) -> Column:
     """A remote's address on the web: ssh forms as https, without user, password and .git."""
     https = F.regexp_replace(F.regexp_replace(remote, r"^(?:ssh://)?git@([^:/]+)[:/](?:\d+/)?", "https://$1/"), r"^(https?://)[^/@]*@", "$1")

@@ -55,6 +55,14 @@ def test_composites_need_all_parts_near(spark):
     assert got == {0: ["bob"], 2: ["a", "b"]}
 
 
+def test_components_are_redacted_too(spark):
+    c = rules.parse(ONE + "[[rules.required]]\nid='u'\n[[rules]]\nid='u'\nregex='user=(?P<n>\\w+)'\nskipReport=true")
+    r = compose.scan(frags(spark, 'user=bob key = "ab"'), c, redact=100, context="0C").first()
+    part = r.required_sets[0].components[0]
+    assert (r.secret, r.match_context) == ("REDACTED", 'key = "REDACTED"')
+    assert (part.secret, part.match, part.capture_groups[0].value) == ("REDACTED", "user=REDACTED", "REDACTED")
+
+
 def test_required_sets_are_capped(spark):
     c = rules.parse(ONE + "[[rules.required]]\nid='u'\n[[rules]]\nid='u'\nregex='u(\\d+)'\nskipReport=true")
     f = compose.composed(scan.findings(frags(spark, " ".join(f"u{i}" for i in range(150)) + ' key = "ab"'), c), c)
@@ -102,3 +110,25 @@ def test_context_specs():
     assert scan.context_spec("10L") == ("box", 0, 0, 9, 9)
     assert scan.context_spec("-2C,+4C") == ("cols", 2, 4, 0, 0)
     assert scan.context_spec("") == ("none", 0, 0, 0, 0)
+
+
+def test_sets_are_validated_each(spark):
+    c = rules.parse(ONE + "[[rules.required]]\nid='u'\n[[rules]]\nid='u'\nregex='user=(?P<name>\\w+)'\nskipReport=true")
+    f = compose.composed(scan.findings(frags(spark, 'user=ann user=bob user=cy\nkey = "ab"', 'user=zoe user=dan\nkey = "ab"', 'user=zoe\nkey = "ab"'), c), c)
+
+    def evaluate(keys):
+        name = F.element_at("captures", "u:name")
+        result = F.when(name.isin("ann", "cy"), F.lit("Valid")).when(name == "bob", F.lit("invalid")).otherwise(F.lit("odd"))
+        return keys.where(name != "zoe").select("key", result.alias("result"), name.alias("reason"), F.create_map(F.lit("empty"), F.lit(""), F.lit("u"), F.element_at("captures", "u")).alias("metadata"))
+
+    got = {r.fragment_id: (r.validation_status, r.validation_reason, r.validation_meta, [(s.components[0].secret, s.validation_status) for s in r.required_sets]) for r in validate.validated_sets(f, None, evaluate).collect()}
+    assert got == {
+        0: ("valid", "ann", {"u": "ann"}, [("ann", "valid"), ("cy", "valid")]),
+        1: ("unknown", "dan", {"u": "dan"}, [("zoe", ""), ("dan", "unknown")]),
+        2: ("", "", None, [("zoe", "")]),
+    }
+    plain = rules.parse(ONE)
+    f = compose.composed(scan.findings(frags(spark, 'key = "ab"'), plain), plain)
+    answer = lambda k: k.select("key", F.lit("valid").alias("result"), F.lit(None).cast("string").alias("reason"), F.create_map(F.lit("e"), F.lit("")).alias("metadata"))
+    assert validate.validated_sets(f, None, answer, keep_empty=True).first().validation_meta == {"e": ""}
+    assert validate.validated_sets(f.limit(0), None, answer).count() == 0

@@ -2,6 +2,7 @@ import io
 import tarfile
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from keyhound.operators import report, scan
@@ -77,3 +78,51 @@ def test_paths_kinds_and_remotes(spark):
     assert report.kind_of("x.sarif") == "sarif"
     got = spark.createDataFrame([("git@github.com:a/b.git",), ("https://u:p@gitlab.com/a/b.git",)], "r string").select(files.web_remote(F.col("r"))).collect()
     assert [r[0] for r in got] == ["https://github.com/a/b", "https://gitlab.com/a/b"]
+
+
+def test_broken_archives_do_not_stop_a_scan():
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        z.writestr("a.txt", "one")
+        z.writestr("b.gz", b"\x1f\x8bnot a stream")
+        z.writestr("c.txt", "three")
+    assert list(files.unpack("z", b.getvalue())) == [("z!a.txt", b"one"), ("z!c.txt", b"three")]
+    spoilt = b.getvalue().replace(b"three", b"tHree")  # the checksum fails
+    assert list(files.unpack("z", spoilt)) == [("z!a.txt", b"one")]
+    assert list(files.unpack("z", b"PK\x03\x04 no archive")) == [("z", b"PK\x03\x04 no archive")]
+    if files.zstandard:
+        assert list(files.unpack("z", files.zstandard.compress(b"text"))) == [("z", b"text")]
+
+
+@pytest.mark.parametrize(
+    ("url", "want"),
+    [
+        ("s3://b/p/q", ("b", "p/q", None)),
+        ("s3://b-*", ("b-*", "", None)),
+        ("https://b.s3.amazonaws.com/p", ("b", "p", "https://s3.amazonaws.com")),
+        ("https://a.b.s3.eu-west-1.amazonaws.com/", ("a.b", "", "https://s3.eu-west-1.amazonaws.com")),
+        ("https://s3.eu-west-1.amazonaws.com/b/p", ("b", "p", "https://s3.eu-west-1.amazonaws.com")),
+        ("https://acc.r2.cloudflarestorage.com/b/p", ("b", "p", "https://acc.r2.cloudflarestorage.com")),
+        ("https://b.acc.r2.cloudflarestorage.com/p", ("b", "p", "https://acc.r2.cloudflarestorage.com")),
+        ("http://localhost:9000/b/p/q", ("b", "p/q", "http://localhost:9000")),
+    ],
+)
+def test_object_locations(url, want):
+    got = files.object_location(url)
+    assert (got["bucket"], got["prefix"], got["endpoint"]) == want
+
+
+@pytest.mark.parametrize("url", ["s3:///p", "ftp://h/b", "https://*.s3.amazonaws.com/p", "https://host"])
+def test_odd_object_locations_are_errors(url):
+    with pytest.raises(ValueError):
+        files.object_location(url)
+
+
+def test_texts_for_people_templates_and_timings(spark):
+    c = rules.parse("[[rules]]\nid='t'\nregex='key=(\\w+)'\n[[rules]]\nid='u'\nregex='nothing'")
+    df = spark.createDataFrame([(1, "key=abc")], "fragment_id long, raw string").withColumn("start_line", F.lit(1)).withColumn("attributes", F.create_map(F.lit("path"), F.lit("a")))
+    found = scan.findings(df, c)
+    assert "".join(report.template_report(found, "$RuleID=$Secret $$;")) == "t=abc $;"
+    assert "a:1" in "".join(report.console_report(found)) and "'ke..." in "".join(report.console_report(found, 5))
+    assert {r.rule_id: r.hits for r in report.rule_timings(df, c).collect()} == {"t": 1, "u": 0}
+    assert [report.exit_code(*x) for x in ((0,), (2,), (0, True), (3, False, 7))] == [0, 1, 1, 7]
