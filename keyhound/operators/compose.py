@@ -131,8 +131,9 @@ def rule_stats(found: DataFrame) -> DataFrame:
 def scan(fragments: DataFrame, config: Config, depth: int = 0, redact: int = 0, ignored: DataFrame | None = None, baseline: DataFrame | None = None, **options) -> DataFrame:
     """The whole pipeline: findings of plain and decoded text, composed, suppressed, less what is known, redacted."""
     from .decode import decoded_findings
-    from .scan import findings
+    from .scan import findings, spread
 
+    fragments = spread(fragments)
     found = findings(fragments, config, **options)
     if depth:
         found = found.unionByName(decoded_findings(fragments, config, depth, **options))

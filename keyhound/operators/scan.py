@@ -19,6 +19,8 @@ from keyhound.plans.rules import Config, Rule
 
 #: Rules evaluated in one projection; more would outgrow what the JVM compiles as one method.
 BATCH = 20
+#: Sources of this many tasks are never spread over more.
+SPREAD = 64
 #: Comments that keep a line from being reported; callers add the ones that their texts already hold.
 ALLOW = ("keyhound:allow",)
 MATCH = "array<struct<rule_id:string,match:string,cstart:int,bstart:int>>"
@@ -35,6 +37,17 @@ def fragments(df: DataFrame, raw: str, fragment_id: str, path: Column | None = N
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Fragments over as many tasks as the session has slots, where their source gives few (a file of one row group).
+
+    Only sources of under SPREAD tasks are shuffled for it, once and before the costly part; others stay as they are read.
+    """
+    if df.isStreaming:
+        return df
+    slots = min(SPREAD, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(slots, "fragment_id") if df.rdd.getNumPartitions() < slots else df
+
+
 def prefiltered(df: DataFrame, config: Config) -> DataFrame:
     """Fragments that the global prefilter doesn't skip, that have something in them, and that aren't our own files."""
     path = F.coalesce(F.try_element_at("attributes", F.lit("path")), F.lit(""))

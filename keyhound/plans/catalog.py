@@ -12,6 +12,7 @@ from keyhound.functions import expr
 from keyhound.functions import text as T
 from keyhound.operators import compose, decode, report, scan, validate
 from keyhound.plans import configs, rules
+from keyhound.plans.lineage import materialised
 from keyhound.sources import files
 
 QUERIES: dict = {}
@@ -45,7 +46,12 @@ def _one(rule_id: str, regex: str, more: str = "") -> str:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scan.fragments(d, "text", "doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    return scan.spread(scan.fragments(d, "text", "doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))))
+
+
+def found(spark: SparkSession, sf_dir: str, config: rules.Config) -> DataFrame:
+    """Findings for joins with each other: the texts are scanned once."""
+    return materialised(scan.findings(documents(spark, sf_dir), config))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +81,8 @@ SELECT doc_id, rule_id FROM documents JOIN (VALUES ('hex-token', 'token'), ('gen
 UNION ALL SELECT doc_id, rule_id FROM documents CROSS JOIN (VALUES ('card-number'), ('ipv4-address')) v(rule_id)
 """)
 def keyword_candidates(spark, sf_dir):
-    found = scan.keyword_candidates(documents(spark, sf_dir), rules.default_config())
-    return found.withColumnRenamed("fragment_id", "doc_id")
+    candidates = scan.keyword_candidates(documents(spark, sf_dir), rules.default_config())
+    return candidates.withColumnRenamed("fragment_id", "doc_id")
 
 
 @query(f"SELECT doc_id, match, secret FROM {_SECRETS}")
@@ -234,13 +240,13 @@ _NEAR = f"WITH {_each('c', CARD, 1)}, {_each('e', EMAIL)} "
 
 @query(_NEAR + "SELECT DISTINCT c.doc_id, CAST(c.n AS INTEGER) AS start_line, c.secret FROM c JOIN e ON c.doc_id = e.doc_id AND abs(c.n - e.n) <= 5")
 def composite_within_lines(spark, sf_dir):
-    f = compose.composed(scan.findings(documents(spark, sf_dir), _near(5)), _near(5))
+    f = compose.composed(found(spark, sf_dir, _near(5)), _near(5))
     return f.select(F.col("fragment_id").alias("doc_id"), "start_line", "secret").distinct()
 
 
 @query(_NEAR + "SELECT c.doc_id, CAST(c.n AS INTEGER) AS start_line, c.secret, CAST(least(100, count(DISTINCT (e.n, e.secret))) AS INTEGER) AS n_sets FROM c JOIN e ON c.doc_id = e.doc_id AND abs(c.n - e.n) <= 50 GROUP BY ALL")
 def required_sets(spark, sf_dir):
-    f = compose.composed(scan.findings(documents(spark, sf_dir), _near(50)), _near(50))
+    f = compose.composed(found(spark, sf_dir, _near(50)), _near(50))
     distinct = F.size(F.array_distinct(F.transform("required_sets", lambda s: F.struct(s["components"][0]["start_line"], s["components"][0]["secret"]))))
     return f.select(F.col("fragment_id").alias("doc_id"), "start_line", "secret", distinct.alias("n_sets")).distinct()
 
@@ -251,7 +257,7 @@ UNION ALL SELECT doc_id, 'hex', CAST(n AS INTEGER), secret FROM h WHERE NOT EXIS
   (SELECT 1 FROM t WHERE t.doc_id = h.doc_id AND t.n = h.n AND contains(t.secret, h.secret))""")
 def specificity_suppression(spark, sf_dir):
     config = _config(_one("token", TOKEN), _one("hex", "[0-9a-f]{20,}", "specificity = 0"))
-    f = compose.suppressed(scan.findings(documents(spark, sf_dir), config))
+    f = compose.suppressed(found(spark, sf_dir, config))
     return f.select(F.col("fragment_id").alias("doc_id"), "rule_id", "start_line", "secret")
 
 
@@ -260,7 +266,7 @@ _PRINTS = f"WITH {_each('t', TOKEN, 1)} SELECT doc_id, source || '/' || doc_id |
 
 @query(f"SELECT * FROM ({_PRINTS}) WHERE doc_id % 2 = 1")
 def fingerprint_ignore(spark, sf_dir):
-    f = tokens(spark, sf_dir)
+    f = materialised(tokens(spark, sf_dir))
     listed = f.where(F.col("fragment_id") % 2 == 0).select(F.replace("fingerprint", F.lit("/"), F.lit("\\")).alias("value"))
     lines = listed.unionByName(spark.createDataFrame([("# a comment",), ("",)], "value string"))
     return compose.without_ignored(f, compose.ignore_rows(lines)).select(F.col("fragment_id").alias("doc_id"), "fingerprint")
@@ -268,7 +274,7 @@ def fingerprint_ignore(spark, sf_dir):
 
 @query(f"SELECT * FROM ({_PRINTS}) WHERE doc_id % 3 <> 0")
 def baseline_anti(spark, sf_dir):
-    f = tokens(spark, sf_dir)
+    f = materialised(tokens(spark, sf_dir))
     return compose.without_baseline(f, f.where(F.col("fragment_id") % 3 == 0)).select(F.col("fragment_id").alias("doc_id"), "fingerprint")
 
 
@@ -316,8 +322,8 @@ def validation_sets(spark, sf_dir):
         mail = F.element_at("captures", "email")
         return keys.where(mail < "p").select("key", F.when(mail < "h", F.lit("valid")).otherwise(F.lit("invalid")).alias("result"), mail.alias("reason"), F.create_map(F.lit("mail"), mail).alias("metadata"))
 
-    found = compose.composed(scan.findings(documents(spark, sf_dir), _near(50)), _near(50))
-    v = validate.validated_sets(found, None, evaluate)
+    cards = compose.composed(found(spark, sf_dir, _near(50)), _near(50))
+    v = validate.validated_sets(cards, None, evaluate)
     all_valid = F.forall("required_sets", lambda s: s["validation_status"] == "valid")
     return v.select(F.col("fragment_id").alias("doc_id"), "start_line", "secret", "validation_status", all_valid.alias("all_valid")).distinct()
 
