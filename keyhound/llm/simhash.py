@@ -30,6 +30,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,11 @@ MISS = 0.03
 #: Widths of the six blocks of a 64-bit fingerprint.
 BLOCKS = (11, 11, 11, 11, 10, 10)
 _MASK = (1 << 64) - 1
+#: MinHash tables and the least hashes that make a key: a pair at 0.8 meets in none with probability (1 - 0.8^5)^28.
+TABLES, ROWS = 28, 5
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, TABLES * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Sets of a component that one task compares with as many others.
+BLOCK = 1024
 
 
 def hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -206,7 +212,6 @@ def _bucketed(words: int, max_bits: int, max_bucket: int | None, keys: list[str]
 
 def links(nodes: DataFrame, words: int, max_bits: int, miss: float = MISS, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Edges (u, v) between the rep of fingerprints (rep, f0, ...) that are at most max_bits apart; see the module."""
-    spark = nodes.sparkSession
     chosen = _selections(nodes.count(), words, max_bits, miss)
     names = [f"f{i}" for i in range(words)]
 
@@ -221,11 +226,19 @@ def links(nodes: DataFrame, words: int, max_bits: int, miss: float = MISS, max_b
                     packed[:, : key.shape[1]] = key
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), t)), pa.array(packed.view(np.int64)[:, 0]), part.column("rep"), *(part.column(c) for c in names)], ["t", "k", "rep", *names])
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    typed = lambda cols: ", ".join(f"{c} bigint" for c in cols)
-    rows = nodes.select("rep", *names).mapInArrow(deal, typed(["t", "k", "rep", *names]))
+    return _met(nodes.select("rep", *names).mapInArrow(deal, _typed(["t", "k", "rep", *names])), words, max_bits, max_bucket)
+
+
+def _typed(cols: list[str]) -> str:
+    return ", ".join(f"{c} bigint" for c in cols)
+
+
+def _met(rows: DataFrame, words: int, max_bits: int, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """Edges (u, v) that join what is at most max_bits apart within a bucket; rows: t, k (the bucket), rep, f0, ..."""
+    names = [f"f{i}" for i in range(words)]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = rows.repartition(n, "t", "k").sortWithinPartitions("t", "k")
-    out = cut(sorted_.mapInArrow(_bucketed(words, max_bits, max_bucket, ["t", "k"]), typed(["u", "v", "t", "k", "n", *names])))
+    out = cut(sorted_.mapInArrow(_bucketed(words, max_bits, max_bucket, ["t", "k"]), _typed(["u", "v", "t", "k", "n", *names])))
     edges = out.where(F.col("t").isNull()).select("u", "v")
     large = out.where(F.col("t").isNotNull())
     if large.isEmpty():
@@ -237,15 +250,10 @@ def links(nodes: DataFrame, words: int, max_bits: int, miss: float = MISS, max_b
     met = large.join(blocks, ["t", "k"]).withColumn("o", F.explode(F.sequence(F.lit(0), "last")))
     met = met.select("t", "k", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), F.col("u").alias("rep"), *names)
     met = met.repartition(n, "t", "k", "b1", "b2").sortWithinPartitions("t", "k", "b1", "b2")
-    more = met.mapInArrow(_bucketed(words, max_bits, None, ["t", "k", "b1", "b2"]), typed(["u", "v", "t", "k", "n", *names]))
+    more = met.mapInArrow(_bucketed(words, max_bits, None, ["t", "k", "b1", "b2"]), _typed(["u", "v", "t", "k", "n", *names]))
     return edges.unionByName(more.select("u", "v"))
 
 
-def similar_bits(similarity: float, words: int) -> int:
-    """The bits by which two texts differ on average whose sets of shingles have this Jaccard similarity."""
-    return round(64 * words * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, max_bits: int = MAX_BITS, miss: float = MISS, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """doc_id, f0, ..., component_id for each row of docs."""
     names = [f"f{i}" for i in range(words)]
@@ -258,15 +266,162 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, max
     return out.select("doc_id", *names, F.when(F.col("doc_id").isNotNull(), F.col("label")).alias("component_id"))
 
 
+def _grams(text: bytes, shingle: int) -> np.ndarray:
+    """The set of a text's shingles: their distinct hashes, in order."""
+    return np.unique(hashes(text, shingle))
+
+
+def bands(grams: np.ndarray) -> np.ndarray:
+    """A key for each of the MinHash tables; texts of the same least hashes in all rows of a table share its key."""
+    if not len(grams):
+        return np.zeros(TABLES, dtype=np.uint64)
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(grams), 4096):
+        np.minimum(least, (_FACTORS[:, None] * grams[None, i : i + 4096]).min(axis=1), out=least)
+    keys = np.zeros(TABLES, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for row in least.reshape(ROWS, TABLES):
+            keys = mix(keys + row + np.uint64(0x9E3779B97F4A7C15))
+    return keys
+
+
+def sketches(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """doc_id, s (a hash of the set of shingles), f0, ... (SimHash of the set), keys and grams for each row of docs."""
+    names = [f"f{i}" for i in range(words)]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+            sets = [_grams(t, shingle) for t in utf8(part.column("text"))]
+            with np.errstate(over="ignore"):
+                f = [[majority(mix(g + np.uint64(i * 0x9E3779B97F4A7C15 & _MASK)) if i else g) if len(g) else 0 for i in range(words)] for g in sets]
+            f = np.array(f, dtype=np.uint64).reshape(-1, words).view(np.int64)
+            raw = [g.tobytes() for g in sets]
+            own = np.array([xxhash.xxh64_intdigest(x, SEED) for x in raw], dtype=np.uint64).view(np.int64)
+            cols = [part.column("doc_id"), pa.array(own), *(pa.array(f[:, i]) for i in range(words)), pa.array([bands(g).tobytes() for g in sets], pa.binary()), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "s", *names, "keys", "grams"])
+
+    picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return picked.mapInArrow(go, _typed(["doc_id", "s", *names]) + ", keys binary, grams binary")
+
+
+def similar(a: np.ndarray, b: np.ndarray, ratio: Fraction) -> bool:
+    """Whether the Jaccard similarity of two sets is at least the ratio; two empty sets are alike."""
+    small, large = sorted((len(a), len(b)))
+    if small * ratio.denominator < large * ratio.numerator:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * ratio.denominator >= (len(a) + len(b) - both) * ratio.numerator
+
+
+def _verified(members: DataFrame, words: int, ratio: Fraction, max_bits: int, block: int = BLOCK) -> DataFrame:
+    """Edges (u, v) that join all similar sets of each component; members: component, s, f0, ..., grams.
+
+    All members first meet the component's least; those that aren't similar to it then meet all others, in blocks,
+    so a large group of copies of one text costs one comparison for each.
+    """
+    names = [f"f{i}" for i in range(words)]
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = zip(b.column("grams").to_pylist(), b.column("center").to_pylist(), strict=True)
+            near = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), ratio) for x, y in pairs]
+            yield pa.RecordBatch.from_arrays([b.column("component"), b.column("s"), pa.array(near, pa.bool_())], ["component", "s", "near"])
+
+    center = members.where(F.col("s") == F.col("component")).select("component", F.col("grams").alias("center"))
+    first = cut(members.select("component", "s", "grams").join(center, "component").mapInArrow(star, "component bigint, s bigint, near boolean"))
+    edges = first.where("near").select(F.col("component").alias("u"), F.col("s").alias("v"))
+    # Numbers of the members within their component, those that are left first: only their blocks meet all blocks.
+    left = first.groupBy("component").agg(F.count(F.when(~F.col("near"), 1)).alias("far"), F.count("*").alias("size")).where("far > 0")
+    blocks = left.select("component", F.ceil(F.col("far") / block).alias("far_blocks"), F.ceil(F.col("size") / block).alias("all_blocks"))
+    placed = members.select("component", "s", *names, "grams").join(first.select("s", "near"), "s").join(blocks, "component")
+    # A member's block is drawn from its hash, so that no task needs all members of a component.
+    drawn = placed.withColumn("b", F.when(F.col("near"), F.pmod(F.col("s"), "all_blocks") + F.col("far_blocks")).otherwise(F.pmod(F.col("s"), "far_blocks")))
+    every = F.col("far_blocks") + F.col("all_blocks") - 1
+    met = drawn.withColumn("o", F.explode(F.when(F.col("near"), F.sequence(F.lit(0).cast("bigint"), F.col("far_blocks") - 1)).otherwise(F.sequence(F.lit(0).cast("bigint"), every))))
+    met = met.select("component", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), "s", "near", *names, "grams")
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> pa.RecordBatch:
+            us, vs = [], []
+            ids, near, f, sets = (list(x) for x in zip(*held, strict=True))
+            fs, far, sizes = np.array(f, dtype=np.int64).view(np.uint64), ~np.array(near), np.array([len(g) for g in sets])
+            rest = np.arange(len(ids))
+            # Breadth first; near members are one group by their star, so they are never compared with each other.
+            while len(rest):
+                stack, rest = [rest[0]], rest[1:]
+                while stack and len(rest):
+                    x = stack.pop()
+                    at = np.flatnonzero((_distance(fs[rest], fs[x]) <= max_bits) & (far[x] | far[rest]))
+                    lo, hi = np.minimum(sizes[rest[at]], sizes[x]), np.maximum(sizes[rest[at]], sizes[x])
+                    at = at[lo * ratio.denominator >= hi * ratio.numerator]
+                    at = np.array([i for i in at if similar(sets[x], sets[rest[i]], ratio)], dtype=np.int64)
+                    us.extend([ids[x]] * len(at))
+                    vs.extend(ids[i] for i in rest[at])
+                    stack += rest[at].tolist()
+                    rest = np.delete(rest, at)
+            return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+        held, last = [], None
+        for b in batches:
+            c = {x: b.column(x).to_pylist() for x in ("component", "b1", "b2", "s", "near", "grams", *names)}
+            for i in range(b.num_rows):
+                key = (c["component"][i], c["b1"][i], c["b2"][i])
+                if key != last and held:
+                    yield close()
+                    held = []
+                last = key
+                held.append((c["s"][i], c["near"][i], [c[x][i] for x in names], np.frombuffer(c["grams"][i], np.uint64)))
+        if held:
+            yield close()
+
+    dealt = met.repartition(n, "component", "b1", "b2").sortWithinPartitions("component", "b1", "b2")
+    return edges.unionByName(dealt.mapInArrow(go, "u bigint, v bigint"))
+
+
+def candidate_bits(words: int) -> int:
+    """The most bits by which the SimHashes of sets of Jaccard similarity 0.8 or more differ, but for one pair in 100,000.
+
+    The chance of a bit is greatest, 3/16, for five shingles against four of them; long texts have 0.152.
+    """
+    n, p = 64 * words, 3 / 16
+    return round(n * p + 4.5 * math.sqrt(n * p * (1 - p)))
+
+
+def similar_sets(docs: DataFrame, shingle: int, similarity: float, words: int) -> DataFrame:
+    """doc_id and group for each row of docs: the connected sets of shingles of at least this Jaccard similarity."""
+    if similarity < 0.8:
+        raise ValueError("tables and radius are made for similarities of 0.8 and more")
+    ratio, names = Fraction(str(similarity)), [f"f{i}" for i in range(words)]
+    found = cut(sketches(docs, shingle, words))
+    nodes = found.where(F.col("doc_id").isNotNull()).dropDuplicates(["s"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(i, 4096) for i in range(0, b.num_rows, 4096)):
+                keys = np.frombuffer(b"".join(part.column("keys").to_pylist()), np.int64).reshape(-1, TABLES)
+                for t in range(TABLES):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t)), pa.array(keys[:, t]), *(part.column(c) for c in ("s", *names))], ["t", "k", "rep", *names])
+
+    rows = nodes.select("s", *names, "keys").mapInArrow(deal, _typed(["t", "k", "rep", *names]))
+    near = components(_met(rows, words, candidate_bits(words)))
+    members = cut(nodes.select("s", *names, "grams").join(near, F.col("s") == F.col("node")).select("component", "s", *names, "grams"))
+    joined = components(_verified(members, words, ratio, candidate_bits(words))).withColumnRenamed("component", "group")
+    return found.select("doc_id", "s").join(joined, F.col("s") == F.col("node"), "left").select("doc_id", F.coalesce("group", "s").alias("group"))
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
     """docs with one document, that of the least doc_id, of each group of near-duplicates; same columns.
 
-    Two documents are near-duplicates where their fingerprints of 64 * words bits are no further apart than those
-    of texts of this Jaccard similarity are on average.
+    Two documents are near-duplicates where the Jaccard similarity of their sets of shingles is at least `similarity`,
+    and groups are connected by such pairs. Candidates share a MinHash table's key (a pair at 0.8 shares none of the
+    28 with a probability of 0.00002) and have SimHashes of 64 * words bits within `candidate_bits`; what is linked is
+    decided by the sets themselves.
     """
-    found = near_duplicates(docs, shingle, words, similar_bits(similarity, words))
+    found = similar_sets(docs, shingle, similarity, words).where(F.col("doc_id").isNotNull())
     name = fresh("lost_id", docs)
-    losing = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(name)).distinct()
+    least = found.groupBy("group").agg(F.min("doc_id").alias("least"))
+    losing = found.distinct().join(least, "group").where(F.col("least") < F.col("doc_id")).select(F.col("doc_id").alias(name)).distinct()
     return docs.join(losing.hint("shuffle_hash"), docs["doc_id"] == F.col(name), "left_anti")
 
 

@@ -304,6 +304,34 @@ def test_near_duplicates_and_defined_cases(spark):
     assert simhash.near_duplicates(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4, simhash.BLOCK])
+def test_near_duplicates_equal_brute_force_at_the_threshold(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash._verified, "__defaults__", (block,))
+    rng = np.random.default_rng(11)
+    texts = []
+    for n in (8, 9, 13, 60, 104, 304):
+        for i in range(12):
+            base = words(rng, n, 10**6).split()
+            # Edits at the end give up one shingle a word, so similarities lie on both sides of 0.8.
+            k = max(1, round((n - 4) * (0.1 + 0.002 * (i - 6))))
+            texts += [" ".join(base), " ".join(base[:-k] + words(rng, k, 10**6).split()), " ".join(base[:-1])]
+    texts += [" ".join(["again and over and once"] * 40), "again and over and once again and over and"]
+    chain = words(rng, 400, 10**6).split()
+    texts += [" ".join(chain[i : i + 200]) for i in range(0, 120, 8)]
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both * 5 >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs(spark, *texts)).collect()}
+    assert kept == {i for i, x in enumerate(label) if i == x}
+
+
 def test_long_chains_are_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)], "u bigint, v bigint")
     got = {r.node: r.component for r in components.components(edges).collect()}
