@@ -286,7 +286,7 @@ def bands(grams: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """doc_id, s (a hash of the set of shingles), f0, ... (SimHash of the set), keys and grams for each row of docs."""
+    """doc_id, s (a hash of the set of shingles), f0, ... (SimHash of the set), keys, grams and own (a hash of the text) for each row of docs."""
     names = [f"f{i}" for i in range(words)]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,12 +296,13 @@ def sketches(docs: DataFrame, shingle: int, words: int) -> DataFrame:
                 f = [[majority(mix(g + np.uint64(i * 0x9E3779B97F4A7C15 & _MASK)) if i else g) if len(g) else 0 for i in range(words)] for g in sets]
             f = np.array(f, dtype=np.uint64).reshape(-1, words).view(np.int64)
             raw = [g.tobytes() for g in sets]
-            own = np.array([xxhash.xxh64_intdigest(x, SEED) for x in raw], dtype=np.uint64).view(np.int64)
-            cols = [part.column("doc_id"), pa.array(own), *(pa.array(f[:, i]) for i in range(words)), pa.array([bands(g).tobytes() for g in sets], pa.binary()), pa.array(raw, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "s", *names, "keys", "grams"])
+            s = np.array([xxhash.xxh64_intdigest(x, SEED) for x in raw], dtype=np.uint64).view(np.int64)
+            cols = [part.column("doc_id"), pa.array(s), *(pa.array(f[:, i]) for i in range(words)), pa.array([bands(g).tobytes() for g in sets], pa.binary()), pa.array(raw, pa.binary()), part.column("own")]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "s", *names, "keys", "grams", "own"])
 
-    picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(go, _typed(["doc_id", "s", *names]) + ", keys binary, grams binary")
+    text = F.col("text").cast("string")
+    picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("own"))
+    return picked.mapInArrow(go, _typed(["doc_id", "s", *names]) + ", keys binary, grams binary, own bigint")
 
 
 def similar(a: np.ndarray, b: np.ndarray, ratio: Fraction) -> bool:
@@ -389,7 +390,7 @@ def candidate_bits(words: int) -> int:
 
 
 def similar_sets(docs: DataFrame, shingle: int, similarity: float, words: int) -> DataFrame:
-    """doc_id and group for each row of docs: the connected sets of shingles of at least this Jaccard similarity."""
+    """doc_id, own (a hash of the text) and group for each row of docs: the connected sets of shingles of at least this Jaccard similarity."""
     if similarity < 0.8:
         raise ValueError("tables and radius are made for similarities of 0.8 and more")
     ratio, names = Fraction(str(similarity)), [f"f{i}" for i in range(words)]
@@ -407,7 +408,7 @@ def similar_sets(docs: DataFrame, shingle: int, similarity: float, words: int) -
     near = components(_met(rows, words, candidate_bits(words)))
     members = cut(nodes.select("s", *names, "grams").join(near, F.col("s") == F.col("node")).select("component", "s", *names, "grams"))
     joined = components(_verified(members, words, ratio, candidate_bits(words))).withColumnRenamed("component", "group")
-    return found.select("doc_id", "s").join(joined, F.col("s") == F.col("node"), "left").select("doc_id", F.coalesce("group", "s").alias("group"))
+    return found.select("doc_id", "own", "s").join(joined, F.col("s") == F.col("node"), "left").select("doc_id", "own", F.coalesce("group", "s").alias("group"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
@@ -416,13 +417,15 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     Two documents are near-duplicates where the Jaccard similarity of their sets of shingles is at least `similarity`,
     and groups are connected by such pairs. Candidates share a MinHash table's key (a pair at 0.8 shares none of the
     28 with a probability of 0.00002) and have SimHashes of 64 * words bits within `candidate_bits`; what is linked is
-    decided by the sets themselves.
+    decided by the sets themselves. Where a doc_id is repeated, each of its rows goes or stays by its own text; rows of
+    the group's least doc_id all stay, and so do rows without a doc_id.
     """
     found = similar_sets(docs, shingle, similarity, words).where(F.col("doc_id").isNotNull())
-    name = fresh("lost_id", docs)
+    name, text = fresh("lost_id", docs), fresh("lost_text", docs)
     least = found.groupBy("group").agg(F.min("doc_id").alias("least"))
-    losing = found.distinct().join(least, "group").where(F.col("least") < F.col("doc_id")).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(losing.hint("shuffle_hash"), docs["doc_id"] == F.col(name), "left_anti")
+    losing = found.distinct().join(least, "group").where(F.col("least") < F.col("doc_id")).select(F.col("doc_id").alias(name), F.col("own").alias(text)).distinct()
+    same = (docs["doc_id"] == F.col(name)) & (F.xxhash64(docs["text"].cast("string")) == F.col(text))
+    return docs.join(losing.hint("shuffle_hash"), same, "left_anti")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -332,6 +332,13 @@ def test_near_duplicates_equal_brute_force_at_the_threshold(spark, monkeypatch,
     assert kept == {i for i, x in enumerate(label) if i == x}
 
 
+def test_a_repeated_doc_id_goes_or_stays_by_its_text(spark):
+    rng = np.random.default_rng(12)
+    a, b = words(rng, 50), words(rng, 50)
+    kept = simhash.drop_near_duplicates(spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (3, b)], DOCS))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (2, b)]
+
+
 def test_long_chains_are_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)], "u bigint, v bigint")
     got = {r.node: r.component for r in components.components(edges).collect()}
