@@ -285,24 +285,23 @@ def bands(grams: np.ndarray) -> np.ndarray:
     return keys
 
 
-def sketches(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """doc_id, s (a hash of the set of shingles), f0, ... (SimHash of the set), keys, grams and own (a hash of the text) for each row of docs."""
-    names = [f"f{i}" for i in range(words)]
+def sketches(docs: DataFrame, shingle: int, words: int, sets: bool = False) -> DataFrame:
+    """docs (doc_id, text, ...) with s (a hash of the set of shingles) and f0, ... (SimHash of the set) for the text, and its keys or, on demand, the set itself as grams."""
+    names, last = [f"f{i}" for i in range(words)], "grams" if sets else "keys"
+    kept = [c for c in docs.columns if c != "text"]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
-            sets = [_grams(t, shingle) for t in utf8(part.column("text"))]
+            found = [_grams(t, shingle) for t in utf8(part.column("text"))]
             with np.errstate(over="ignore"):
-                f = [[majority(mix(g + np.uint64(i * 0x9E3779B97F4A7C15 & _MASK)) if i else g) if len(g) else 0 for i in range(words)] for g in sets]
+                f = [[majority(mix(g + np.uint64(i * 0x9E3779B97F4A7C15 & _MASK)) if i else g) if len(g) else 0 for i in range(words)] for g in found]
             f = np.array(f, dtype=np.uint64).reshape(-1, words).view(np.int64)
-            raw = [g.tobytes() for g in sets]
+            raw = [g.tobytes() for g in found]
             s = np.array([xxhash.xxh64_intdigest(x, SEED) for x in raw], dtype=np.uint64).view(np.int64)
-            cols = [part.column("doc_id"), pa.array(s), *(pa.array(f[:, i]) for i in range(words)), pa.array([bands(g).tobytes() for g in sets], pa.binary()), pa.array(raw, pa.binary()), part.column("own")]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "s", *names, "keys", "grams", "own"])
+            end = pa.array(raw if sets else [bands(g).tobytes() for g in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(s), *(pa.array(f[:, i]) for i in range(words)), end], [*kept, "s", *names, last])
 
-    text = F.col("text").cast("string")
-    picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("own"))
-    return picked.mapInArrow(go, _typed(["doc_id", "s", *names]) + ", keys binary, grams binary, own bigint")
+    return docs.mapInArrow(go, _typed([*kept, "s", *names]) + f", {last} binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, ratio: Fraction) -> bool:
@@ -394,7 +393,9 @@ def similar_sets(docs: DataFrame, shingle: int, similarity: float, words: int) -
     if similarity < 0.8:
         raise ValueError("tables and radius are made for similarities of 0.8 and more")
     ratio, names = Fraction(str(similarity)), [f"f{i}" for i in range(words)]
-    found = cut(sketches(docs, shingle, words))
+    text = F.col("text").cast("string")
+    picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("own"))
+    found = cut(sketches(picked, shingle, words))
     nodes = found.where(F.col("doc_id").isNotNull()).dropDuplicates(["s"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,7 +407,10 @@ def similar_sets(docs: DataFrame, shingle: int, similarity: float, words: int) -
 
     rows = nodes.select("s", *names, "keys").mapInArrow(deal, _typed(["t", "k", "rep", *names]))
     near = components(_met(rows, words, candidate_bits(words)))
-    members = cut(nodes.select("s", *names, "grams").join(near, F.col("s") == F.col("node")).select("component", "s", *names, "grams"))
+    # Only candidates' texts are read again for their sets, one row for each set.
+    chosen = cut(nodes.select("doc_id", "own", "s").join(near, F.col("s") == F.col("node")).select("doc_id", "own", "component"))
+    texts = picked.join(chosen, ["doc_id", "own"]).dropDuplicates(["doc_id", "own"])
+    members = cut(sketches(texts, shingle, words, sets=True).select("component", "s", *names, "grams"))
     joined = components(_verified(members, words, ratio, candidate_bits(words))).withColumnRenamed("component", "group")
     return found.select("doc_id", "own", "s").join(joined, F.col("s") == F.col("node"), "left").select("doc_id", "own", F.coalesce("group", "s").alias("group"))
 
