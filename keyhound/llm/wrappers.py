@@ -24,6 +24,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,9 +36,11 @@ from .common import cut, table
 from .url_filter import split_url
 
 MAX_BROADCAST = 32 << 20
-#: Groups kept below one group of a wrapper; rarer ones beyond it keep their names' meaning without statistics.
+#: Groups kept below one group of a wrapper, and levels of a wrapper (not of a page); what is beyond is summed up in a
+#: group OTHER, which is never a region.
 MAX_GROUPS = 200
 MAX_DEPTH = 60
+OTHER = "*"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
@@ -85,6 +88,12 @@ class Node:
 def parse(page: str) -> Node:
     root = Node("", "", False)
     stack, end, raw = [root], 0, None
+    opened: Counter[str] = Counter()
+
+    def cut_at(i: int) -> None:
+        opened.subtract(n.tag for n in stack[i:])
+        del stack[i:]
+
     for m in _TOKEN.finditer(page):
         if raw is not None and not (m[1] and m[2].lower() == raw):
             continue
@@ -96,26 +105,24 @@ def parse(page: str) -> Node:
         tag = m[2].lower()
         if m[1]:
             raw = None
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                cut_at(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
-        tags = [n.tag for n in stack]
-        if "p" in tags and tag not in _NOT_IN_P:
-            del stack[len(tags) - 1 - tags[::-1].index("p") :]
+        if opened["p"] and tag not in _NOT_IN_P:
+            cut_at(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"))
         elif tag in _ENDS:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in _SCOPE[tag]:
                     break
                 if stack[i].tag in _ENDS[tag]:
-                    del stack[i:]
+                    cut_at(i)
         node = Node(tag, *_label(tag, m[3]))
         stack[-1].items.append(node)
         if tag in _RAW and not m[0].endswith("/>"):
             raw = tag
-        if tag not in _VOID and not m[0].endswith("/>") and len(stack) < MAX_DEPTH:
+        if tag not in _VOID and not m[0].endswith("/>"):
             stack.append(node)
+            opened[tag] += 1
     if raw is None and end < len(page):
         stack[-1].items.append(page[end:])
     return root
@@ -125,7 +132,47 @@ def parse(page: str) -> Node:
 NAME, OUT, REPEATED, OPTIONAL, PAGES, TEXT, LINKED, GROUPS = range(8)
 
 
-def wrap(node: Node, linked: bool = False) -> list:
+def _sums(node: Node, linked: bool) -> list:
+    """All text of a group outside of groups named as something else, as one group OTHER."""
+    own, todo = [OTHER, 0, 0, 0, 1, 0, 0, []], [(node, linked)]
+    while todo:
+        n, linked = todo.pop()
+        if n.out:
+            continue
+        linked = linked or n.tag == "a"
+        size = sum(len(x.strip()) for x in n.items if isinstance(x, str))
+        own[TEXT] += size
+        own[LINKED] += size * linked
+        todo += [(x, linked) for x in n.items if not isinstance(x, str)]
+    return own
+
+
+def _other(w: list) -> list:
+    """A wrapper's sums as one group OTHER."""
+    text = linked = 0
+    todo = [w]
+    while todo:
+        g = todo.pop()
+        if not g[OUT]:
+            text, linked = text + g[TEXT], linked + g[LINKED]
+            todo += g[GROUPS]
+    return [OTHER, 0, 1, 1, w[PAGES], text, linked, []]
+
+
+def _add(a: list, g: list, at: int | None = None) -> None:
+    """Puts a group that is new below a into its groups, or its sums into OTHER where there are enough."""
+    other = next((x for x in a[GROUPS] if x[NAME] == OTHER), None)
+    if g[NAME] != OTHER and len(a[GROUPS]) - (other is not None) >= MAX_GROUPS:
+        g = _other(g)
+    if g[NAME] != OTHER:
+        a[GROUPS].insert(len(a[GROUPS]) if at is None else at, g)
+    elif other is None:
+        a[GROUPS].append(g)
+    else:
+        align(other, g)
+
+
+def wrap(node: Node, linked: bool = False, depth: int = 0) -> list:
     """The wrapper of one page: its groups, with those of one name next to each other as one repeated group."""
     linked = linked or node.tag == "a"
     own = [node.label, int(node.out), 0, 0, 1, 0, 0, []]
@@ -135,10 +182,10 @@ def wrap(node: Node, linked: bool = False) -> list:
             own[TEXT] += n
             own[LINKED] += n * linked
             continue
-        w = wrap(x, linked)
+        w = wrap(x, linked, depth + 1) if depth < MAX_DEPTH else _sums(x, linked)
         same = next((g for g in own[GROUPS] if g[NAME] == w[NAME]), None)
         if same is None:
-            own[GROUPS].append(w)
+            _add(own, w)
         else:
             align(same, w)
             same[REPEATED], same[PAGES] = 1, 1
@@ -160,8 +207,8 @@ def align(a: list, b: list) -> list:
             align(own, g)
             matched.add(g[NAME])
             at = a[GROUPS].index(own) + 1
-        elif len(a[GROUPS]) < MAX_GROUPS:
-            a[GROUPS].insert(at, [*g[:OPTIONAL], 1, *g[OPTIONAL + 1 :]])
+        else:
+            _add(a, [*g[:OPTIONAL], 1, *g[OPTIONAL + 1 :]], at)
             matched.add(g[NAME])
             at += 1
     for g in a[GROUPS]:
@@ -217,14 +264,14 @@ def main_text(page: str | None, path: list[str]) -> str:
     out: list[str] = []
 
     def collect(n: Node) -> None:
-        for x in n.items:
+        todo: list[Node | str] = [*reversed(n.items)]
+        while todo:
+            x = todo.pop()
             if isinstance(x, str):
                 out.append(html.unescape(x))
             elif not x.out or x.tag == "header":
-                block = x.tag not in _INLINE
-                out.append(" " * block)
-                collect(x)
-                out.append(" " * block)
+                space = " " * (x.tag not in _INLINE)
+                todo += [space, *reversed(x.items), space]
 
     def find(n: Node, k: int) -> bool:
         if k == len(path):

@@ -242,6 +242,18 @@ def test_alignment_marks_optional_and_repeated_groups():
     assert wrappers.expression(wrappers.align(one, two)) == "<div>(<h1>#TEXT </>)? (<p>#TEXT </>)+</>"
 
 
+def test_deep_pages_lose_nothing_and_many_groups_keep_their_sums():
+    for n in (70, 3000):
+        page = f"<body><div class=page><article><p>first</p>{'<div>' * n}deep<nav>menu</nav>{'</div>' * n}<p>last</p></article></div></body>"
+        w = wrappers.wrap(wrappers.parse(page))
+        assert wrappers.main_text(page, wrappers.region(w)) == "first deep last"
+    own = wrappers.wrap(wrappers.parse("<div></div>"))
+    for i in range(600):
+        name = "".join(chr(97 + int(c)) for c in str(i))
+        wrappers.align(own, wrappers.wrap(wrappers.parse(f"<div><p class=x{name}>text</p></div>")))
+    assert wrappers._mass(own) == 600 * 4
+
+
 # -- 7: SimHash
 
 
