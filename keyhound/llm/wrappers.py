@@ -7,10 +7,11 @@ slot. Alignment is a merge of wrappers, so tasks first align the pages that they
 two steps, and what meets is one small wrapper for each task and host, never a host's pages.
 
 The wrapper's groups gather how much text and how much linked text their slots hold over all of the host's pages.
-From these and the names of groups the main region is chosen: the article or main group of the most text, else the
-deepest group that still holds most of the text that isn't boilerplate. A page's text is what stands in the
-slots of that region, outside of groups named as menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments.
+From these and the names of groups the main region is chosen: within the host's main group, if it has a single one
+with text, the deepest group that holds all text that isn't boilerplate. Boilerplate are groups named as menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles and comments, and, beside the region, groups of mostly
+linked text and groups with the same text on all of the host's pages, three at least. A page's text is what stands
+in the slots of that region, outside of groups named as boilerplate.
 
 Wrappers are joined to pages by host; they are broadcast only where their measured size is below `MAX_BROADCAST`.
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 import html
 import json
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -58,7 +60,6 @@ _OUT_NAME = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|sponsor\w*|banner|promo\w*|menu\w*|nav\w*|breadcrumbs?|sidebar\w*|side|aside|rail|widgets?|footer\w*|foot|masthead|topbar|toolbar|header|site-?header|page-?header|"
     r"comment\w*|disqus|repl(?:y|ies)|responses?|discussion|notices?|cookies?|consent|gdpr|alerts?|popups?|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|pagination|pager|skip|search|legal|copyright)(?:$|[^a-z])"
 )
-_MAIN_NAME = re.compile(r"(?:^|[^a-z])(?:article\w*|main\w*|content|post|entry|story|body-?text|body)(?:$|[^a-z])")
 
 
 def _label(tag: str, attributes: str) -> tuple[str, bool]:
@@ -128,13 +129,16 @@ def parse(page: str) -> Node:
     return root
 
 
-# A wrapper is a list: name, out (0/1), repeated (0/1), optional (0/1), pages, text, linked text, groups.
-NAME, OUT, REPEATED, OPTIONAL, PAGES, TEXT, LINKED, GROUPS = range(8)
+# A wrapper is a list: name, out (0/1), repeated (0/1), optional (0/1), pages, text, linked text, groups, and a hash of
+# all text in the group, 0 where pages differ in it.
+NAME, OUT, REPEATED, OPTIONAL, PAGES, TEXT, LINKED, GROUPS, SAME = range(9)
+#: Pages on which a group's text has to be the same to be taken for boilerplate.
+MIN_PAGES = 3
 
 
 def _sums(node: Node, linked: bool) -> list:
     """All text of a group outside of groups named as something else, as one group OTHER."""
-    own, todo = [OTHER, 0, 0, 0, 1, 0, 0, []], [(node, linked)]
+    own, todo = [OTHER, 0, 0, 0, 1, 0, 0, [], 0], [(node, linked)]
     while todo:
         n, linked = todo.pop()
         if n.out:
@@ -156,7 +160,7 @@ def _other(w: list) -> list:
         if not g[OUT]:
             text, linked = text + g[TEXT], linked + g[LINKED]
             todo += g[GROUPS]
-    return [OTHER, 0, 1, 1, w[PAGES], text, linked, []]
+    return [OTHER, 0, 1, 1, w[PAGES], text, linked, [], 0]
 
 
 def _add(a: list, g: list, at: int | None = None) -> None:
@@ -175,20 +179,24 @@ def _add(a: list, g: list, at: int | None = None) -> None:
 def wrap(node: Node, linked: bool = False, depth: int = 0) -> list:
     """The wrapper of one page: its groups, with those of one name next to each other as one repeated group."""
     linked = linked or node.tag == "a"
-    own = [node.label, int(node.out), 0, 0, 1, 0, 0, []]
+    own, texts = [node.label, int(node.out), 0, 0, 1, 0, 0, [], 0], []
     for x in node.items:
         if isinstance(x, str):
             n = len(x.strip())
             own[TEXT] += n
             own[LINKED] += n * linked
+            texts.append(x.strip())
             continue
         w = wrap(x, linked, depth + 1) if depth < MAX_DEPTH else _sums(x, linked)
+        texts.append(w[SAME])
         same = next((g for g in own[GROUPS] if g[NAME] == w[NAME]), None)
         if same is None:
             _add(own, w)
         else:
+            both = zlib.crc32(repr((same[SAME], w[SAME])).encode()) if same[SAME] and w[SAME] else 0
             align(same, w)
-            same[REPEATED], same[PAGES] = 1, 1
+            same[REPEATED], same[PAGES], same[SAME] = 1, 1, both
+    own[SAME] = zlib.crc32(repr(texts).encode()) if all(texts) else 0
     return own
 
 
@@ -197,6 +205,7 @@ def align(a: list, b: list) -> list:
     a[OUT] |= b[OUT]
     a[REPEATED] |= b[REPEATED]
     a[OPTIONAL] |= b[OPTIONAL]
+    a[SAME] *= a[SAME] == b[SAME]
     for i in (PAGES, TEXT, LINKED):
         a[i] += b[i]
     places = {g[NAME]: i for i, g in enumerate(a[GROUPS])}
@@ -229,33 +238,40 @@ def _mass(w: list) -> float:
     return 0.0 if w[OUT] else max(0, w[TEXT] - w[LINKED]) + sum(map(_mass, w[GROUPS]))
 
 
+def _inferred(w: list) -> bool:
+    """Whether a group is boilerplate by what it holds: mostly linked text, or one text on all pages."""
+    text, linked = _other(w)[TEXT : LINKED + 1]
+    return 2 * linked > text or bool(w[SAME]) and w[PAGES] >= MIN_PAGES
+
+
 def region(w: list) -> list[str]:
     """The path of names from the root to the main region."""
-    named: list[tuple[float, list[str]]] = []
+    mains: list[list[str]] = []
 
     def visit(g: list, path: list[str]) -> None:
         for x in g[GROUPS]:
             if x[OUT]:
                 continue
-            tag = x[NAME].split(".")[0]
-            if tag in ("article", "main") or x[NAME].endswith((".main", ".article")):
-                named.append((_mass(x) * (1.5 if tag == "article" else 1), [*path, x[NAME]]))
-            visit(x, [*path, x[NAME]])
+            if x[NAME].split(".")[0] == "main" or x[NAME].endswith(".main"):
+                if _mass(x):
+                    mains.append([*path, x[NAME]])
+            else:
+                visit(x, [*path, x[NAME]])
 
     visit(w, [])
-    total = _mass(w)
-    named = [x for x in named if x[0] >= 0.25 * total]
-    if named and total:
-        return max(named, key=lambda x: (x[0], -len(x[1])))[1]
-    path: list[str] = []
-    while w[GROUPS]:
-        best = max(w[GROUPS], key=lambda g: _mass(g) * (1.2 if _MAIN_NAME.search(g[NAME].partition(".")[2]) else 1))
+    path = mains[0] if len(mains) == 1 else []
+    for name in path:
+        w = next(g for g in w[GROUPS] if g[NAME] == name)
+    path = [*path]
+    while w[TEXT] <= w[LINKED]:
+        full = [g for g in w[GROUPS] if _mass(g)]
+        rest = [g for g in full if not _inferred(g)] if len(full) > 1 else full
         # Slots of a block or of inline groups are the text itself, not a region around it.
-        tag = best[NAME].split(".")[0]
-        if _mass(best) < 0.6 * max(_mass(w), 1) or tag in _INLINE or tag in ("p", "h1", "h2", "h3", "li", "td", "blockquote", "pre"):
+        tag = rest[0][NAME].split(".")[0] if len(rest) == 1 else OTHER
+        if tag == OTHER or tag in _INLINE or tag in ("p", "h1", "h2", "h3", "li", "td", "blockquote", "pre"):
             break
-        path.append(best[NAME])
-        w = best
+        path.append(rest[0][NAME])
+        w = rest[0]
     return path
 
 

@@ -242,6 +242,25 @@ def test_alignment_marks_optional_and_repeated_groups():
     assert wrappers.expression(wrappers.align(one, two)) == "<div>(<h1>#TEXT </>)? (<p>#TEXT </>)+</>"
 
 
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ("<div class=page><h1>Title {0}</h1><p>Lead {0}</p><div class=content><p>{1}</p></div></div>", "Title {0} Lead {0} {1}"),
+        ("<div class=page><div class=one><p>{1}</p></div><div class=two><p>half {1}</p></div></div>", "{1} half {1}"),
+        ("<main><h1>Title {0}</h1><article><p>{1}</p></article></main><div class=x>far {0}</div>", "Title {0} {1}"),
+        ("<div class=x>the same on each</div><div class=y><p>{1}</p></div>", "{1}"),
+        ("<div class=x>see <a href='/'>{1}</a></div><div class=y><p>{1}</p></div>", "{1}"),
+    ],
+)
+def test_regions_keep_what_stands_beside_the_largest_group(body, want):
+    pages = [PAGE.format(i, body.format(i, f"some words of text {i} " * 9 + "end")) for i in range(4)]
+    w = wrappers.wrap(wrappers.parse(pages[0]))
+    for p in pages[1:]:
+        wrappers.align(w, wrappers.wrap(wrappers.parse(p)))
+    for i, p in enumerate(pages):
+        assert wrappers.main_text(p, wrappers.region(w)) == want.format(i, f"some words of text {i} " * 9 + "end")
+
+
 def test_deep_pages_lose_nothing_and_many_groups_keep_their_sums():
     for n in (70, 3000):
         page = f"<body><div class=page><article><p>first</p>{'<div>' * n}deep<nav>menu</nav>{'</div>' * n}<p>last</p></article></div></body>"
