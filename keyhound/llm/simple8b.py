@@ -121,3 +121,39 @@ def decode_block(words: np.ndarray, offsets: np.ndarray, n: int, block: int) ->
     """One block's values, by its offset alone."""
     end = offsets[block + 1] if block + 1 < len(offsets) else len(words)
     return decode(words[offsets[block] : end], min(BLOCK, n - block * BLOCK))
+
+
+def decode_blocks(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
+    """The n values of all blocks, decoded side by side: each step takes one word of every block, from its offset on."""
+    words = np.ascontiguousarray(words, dtype=np.uint64)
+    out = np.zeros(n, dtype=np.uint64)
+    blocks = -(-n // BLOCK)
+    if len(offsets) != blocks:
+        raise ValueError(f"{len(offsets)} blocks where {blocks} should be")
+    at, to = offsets.astype(np.int64), np.arange(blocks, dtype=np.int64) * BLOCK
+    ends = np.minimum(to + BLOCK, n)
+    heads, firsts = [], []
+    while len(at):
+        heads.append(at)
+        firsts.append(to)
+        sel = (words[at] >> np.uint64(60)).astype(np.int64)
+        to = to + _COUNTS[sel]
+        at = at + 1 + (sel == ESCAPE)
+        on = to < ends
+        if (to > ends).any():
+            raise ValueError("a block's words run past its end")
+        at, to, ends = at[on], to[on], ends[on]
+    if not heads:
+        return out
+    heads, firsts = np.concatenate(heads), np.concatenate(firsts)
+    sel = (words[heads] >> np.uint64(60)).astype(np.int64)
+    for k, (count, width) in enumerate(SELECTORS, 1):
+        own = sel == k
+        if own.any():
+            w, first = words[heads[own]], firsts[own]
+            mask = np.uint64((1 << width) - 1)
+            for j in range(count):
+                out[first + j] = w >> np.uint64(j * width) & mask
+    own = sel == ESCAPE
+    out[firsts[own]] = words[heads[own] + 1]
+    return out

@@ -33,13 +33,11 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .common import checkpoint_dir, table
-from .tokens import encoder, slices, vocabulary_path
+from .tokens import encoding, slices, vocabulary_path
 
 END_ID = 0
 #: Ids in a segment, more only where one document alone has more.
 SEGMENT_IDS = 1 << 19
-#: Pieces that an encoding worker keeps; nothing else runs in it that needs the memory.
-MAX_PIECES = 1_800_000
 SCHEMA = (
     "part int, segment int, first_doc bigint, doc_ids array<bigint>, n_tokens array<int>, n_ids bigint, "
     "ids_before bigint, block_offsets binary, words binary"
@@ -65,9 +63,9 @@ def segments(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_I
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, segment, before, open_docs, open_ids, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
-        for b in batches:
-            for piece in slices(b):
-                ids, bounds = encoder(path, MAX_PIECES).encode(piece.column("text"))
+        with encoding(path) as encoder:
+            for piece in (x for b in batches for x in slices(b)):
+                ids, bounds = encoder.encode(piece.column("text"))
                 for k, doc_id in enumerate(piece.column("doc_id").to_pylist()):
                     own = np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id))
                     if open_docs and size + len(own) > segment_ids:
@@ -76,8 +74,8 @@ def segments(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_I
                     open_docs.append(doc_id)
                     open_ids.append(own)
                     size += len(own)
-        if open_docs:
-            yield _segment(part, segment, before, open_docs, open_ids)
+            if open_docs:
+                yield _segment(part, segment, before, open_docs, open_ids)
 
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -99,8 +97,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decoded(row: dict) -> list[np.ndarray]:
-    """The ids of each document of a segment."""
-    flat = simple8b.decode(np.frombuffer(row["words"], "<u8"), row["n_ids"]).astype("<u4")
+    """The ids of each document of a segment, all of its blocks decoded at once from their offsets."""
+    flat = simple8b.decode_blocks(np.frombuffer(row["words"], "<u8"), np.frombuffer(row["block_offsets"], "<u4"), row["n_ids"]).astype("<u4")
     return np.split(flat, np.cumsum(row["n_tokens"])[:-1])
 
 
@@ -118,7 +116,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    picked = read(spark, path).select("doc_ids", "n_tokens", "n_ids", "words", "base")
+    picked = read(spark, path).select("doc_ids", "n_tokens", "n_ids", "block_offsets", "words", "base")
     return picked.mapInArrow(go, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

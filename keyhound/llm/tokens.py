@@ -1,22 +1,29 @@
-"""Token ids by the tokenizers library, with a bounded memory of pieces already encoded."""
+"""Token ids by the tokenizers library, with a bounded memory of pieces already encoded.
+
+An encoder belongs to the task that makes it: `encoding` gives one and frees all that it holds when the task's
+iterator ends, so a reused worker keeps nothing of it.
+"""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-#: Pieces kept by one worker, in two generations; those not met for a generation go, which changes speed only.
-MAX_PIECES = 1_200_000
+#: Bytes of pieces that an encoder keeps; where they are full it begins anew, which changes speed only.
+MAX_BYTES = 96 << 20
 #: Bytes of text encoded at once.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 #: Texts in which a blank meets other white space or an end, with long runs of newlines or two at the end, or that
 #: hold rarer white space or the marks below.
 _UNSAFE = r"  | \n|\n |\A | \z|\n\n\n|\n\n\z|[\x00\x01\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -38,26 +45,86 @@ def _spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return at
 
 
+class Pieces:
+    """Ids of pieces by the pieces' 128-bit hashes, in arrays: an open hash table and the ids, some 60 bytes for each."""
+
+    def __init__(self, max_bytes: int = MAX_BYTES):
+        self.max_bytes = max_bytes
+        self.clear()
+
+    def clear(self) -> None:
+        self._room(1 << 12)
+        self.store, self.used = np.zeros(1 << 14, dtype=np.uint32), 0
+
+    def _room(self, slots: int) -> None:
+        self.keys, self.checks = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.starts, self.sizes, self.count = np.zeros(slots, np.uint32), np.zeros(slots, np.uint32), 0
+
+    @property
+    def nbytes(self) -> int:
+        return 24 * len(self.keys) + self.store.nbytes
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash (a row of two words), -1 where it isn't known."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        mask = len(self.keys) - 1
+        rest, slot = np.arange(len(h)), (h[:, 0] & np.uint64(mask)).astype(np.int64)
+        while len(rest):
+            k = self.keys[slot]
+            hit = (k == h[rest, 0]) & (self.checks[slot] == h[rest, 1])
+            out[rest[hit]] = slot[hit]
+            on = ~hit & (k != 0)
+            rest, slot = rest[on], slot[on] + 1 & mask
+        return out
+
+    def _put(self, h: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        rest, slot = np.arange(len(h)), (h[:, 0] & np.uint64(mask)).astype(np.int64)
+        while len(rest):
+            free = self.keys[slot] == 0
+            self.starts[slot[free]] = rest[free]  # of several that want a slot the last one written gets it
+            won = free & (self.starts[slot] == rest)
+            at, i = slot[won], rest[won]
+            self.keys[at], self.checks[at], self.starts[at], self.sizes[at] = h[i, 0], h[i, 1], starts[i], sizes[i]
+            rest, slot = rest[~won], slot[~won] + 1 & mask
+        self.count += len(h)
+
+    def add(self, h: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """New pieces, each hash once, with their ids end to end."""
+        if 3 * (self.count + len(h)) > 2 * len(self.keys):
+            kept = np.flatnonzero(self.keys)
+            old = np.stack([self.keys[kept], self.checks[kept]], axis=1), self.starts[kept], self.sizes[kept]
+            self._room(1 << (3 * (self.count + len(h)) // 2).bit_length())
+            self._put(*old)
+        if self.used + len(flat) > len(self.store):
+            self.store = np.concatenate([self.store[: self.used], np.zeros(self.used // 2 + 2 * len(flat), np.uint32)])
+        self.store[self.used : self.used + len(flat)] = flat
+        self._put(h, self.used + np.cumsum(sizes) - sizes, sizes)
+        self.used += len(flat)
+
+
+def _hashed(pieces: Sequence[str]) -> np.ndarray:
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), np.uint64).reshape(-1, 2).copy()
+    h[:, 0] |= np.uint64(1) << np.uint64(63)  # 0 is an empty slot
+    return h
+
+
 class Encoder:
     """Ids equal to those of tokenizers' encode(text, add_special_tokens=False).
 
     The vocabulary's pre-tokenizer never joins what stands on both sides of a single blank between two
     characters that aren't white space; the blank goes with what follows. A newline there, or each of two, stands
-    alone. So such texts are split at blanks and newlines, and each distinct piece goes through the library once. All other texts, and texts that hold
-    a special token's string or over 1 MB, go through the library whole.
+    alone. So such texts are split at blanks and newlines, and each distinct piece goes through the library once.
+    All other texts, and texts that hold a special token's string, go through the library whole.
     """
 
-    def __init__(self, path: str, max_pieces: int = MAX_PIECES):
+    def __init__(self, path: str, max_bytes: int = MAX_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.max_pieces = max_pieces
-        #: Piece to where its ids stand in `store`: first place * 2**20 + number of ids.
-        self.known: dict[str, int] = {}
-        self.store, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.old: tuple[dict[str, int], np.ndarray] = {}, self.store
+        self.pieces = Pieces(max_bytes)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts straight from the library, and each text's number of ids."""
@@ -68,58 +135,48 @@ class Encoder:
         flat, n = self._library(texts)
         return np.split(flat, np.cumsum(n)[:-1]) if len(n) else []
 
-    def _keep(self, pieces: Sequence[str], flat: np.ndarray, n: np.ndarray) -> None:
-        if self.used + len(flat) > len(self.store):
-            self.store = np.concatenate([self.store[: self.used], np.zeros(self.used // 2 + 2 * len(flat), np.uint32)])
-        self.store[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(n) - n
-        self.used += len(flat)
-        self.known.update(zip(pieces, ((at << 20) + n).tolist(), strict=True))
-
-    def _places(self, distinct: list[str]) -> np.ndarray:
-        if len(self.known) > self.max_pieces // 2:
-            self.old = self.known, self.store[: self.used].copy()
-            self.known, self.store, self.used = {}, np.zeros(1 << 16, dtype=np.uint32), 0
-        known = self.known
-        new = [p for p in distinct if p not in known]
-        # Punctuation after a letter or digit is a piece of its own, so that words meet with and without it.
-        ended = [(p, m[1], "\0" + m[2]) for p in new if (m := _ENDED(p))]
-        if ended:
-            whole, stems, marks = zip(*ended, strict=True)
-            self._learn([*{*new}.difference(whole).union(stems, marks).difference(known)])
-            places = np.fromiter(map(known.__getitem__, chain.from_iterable(zip(stems, marks, strict=True))), np.int64, 2 * len(whole))
-            n = places & 0xFFFFF
-            self._keep(whole, self.store[_spread(places >> 20, n)], n[::2] + n[1::2])
-        else:
-            self._learn(new)
-        return np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
-
-    def _learn(self, new: list[str]) -> None:
-        old, old_store = self.old
-        if old:
-            again = [p for p in new if p in old]
-            new = [p for p in new if p not in old]
-            places = np.fromiter(map(old.__getitem__, again), np.int64, len(again))
-            self._keep(again, old_store[_spread(places >> 20, places & 0xFFFFF)], places & 0xFFFFF)
+    def _places(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each piece begin in the store, and how many they are."""
+        known = self.pieces
+        if known.nbytes > known.max_bytes:
+            known.clear()
+        h = _hashed(distinct)
+        at = known.find(h)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [distinct[i] for i in missing]
+            # Punctuation after a letter or digit is a piece of its own, so that words meet with and without it.
+            ended = [(i, m[1], "\0" + m[2]) for i, p in zip(missing.tolist(), new, strict=True) if (m := _ENDED(p))]
+            if ended:
+                whole, stems, marks = zip(*ended, strict=True)
+                apart = set(whole)
+                self._learn([*{distinct[i] for i in missing.tolist() if i not in apart}.union(stems, marks)])
+                parts = [known.find(_hashed(x)) for x in (stems, marks)]
+                two = np.stack(parts, axis=1).ravel()
+                n = known.sizes[two].astype(np.int64)
+                own = np.array(whole)
+                # A stem that is learnt just now may itself be one of the wholes.
+                fresh = known.find(h[own]) < 0
+                keep = np.repeat(fresh, 2)
+                known.add(h[own[fresh]], known.store[_spread(known.starts[two[keep]].astype(np.int64), n[keep])], (n[::2] + n[1::2])[fresh])
+            else:
+                self._learn(new)
+            at = known.find(h)
+        return known.starts[at].astype(np.int64), known.sizes[at].astype(np.int64)
+
+    def _learn(self, pieces: list[str]) -> None:
+        h = _hashed(pieces)
+        missing = np.flatnonzero(self.pieces.find(h) < 0)
         # NUL marks a piece that has no blank before it: a text's or a line's first. \1 is a newline.
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self._keep(part, *self._library([p[1:] if p[0] == "\0" else "\n" if p == "\1" else " " + p for p in part]))
+        for i in range(0, len(missing), 20_000):
+            at = missing[i : i + 20_000]
+            part = [pieces[k] for k in at]
+            self.pieces.add(h[at], *self._library([p[1:] if p[0] == "\0" else "\n" if p == "\1" else " " + p for p in part]))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and n + 1 offsets into it. Null and empty texts have none."""
-        # Searching a million pieces for cycles, again and again, takes longer than looking them up.
-        on = gc.isenabled()
-        gc.disable()
-        try:
-            return self._encode(texts)
-        finally:
-            if on:
-                gc.enable()
-
-    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        whole = pc.or_(pc.match_substring_regex(texts, _UNSAFE), pc.greater(pc.binary_length(texts), 1 << 20))
+        whole = pc.match_substring_regex(texts, _UNSAFE)
         for s in self.special:
             whole = pc.or_(whole, pc.match_substring(texts, s))
         whole = whole.to_numpy(zero_copy_only=False)
@@ -131,10 +188,10 @@ class Encoder:
         lists = pc.split_pattern(pc.replace_substring(marked, "\n", " \1 \0"), " ")
         coded = lists.values.dictionary_encode()
         index = coded.indices.to_numpy()
-        places = self._places(coded.dictionary.to_pylist())
-        n = (places & 0xFFFFF)[index]
+        starts, n = self._places(coded.dictionary.to_pylist())
+        n = n[index]
         ends = np.cumsum(n)
-        ids = self.store[_spread((places >> 20)[index], n)]
+        ids = self.pieces.store[_spread(starts[index], n)]
         bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         if not apart:
             return ids, bounds
@@ -142,6 +199,25 @@ class Encoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
+@contextmanager
+def encoding(path: str, max_bytes: int = MAX_BYTES) -> Iterator[Encoder]:
+    """An encoder for the rows of one task; what it took goes back to the system at the end, also where the task fails."""
+    own = Encoder(path, max_bytes)
+    try:
+        yield own
+    finally:
+        own.__dict__.clear()
+        released()
+
+
+def released() -> None:
+    """Hands freed memory back to the system, for which the allocators otherwise keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `limit` bytes of text, of one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -153,13 +229,3 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         size += int(n)
     if begin < batch.num_rows:
         yield batch.slice(begin)
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str, max_pieces: int = MAX_PIECES) -> Encoder:
-    """One encoder for each worker process and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path, max_pieces)
-    return _encoders[path]

@@ -69,6 +69,7 @@ def test_simple8b_round_trip_and_blocks(values):
     v = np.array(values, dtype=np.uint64)
     w, o = simple8b.encode(v)
     assert (simple8b.decode(w, len(v)) == v).all()
+    assert (simple8b.decode_blocks(w, o, len(v)) == v).all()
     for k in range(len(o)):
         assert (simple8b.decode_block(w, o, len(v), k) == v[k * simple8b.BLOCK : (k + 1) * simple8b.BLOCK]).all()
 
@@ -79,12 +80,24 @@ ODD = ["a  b", " a b", "a b ", "a\n b", "", None, "it's  ok 12", "<|endoftext|>
 def test_encoder_equals_the_library():
     import pyarrow as pa
 
-    for limit in (1000, 2):
-        e = tokens.Encoder(tokens.vocabulary_path(), limit)
-        for _ in range(2):
-            ids, at = e.encode(pa.array(ODD))
-            want = e.library([t or "" for t in ODD])
-            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [w.tolist() for w in want]
+    for limit in (tokens.MAX_BYTES, 1):
+        with tokens.encoding(tokens.vocabulary_path(), limit) as e:
+            for _ in range(2):
+                ids, at = e.encode(pa.array(ODD))
+                want = e.library([t or "" for t in ODD])
+                assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [w.tolist() for w in want]
+        assert not vars(e)  # nothing outlives the task
+
+
+def test_encoder_keeps_many_pieces_and_any_length():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(14)
+    texts = [" ".join(f"x{i:b}" for i in rng.integers(0, 10**6, 3000)) for _ in range(5)] + ["ab" * 600_000, "é " * 400_000, "a\n" * 300_000]
+    with tokens.encoding(tokens.vocabulary_path()) as e:
+        ids, at = e.encode(pa.array(texts))
+        want = e.library(texts)
+        assert e.pieces.count > 10_000 and all((ids[a:b] == w).all() for a, b, w in zip(at, at[1:], want))
 
 
 def test_token_files_hold_all_documents_in_order(spark, tmp_path):
@@ -128,15 +141,29 @@ def check_packing(rows, ids_of, length):
     return padding
 
 
-@pytest.mark.parametrize("max_open", [4096, 3])
-def test_packing_places_every_id_once_without_padding(max_open):
+def test_packing_places_every_id_once_without_padding():
     rng = np.random.default_rng(2)
-    p, ids_of = packing.Packer(64, max_open), {}
+    p, ids_of = packing.Packer(64), {}
     for i, n in enumerate([1, 64, 65, 128, 63, 1, *rng.integers(1, 200, 300)]):
         ids_of[i] = rng.integers(0, 50000, n).astype("<u4")
-        p.add(i, ids_of[i])
-    p.drain()
-    assert check_packing(p.take(), ids_of, 64) == 0
+        for piece in packing.cut_ids(i, ids_of[i], 64):
+            p.add(piece)
+    p.close()
+    rows = p.take()
+    assert check_packing([r[:7] for r in rows], ids_of, 64) == 0
+    remainders = [r for r in rows if r[7] != "full"]
+    assert sum(r[2] for r in remainders if r[7] == "online") > 0.5 * sum(r[2] for r in remainders)
+
+
+def test_most_remainders_are_placed_online():
+    rng = np.random.default_rng(21)
+    p = packing.Packer()
+    raw = np.zeros(2048, "<u4").tobytes()
+    for n in np.minimum(rng.geometric(1 / 400, 20_000), 2047).tolist():
+        p.add((0, 0, n, 0, n, raw[: 4 * n]))
+    p.close()
+    rows = p.take()
+    assert sum(r[2] for r in rows if r[7] == "online") > 0.9 * sum(r[2] for r in rows)
 
 
 def test_an_item_goes_where_the_sum_of_squares_is_least():
@@ -156,14 +183,17 @@ def test_an_item_goes_where_the_sum_of_squares_is_least():
 
         open_ = [0] + [h for h in range(1, 17 - size) if p.counts[h]]
         assert level in open_ and cost(level) == min(map(cost, open_))
-        p.add(0, np.zeros(size, np.uint32))
+        p.add((0, 0, size, 0, size, b""))
 
 
 def test_packing_a_table(spark):
     d = docs(spark, *ODD, "x " * 5000)
     lib = tokens.Encoder(tokens.vocabulary_path())
     ids = {i: np.append(lib.library([t or ""])[0], 1).astype("<u4") for i, t in enumerate([*ODD, "x " * 5000])}
-    assert check_packing([tuple(r) for r in packing.pack(d).collect()], ids, 2048) == 0
+    for per_task in (packing.PER_TASK, 4):
+        rows = packing.pack(d, per_task=per_task).collect()
+        assert check_packing([tuple(r)[:7] for r in rows], ids, 2048) == 0
+        assert {r.placed for r in rows} <= {"full", "online", "residue"}
     assert packing.pack(d.limit(0)).count() == 0
 
 
