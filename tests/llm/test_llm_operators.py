@@ -267,9 +267,30 @@ def test_main_text_of_two_hosts(spark):
     assert wrappers.extract(pages.limit(0)).count() == 0
 
 
-def test_alignment_marks_optional_and_repeated_groups():
-    one, two = (wrappers.wrap(wrappers.parse(x)) for x in ("<div><p>a</p><p>b</p></div>", "<div><h1>t</h1><p>c</p></div>"))
-    assert wrappers.expression(wrappers.align(one, two)) == "<div>(<h1>#TEXT </>)? (<p>#TEXT </>)+</>"
+def inferred(pages):
+    w = None
+    for p in pages:
+        own = wrappers.wrap(wrappers.parse(p))
+        w = own if w is None else wrappers.align(w, own)
+    return wrappers.decide(wrappers.unflat(wrappers.flat(w)))
+
+
+@pytest.mark.parametrize(
+    "pages, want",
+    [
+        (["<div><p>a</p><p>b</p></div>", "<div><h1>t</h1><p>c</p></div>"], "<div>(<h1>#SAME</>)? (<p>#TEXT</>)+</>"),
+        (["<ul><li>a</li><li>b</li></ul>", "<ul><li>a</li><li>c</li><li>d</li></ul>", "<ul><li>x</li></ul>"], "<ul>(<li>#TEXT</>)+</>"),
+        (["<p>same</p><p>one</p>", "<p>same</p><p>two</p>"], "<p>#SAME</> <p>#TEXT</>"),
+        (["<h2>a</h2><p>b</p>", "<h2>a</h2><p>b</p><h2>c</h2><p>d</p><p>e</p><h2>f</h2><p>g</p>"], "(<h2>#TEXT</> (<p>#TEXT</>)+)+"),
+        (["<div class=x1a>a</div><p>b</p>", "<div class=y>c</div><p>d</p>", "<div class=z>e</div><p>f</p>"], "<div>#TEXT</> <p>#TEXT</>"),
+        (["<p>b</p>", "<div class=x>a</div><p>b</p>", "<div class=y>c</div><p>b</p>", "<div class=z>c</div><p>b</p>"], "(<div>#TEXT</>)? <p>#SAME</>"),
+    ],
+)
+def test_alignment_infers_union_free_expressions(pages, want):
+    assert wrappers.expression(inferred(pages)) == want
+
+
+TEXT = "some words of text {0} " * 9 + "end"
 
 
 @pytest.mark.parametrize(
@@ -279,28 +300,65 @@ def test_alignment_marks_optional_and_repeated_groups():
         ("<div class=page><div class=one><p>{1}</p></div><div class=two><p>half {1}</p></div></div>", "{1} half {1}"),
         ("<main><h1>Title {0}</h1><article><p>{1}</p></article></main><div class=x>far {0}</div>", "Title {0} {1}"),
         ("<div class=x>the same on each</div><div class=y><p>{1}</p></div>", "{1}"),
+        ("<div><b>Sale!</b> now on</div><div><p>{1}</p></div>", "{1}"),
+        ("<article><h1>T {0}</h1><div>our newsletter</div><p>{1}</p></article>", "T {0} {1}"),
+        ("<article><h2>Method</h2><p>{1}</p></article>", "Method {1}"),
         ("<div class=x>see <a href='/'>{1}</a></div><div class=y><p>{1}</p></div>", "{1}"),
+        ("<article>see <ul><li><a href='/'>{1}</a></li></ul></article>", "see {1}"),
+        ("<header><h1>Site {0}</h1></header><article><header><h1>Own {0}</h1></header><p>{1}</p><footer>by {0}</footer></article>", "Own {0} {1}"),
+        *((f'<div class="{x}"><p>{{1}}</p></div>', "{1}") for x in ("post comment-free", "main-content sidebar-right", "article with-sidebar", "entry share", "search-results content", "body legal")),
+        ('<div class="share"><p>{1}</p></div>', "{1}"),
+        ("<div class=page><div class=sidebar>see {0}</div><div class=cookie-notice>ok {0}</div><section id=comments><p>first! {1}</p></section><p>{1}</p></div>", "{1}"),
+        ("<p>a{0}<script>x()</script>b</p><style>p</style><!-- c --><form>name<input></form><p>{1} &lt;i&gt; &eacute;</p>", "a{0}b {1} <i> é"),
     ],
 )
-def test_regions_keep_what_stands_beside_the_largest_group(body, want):
-    pages = [PAGE.format(i, body.format(i, f"some words of text {i} " * 9 + "end")) for i in range(4)]
-    w = wrappers.wrap(wrappers.parse(pages[0]))
-    for p in pages[1:]:
-        wrappers.align(w, wrappers.wrap(wrappers.parse(p)))
+def test_main_text_is_decided_by_slots_and_declarations(body, want):
+    pages = [PAGE.format(i, body.format(i, TEXT.format(i))) for i in range(10)]
+    w = inferred(pages)
     for i, p in enumerate(pages):
-        assert wrappers.main_text(p, wrappers.region(w)) == want.format(i, f"some words of text {i} " * 9 + "end")
+        assert wrappers.main_text(p, w) == want.format(i, TEXT.format(i))
+
 
+def test_a_page_unlike_its_host_and_an_empty_article():
+    pages = [f"<html><body><div class=shell><main><div class=a><div class=b><p>text {i} of it</p></div></div></main></div></body></html>" for i in range(5)]
+    w = inferred(pages)
+    assert wrappers.main_text("<p>hello world body</p>", w) == "hello world body"
+    assert wrappers.main_text("<nav>menu</nav><main><p>other form</p></main><div>far</div>", w) == "other form"
+    assert wrappers.main_text("<html><body><div class=shell><main></main><p>far</p></div></body></html>", w) == ""
+    assert wrappers.main_text(None, w) == "" == wrappers.main_text("", None)
 
-def test_deep_pages_lose_nothing_and_many_groups_keep_their_sums():
+
+def test_pages_of_any_depth_and_hosts_of_any_names():
     for n in (70, 3000):
         page = f"<body><div class=page><article><p>first</p>{'<div>' * n}deep<nav>menu</nav>{'</div>' * n}<p>last</p></article></div></body>"
-        w = wrappers.wrap(wrappers.parse(page))
-        assert wrappers.main_text(page, wrappers.region(w)) == "first deep last"
-    own = wrappers.wrap(wrappers.parse("<div></div>"))
-    for i in range(600):
-        name = "".join(chr(97 + int(c)) for c in str(i))
-        wrappers.align(own, wrappers.wrap(wrappers.parse(f"<div><p class=x{name}>text</p></div>")))
-    assert wrappers._mass(own) == 600 * 4
+        assert wrappers.main_text(page, inferred([page] * 2)) == "first deep last"
+        assert wrappers.main_text("<b>" * n + "x" + "</b>" * n, None) == "x"
+    pages = [f"<div class=x{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}>text {i}</div><p>and {i}</p>" for i in range(600)]
+    w = inferred(pages)
+    assert len(list(wrappers._all(w))) < 12 and wrappers.main_text(pages[7], w) == "text 7 and 7"
+
+
+def test_wrappers_merge_in_any_grouping():
+    pages = [f"<div><h1>t{i}</h1>{'<p>x</p>' * (i % 4)}{'<h2>s</h2><ul><li>q</li></ul>' * (i % 3)}</div>" for i in range(24)]
+    whole = wrappers.expression(inferred(pages))
+    parts = [wrappers.wrap(wrappers.parse(p)) for p in pages]
+    halves = [parts[0], parts[12]]
+    for k in (0, 1):
+        for p in parts[12 * k + 1 : 12 * k + 12]:
+            wrappers.align(halves[k], p)
+    both = wrappers.align(*halves)
+    assert both.pages == 24 and wrappers.expression(both).count("h1") == whole.count("h1") == 1
+    w = wrappers.decide(both)
+    assert all(wrappers.main_text(p, w) == " ".join(wrappers.main_text(p, None).split()) for p in pages)
+
+
+def test_the_registered_extraction(spark):
+    """Repeated rows give repeated rows, and extra columns of clashing names are left out."""
+    rows = [(i // 2, "http://h.example/x", PAGE.format(0, "<article>one and two</article>")) for i in range(4)] + [(None, "no scheme", "<p>x"), (7, None, None)]
+    pages = spark.createDataFrame([(*r, "a", 1) for r in rows], "page_id bigint, url string, html string, text string, host int")
+    for limit in (wrappers.MAX_BROADCAST, 0):
+        got = sorted(map(tuple, wrappers.extract(pages, limit).select("page_id", "text").collect()), key=repr)
+        assert got == sorted([(0, "one and two")] * 2 + [(1, "one and two")] * 2 + [(None, "x"), (7, "")], key=repr)
 
 
 # -- 7: SimHash
