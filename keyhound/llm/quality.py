@@ -1,25 +1,29 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer numpy network.
 
 A text's tokens are split at white space; each gives two terms, the token with A-Z lower-cased and its shape (runs of
-letters, digits and signs). Every term has a sparse random index vector, drawn from its hash. A term's word vector
-is the normalised sum of the index vectors of the terms around it in the training texts. A document's features are
-the mean vectors of its words and of its shapes, over its whole text, with the share of words that are known and the
-logarithm of its number of tokens. The network has one hidden layer; its probabilities are calibrated by a temperature and an
-offset fitted on a quarter of the training rows that it isn't trained on.
-
-Training takes at most `MAX_ROWS` labelled rows (those of the smallest hash of their id), on the driver; the model
-is a few MB at any corpus size and is broadcast. Scoring is a map over documents: no shuffle and no hot keys.
+letters, digits and signs as one character each, of which a shape has `SHAPE` at most). Every term has a sparse random
+index vector, drawn from its hash. A term's word vector is the normalised sum of the index vectors of the terms around
+it in the training texts. A document's features are the mean vectors of its words and of its shapes, over its whole
+text, with the share of words that are known and the logarithm of its number of tokens. The network has one hidden
+layer; its probabilities are calibrated by a temperature and an offset fitted on a quarter of the training rows that it
+isn't trained on.
+
+What is learnt from is bounded, by parameters: `MAX_ROWS` labelled rows, those of the smallest hash of their id and
+text, of at most `MAX_BYTES` of text each (longer ones are scored whole but not trained on). The model's terms are
+those in `MIN_TEXTS` training texts at least, `MAX_WORDS` of them, the most frequent first. So the driver holds the
+sample, at most MAX_ROWS * MAX_BYTES, and the model, some 8 MB at any corpus size, which is broadcast. Scoring is a map
+over documents: no shuffle, no hot keys, and what a task caches goes with the task.
 
 Defined cases: null and empty texts have zero features and a score; rows without a label or with a null text aren't
-trained on; with no labelled rows, or one class only, the score is that class's share (0.5 if there is none); other
-columns, among them lang, source and doc_id, are no inputs of a score; an empty table gives no rows.
+trained on, nor are ids whose labels contradict each other; rows that repeat a doc_id are scored each, and may be
+trained on each; with no labelled rows, or one class only, the score is that class's share (0.5 if there is none);
+other columns, among them lang, source and doc_id, are no inputs of a score; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,25 +35,48 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import table
 from .line_dedup import fresh
+from .simhash import mix
+from .tokens import released
 
-MAX_ROWS = 4000
-MAX_WORDS = 30_000
+MAX_ROWS, MAX_BYTES = 4000, 32 << 10
+MAX_WORDS, MIN_TEXTS, SHAPE = 30_000, 3, 12
 DIM, NONZERO, REACH, HIDDEN = 64, 6, 2, 32
 THRESHOLD = 0.3
+#: Distinct tokens that a task keeps the places of.
+_CACHE = 150_000
 _RUNS = re.compile(r"(.)\1+", re.S)
 
 
-def shape(token: str) -> str:
-    """Letters as a or A, digits as 9, other characters as they are; each run as one, and at most 12 of them."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in token)
-    return _RUNS.sub(r"\1", kinds)[:12]
+class _Kinds(dict):
+    """A translation table: letters to a or A, digits to 9, other characters to themselves."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = kind = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
+        return kind
+
+
+def shape(token: str, kinds: _Kinds) -> str:
+    return _RUNS.sub(r"\1", token.translate(kinds))[:SHAPE]
 
 
-def index_vector(term: str) -> np.ndarray:
-    rng = np.random.default_rng(xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")))
-    v = np.zeros(DIM, dtype=np.float32)
-    v[rng.choice(DIM, NONZERO, replace=False)] = rng.choice([-1.0, 1.0], NONZERO)
-    return v
+def index_vectors(terms: list[str]) -> np.ndarray:
+    """A row for each term: NONZERO times 1 or -1 added at places drawn from the term's hash."""
+    h = np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in terms), np.uint64, len(terms))
+    out = np.zeros((len(terms), DIM), dtype=np.float32)
+    for i in range(NONZERO):
+        with np.errstate(over="ignore"):
+            drawn = mix(h + np.uint64(0x9E3779B97F4A7C15) * np.uint64(i + 1))
+        out[np.arange(len(terms)), (drawn >> np.uint64(1)) % np.uint64(DIM)] += 1 - 2 * (drawn & np.uint64(1)).astype(np.float32)
+    return out
+
+
+def _summed(matrix: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """matrix[at] += rows, where a place may occur many times."""
+    order = np.argsort(at, kind="stable")
+    places, first = np.unique(at[order], return_index=True)
+    if len(places):
+        matrix[places] += np.add.reduceat(rows[order], first, axis=0)
 
 
 class Vectors:
@@ -58,24 +85,33 @@ class Vectors:
     def __init__(self, ids: dict[str, int], matrix: np.ndarray):
         self.ids, self.matrix = ids, matrix
         self.cache: dict[str, tuple[int, int]] = {}
+        self.kinds = _Kinds()
+
+    def __getstate__(self):
+        return self.ids, self.matrix
+
+    def __setstate__(self, state):
+        self.__init__(*state)
 
     @classmethod
     def learn(cls, texts: list[str], max_words: int = MAX_WORDS) -> Vectors:
-        tokens = [t.split() for t in texts]
-        seen = Counter(x for own in tokens for x in {"w" + t.lower() for t in own} | {"s" + shape(t) for t in own})
-        terms = [t for t, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n >= 3][:max_words]
-        ids = {t: i for i, t in enumerate(terms)}
-        index = np.array([index_vector(t) for t in terms] + [np.zeros(DIM)], dtype=np.float32).reshape(-1, DIM)
-        self = cls(ids, np.zeros_like(index))
-        for own in tokens:
-            w, s = self.look(own)
+        kinds, seen = _Kinds(), {}
+        for t in texts:
+            own = set(t.split())
+            for x in {"w" + x.lower() for x in own} | {"s" + shape(x, kinds) for x in own}:
+                seen[x] = seen.get(x, 0) + 1
+        terms = [t for t, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n >= MIN_TEXTS][:max_words]
+        index = np.concatenate([index_vectors(terms), np.zeros((1, DIM), dtype=np.float32)])
+        self = cls({t: i for i, t in enumerate(terms)}, np.zeros_like(index))
+        for t in texts:
+            w, s = self.look(t.split())
             both = index[w] + index[s]
             around = np.zeros_like(both)
             for d in range(1, REACH + 1):
                 around[d:] += both[:-d]
                 around[:-d] += both[d:]
-            np.add.at(self.matrix, w, around)
-            np.add.at(self.matrix, s, around)
+            _summed(self.matrix, w, around)
+            _summed(self.matrix, s, around)
         self.matrix[-1] = 0
         norm = np.linalg.norm(self.matrix, axis=1, keepdims=True)
         self.matrix /= np.maximum(norm, 1e-9)
@@ -83,12 +119,11 @@ class Vectors:
 
     def look(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The places of the tokens' words and shapes; what isn't known is the last place."""
-        if len(self.cache) > 150_000:
+        if len(self.cache) > _CACHE:
             self.cache.clear()
-        cache, none = self.cache, len(self.ids)
-        for t in set(tokens):
-            if t not in cache:
-                cache[t] = self.ids.get("w" + t.lower(), none), self.ids.get("s" + shape(t), none)
+        cache, ids, none, kinds = self.cache, self.ids, len(self.ids), self.kinds
+        for t in set(tokens).difference(cache):
+            cache[t] = ids.get("w" + t.lower(), none), ids.get("s" + shape(t, kinds), none)
         flat = np.fromiter(itertools.chain.from_iterable(map(cache.__getitem__, tokens)), np.int32, 2 * len(tokens))
         return flat[::2], flat[1::2]
 
@@ -181,12 +216,14 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """A model of labels.quality, from at most max_rows labelled documents that aren't held out."""
-    ids = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ids = ids.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("y")).dropDuplicates(["label_id"])
-    ids = ids.orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    rows = found.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    one = own.groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").cast("int").alias("y"), F.max("quality").cast("int").alias("z")).where("y = z")
+    # The labels of the smallest hashes are few enough to broadcast; twice as many as rows, as some have no text to train on.
+    ids = one.orderBy(F.xxhash64("label_id"), "label_id").limit(2 * max_rows)
+    text = F.col("text").cast("string")
+    found = docs.select("doc_id", text.alias("text")).where(F.octet_length(text) <= MAX_BYTES)
+    found = found.join(F.broadcast(ids.drop("z")), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y")
+    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(max_rows).collect()
     y = np.array([r.y for r in rows], dtype=np.float64)
     if len(set(y)) < 2:
         return Model(None, None, float(y.mean()) if len(y) else 0.5)
@@ -196,7 +233,6 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     network = Network(x.shape[1]).fit(x[~apart], y[~apart])
     if len(set(y[apart])) == 2:
         network.calibrate(x[apart], y[apart])
-    vectors.cache.clear()
     return Model(vectors, network, float(y.mean()))
 
 
@@ -212,13 +248,20 @@ def scored(docs: DataFrame, model: Model, keep_from: float | None = None) -> Dat
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        for b in batches:
-            at = b.schema.names.index("text")
-            found = shared.value.score(pc.cast(b.column(at), pa.string()).to_pylist())
-            if keep_from is not None:
-                yield b.filter(pa.array(found >= keep_from))
-            else:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, name])
+        model = shared.value
+        try:
+            for b in batches:
+                at = b.schema.names.index("text")
+                found = model.score(pc.cast(b.column(at), pa.string()).to_pylist())
+                if keep_from is not None:
+                    yield b.filter(pa.array(found >= keep_from))
+                else:
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, name])
+        finally:
+            if model.vectors is not None:
+                model.vectors.cache.clear()
+                model.vectors.kinds.clear()
+            released()
 
     schema = docs.schema if keep_from is not None else _with(docs, name)
     return docs.mapInArrow(go, schema)

@@ -1,6 +1,7 @@
 """Each operator against brute force, a round trip or planted cases, and its defined cases."""
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -496,27 +497,70 @@ def test_a_cascade_is_exact_over_its_universe():
 # -- 9: I-Match
 
 
-def test_imatch_edits_and_likeness(spark):
+def brute_imatch(texts, min_share, max_share):
+    """Fingerprints in plain Python: sets, sorted lists, one sub-lexicon after another."""
+    m = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+        return x ^ x >> 31
+
+    terms = lambda t: {xxhash.xxh64_intdigest(w, 0) for w in decontaminate.words(t.encode())}
+    df = {}
+    for t in texts:
+        for h in terms(t):
+            df[h] = df.get(h, 0) + 1
+    n = len(texts)
+    band = {h for h, c in df.items() if max(2, math.ceil(min_share * n)) <= c <= max(2, math.floor(max_share * n))}
+
+    def make(t):
+        own = sorted(terms(t))
+        h = [x for x in own if x in band]
+        if not h:
+            return b"\0" + hashlib.sha256(b"".join(x.to_bytes(8, "little") for x in own)).digest()[:8]
+        out = b"\1" + xxhash.xxh64_digest(b"".join(x.to_bytes(8, "little") for x in h))
+        for level in range(1, imatch.LEVELS + 1):
+            for s in range(1, imatch.SUBSETS + 1):
+                salt = mix(s * (0x9E3779B97F4A7C15 & (1 << 63) - 1) & m)
+                kept = [x for x in h if mix(x ^ salt) < 1 << 64 - 2 * level]
+                listed = sum(mix(x + mix(i + 1) & m) for i, x in enumerate(kept)) & m
+                out += (1 + mix(listed) % 65535 if kept else 0).to_bytes(2, "little")
+        return out
+
+    return make
+
+
+def test_imatch_equals_brute_force(spark):
     rng = np.random.default_rng(8)
-    texts = [words(rng, 200, 5000) for _ in range(60)] + [None, "", "é", "one"]
-    d = spark.createDataFrame([(i * 7 % 100, t, 1) for i, t in enumerate(texts)], DOCS + ", fingerprint int")
-    got = {r.doc_id: r for r in imatch.fingerprints(d).collect()}
-    order = sorted((i * 7 % 100, t or "") for i, t in enumerate(texts))
+    texts = [words(rng, 200, 5000) for _ in range(60)] + [None, "", "é", "one", words(rng, 6000, 5000), "w1 w2 " * 3]
+    rows = [(i * 7 % 100, t, 1) for i, t in enumerate(texts)] + [(None, texts[3], 1), (7, texts[5], 1), (7, texts[1], 1), (7, texts[1], 1)]
+    d = spark.createDataFrame(rows, DOCS + ", fingerprint int")
+    make = brute_imatch([t or "" for _, t, _ in rows], 0.02, 0.2)
+    h = {t or "": r for r, t in ((r[0], r[1]) for r in d.select(F.xxhash64(F.coalesce("text", F.lit(""))), "text").collect())}
+    order = sorted(((i, t or "") for i, t, _ in rows), key=lambda x: (x[0] is not None, x[0] or 0, h[x[1]], x[1]))
+    want = []
     for (doc_id, t), (_, after) in zip(order, [*order[1:], order[0]]):
         n = len(t) // 4
-        assert got[doc_id].edited_sha256 == hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()
-        assert got[doc_id].n_chars == len(t)
-    long_ = [r for r in got.values() if r.n_chars > 100]
-    assert np.mean([r.near_edited for r in long_]) > 0.3 > 0.05 > np.mean([r.near_next for r in long_])
+        e = t[: len(t) - n] + after[:n]
+        a, b, c = make(t), make(e), make(after)
+        want.append((doc_id, len(t), hashlib.sha256(e.encode()).hexdigest(), a.hex(), b.hex(), imatch.likeness(a, b), imatch.likeness(a, c)))
+    for parts in ("4", "1"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = [tuple(r) for r in imatch.fingerprints(d, 0.02, 0.2).collect()]
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert np.mean([r[5] for r in want if r[1] > 500]) > 0.4 > 0.2 > np.mean([r[6] for r in want if r[1] > 500])
     assert imatch.fingerprints(d.limit(0)).count() == 0
     one = imatch.fingerprints(d.limit(1)).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
-def test_frequencies_count_documents(spark):
-    counts, n = imatch.frequencies(docs(spark, "a b a", "b", None, "B!"))
-    at = lambda w: counts[imatch.terms(w)[0] & np.uint64(imatch.COUNTERS - 1)]
-    assert (n, at(b"a"), at(b"b"), counts.sum()) == (4, 1, 3, 4)
+def test_the_lexicon_is_a_band_on_both_sides(spark):
+    rows = ["often x%d" % i + (" rare" if i < 2 else "") + (" some" if i < 10 else "") for i in range(100)]
+    h = lambda w: xxhash.xxh64_intdigest(w, 0)
+    assert imatch.lexicon(docs(spark, *rows, None, "some some"), 0.05, 0.5).tolist() == [h(b"some")]
 
 
 # -- 10: chat
