@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set, as in tests."""
+    """The shared folder that spark.checkpoint.dir names. Where it is unset, a folder of our own, in local mode only."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="keyhound-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -43,3 +47,19 @@ def ascii_lower(c: Column) -> Column:
 def utf8(texts) -> list[bytes]:
     """The texts of an Arrow column as bytes; null is empty."""
     return [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts.to_pylist()]
+
+
+def picked(df: DataFrame, **names: str) -> DataFrame:
+    """The named columns alone, by position, so that other columns may have any name; a further name is found in any case."""
+    at = {c: i for i, c in reversed([*enumerate(df.columns)])}
+    lower = {c.lower(): i for i, c in reversed([*enumerate(df.columns)])}
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.select(*(F.col(f"c{at.get(name, lower.get(name.lower()))}").cast(kind).alias(name) for name, kind in names.items()))
+
+
+def loaded(shards: list) -> Iterator:
+    """The values of broadcasts, one after another; of several only one at a time is in memory."""
+    for s in shards:
+        yield s.value
+        if len(shards) > 1:
+            s.__dict__.pop("_value", None)

@@ -1,24 +1,25 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark texts.
 
 A text's words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased. The automaton holds every
-window of `window` consecutive words of an item (an item of fewer, but not none, is one window), blank-delimited,
-and each document is scanned once; matches are mapped to its words and from there to its characters.
+window of `window` consecutive words of an item (an item of fewer, but not none, is one window) as a string of one
+symbol for each word, so a window of ten words is ten nodes at most. A document's words become symbols too (words of no
+item a symbol of no window), its string is scanned once, and matches are ranges of its words at once; `marked` gives
+them as ranges of words and of the original text's code points.
 
-The plan is a map over documents: no shuffle, so no key can be hot. What is broadcast is bounded: windows are
-counted first, and beyond `max_chars` they are split into several automata, each of which gets a scan of its own
-between checkpoints.
+The plan is a map over documents: no shuffle, so no key can be hot. The benchmark's windows are collected and
+broadcast as a built automaton; each holds up to `max_windows` windows (some 100 MB). A larger benchmark makes several,
+by the windows' hash, broadcast apart: documents are still read and scanned in one pass, each batch by one automaton
+after another, of which one is in a worker's memory at a time.
 
 Defined cases: null and empty texts have no words and no hits; a null item id counts as the empty string; a null
-or repeated doc_id keeps its row; an empty benchmark contaminates nothing; other columns are ignored.
+or repeated doc_id keeps its row, and each row is judged by its own text; ties of windows merge; an empty benchmark
+contaminates nothing; texts may be of any length; other columns are kept whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
-from bisect import bisect_right
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, cut, table, utf8
+from .common import WORD_BYTES, cut, loaded, picked, table, utf8
 
 WINDOW = 10
-#: Characters of windows in one automaton; pyahocorasick takes about 50 bytes for each.
-MAX_CHARS = 4_000_000
+#: Windows in one automaton.
+MAX_WINDOWS = 250_000
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-_HITS = "doc_id bigint, n_words bigint, hit_from array<int>, hit_to array<int>, items array<string>"
-_MARKED = "n_words bigint, hit_from array<int>, hit_to array<int>, items array<string>"
+_MARK = "n_words bigint, hit_from array<int>, hit_to array<int>, char_from array<int>, char_to array<int>, items array<string>"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -53,99 +53,49 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Distinct windows (key binary, item string) of the benchmark's items."""
-    picked = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(lambda it: _windows(it, window), "key binary, item string").distinct()
+    rows = picked(benchmark, item_id="string", text="string")
+    return rows.mapInArrow(lambda it: _windows(it, window), "key binary, item string").distinct()
 
 
 class Automaton:
     """Windows of words, and the items that each belongs to."""
 
+    #: Words beyond this many have two symbols each, the first from the lower half of the code points.
+    ONE = 1_000_000
+
     def __init__(self, pairs: list[tuple[bytes, str]]):
         import ahocorasick
 
-        self.items: dict[int, list[str]] = defaultdict(list)
-        ids: dict[bytes, int] = {}
-        self.search = ahocorasick.Automaton()
+        items: dict[bytes, list[str]] = {}
         for key, item in pairs:
-            if key not in ids:
-                ids[key] = len(ids)
-                # Latin-1 makes a character of each byte; blanks at both ends keep matches to whole words.
-                self.search.add_word(f" {key.decode('latin-1')} ", (ids[key], len(key) + 2))
-            self.items[ids[key]].append(item)
-        if ids:
+            items.setdefault(key, []).append(item)
+        distinct = sorted({w for key in items for w in key.split(b" ")})
+        self.width = 1 if len(distinct) <= self.ONE else 2
+        self.none = "\0" * self.width
+        self.symbols = {w: self._symbol(i) for i, w in enumerate(distinct)}
+        self.search = ahocorasick.Automaton()
+        for key, own in items.items():
+            w = key.split(b" ")
+            self.search.add_word("".join(map(self.symbols.__getitem__, w)), (len(w), tuple(own)))
+        self.empty = not items
+        if items:
             self.search.make_automaton()
-        self.empty = not ids
-
-    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
-        """The number of words, the merged ranges of words hit (end excluded), and the items that occur."""
-        w = words(text)
-        if not w or self.empty:
-            return len(w), [], set()
-        joined = f" {b' '.join(w).decode('latin-1')} "
-        found, blanks = [], None
-        ids = set()
-        for end, (k, size) in self.search.iter(joined):
-            if blanks is None:
-                blanks = np.flatnonzero(np.frombuffer(joined.encode("latin-1"), np.uint8) == 32)
-            a, b = np.searchsorted(blanks, (end - size + 1, end))
-            found.append((int(a), int(b)))
-            ids.add(k)
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(found):
-            if merged and a <= merged[-1][1]:
-                merged[-1] = merged[-1][0], max(b, merged[-1][1])
-            else:
-                merged.append((a, b))
-        return len(w), merged, {x for k in ids for x in self.items[k]}
-
-
-_built: dict[tuple, Automaton] = {}
-
-
-def _automaton(shared) -> Automaton:
-    """One automaton for each worker: the broadcast holds the windows, and workers build it."""
-    key = (shared.value["id"],)
-    if key not in _built:
-        _built.clear()
-        _built[key] = Automaton(shared.value["pairs"])
-    return _built[key]
-
-
-def _shards(keys: DataFrame, max_chars: int) -> Iterator[list[tuple[bytes, str]]]:
-    """The windows in shards of about max_chars characters, one at a time on the driver."""
-    total = keys.agg(F.sum(F.length("key") + F.length("item") + 2)).first()[0] or 0
-    n = max(1, math.ceil(total / max_chars))
-    for i in range(n):
-        part = keys if n == 1 else keys.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i)
-        yield [(bytes(r[0]), r[1]) for r in part.collect()]
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_chars: int = MAX_CHARS) -> DataFrame:
-    """docs' rows and columns, with a column `decontam` (struct n_words, hit_from, hit_to, items)."""
-    spark = docs.sparkSession
-    schema = f"row struct<{', '.join(f'c{i}: {t}' for i, (_, t) in enumerate(docs.dtypes))}>, text string, mark struct<{', '.join(x.replace(' ', ': ', 1) for x in _MARKED.split(', '))}>"
-    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    out = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"), F.lit(None).cast(f"struct<{', '.join(x.replace(' ', ': ', 1) for x in _MARKED.split(', '))}>").alias("mark"))
-    for i, pairs in enumerate(_shards(cut(windows(benchmark, window)), max_chars)):
-        shared = spark.sparkContext.broadcast({"id": f"{spark.sparkContext.applicationId}-{id(pairs)}-{i}", "pairs": pairs})
-
-        def go(batches, shared=shared):
-            a = _automaton(shared)
-            for b in batches:
-                marks = []
-                for text, old in zip(utf8(b.column("text")), b.column("mark").to_pylist(), strict=True):
-                    n, hits, items = a.scan(text)
-                    if old and old["hit_from"]:
-                        hits = _merge(hits + list(zip(old["hit_from"], old["hit_to"], strict=True)))
-                        items |= set(old["items"])
-                    marks.append({"n_words": n, "hit_from": [x for x, _ in hits], "hit_to": [x for _, x in hits], "items": sorted(items)})
-                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("text"), pa.array(marks, b.schema.field("mark").type)], ["row", "text", "mark"])
-
-        if i:
-            out = cut(out)
-        out = out.mapInArrow(go, schema)
-    names = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]
-    return out.select(*names, F.col("mark").alias("decontam"))
+
+    def _symbol(self, i: int) -> str:
+        place = lambda k: chr(k + 1 if k < 0xD7FF else k + 0x801)  # noqa: E731  (not the surrogates)
+        return place(i) if self.width == 1 else place(i // 500_000) + place(550_000 + i % 500_000)
+
+    def scan(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """The ranges of words hit (end excluded), and the items that occur."""
+        if self.empty or not w:
+            return [], set()
+        text = "".join([self.symbols.get(x, self.none) for x in w])
+        hits, items = [], set()
+        for end, (n, own) in self.search.iter(text):
+            last = end // self.width + 1
+            hits.append((last - n, last))
+            items.update(own)
+        return hits, items
 
 
 def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -158,34 +108,71 @@ def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return merged
 
 
-def spans(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Ranges of hit words as ranges of the text's code points."""
-    raw = text.encode("utf-8", "surrogatepass")
-    at = [m.span() for m in _WORD.finditer(raw)]
-    starts = [0]
-    for c in text:
-        starts.append(starts[-1] + len(c.encode("utf-8", "surrogatepass")))
-    point = lambda byte: bisect_right(starts, byte) - 1
-    return [(point(at[a][0]), point(at[b - 1][1])) for a, b in hits]
+def spans(text: bytes, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of hit words as ranges of the original text's code points."""
+    if not hits:
+        return []
+    at = [m.span() for m in _WORD.finditer(text)]
+    points = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+    return [(int(points[at[a][0]]), int(points[at[b - 1][1]])) for a, b in hits]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_chars: int = MAX_CHARS) -> DataFrame:
+def automata(benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> list:
+    """Broadcasts of the benchmark's automata: one, or more beyond max_windows."""
+    keys = cut(windows(benchmark, window))
+    n = max(1, math.ceil(keys.count() / max_windows))
+    sc, out = benchmark.sparkSession.sparkContext, []
+    for i in range(n):
+        part = keys if n == 1 else keys.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i)
+        out.append(sc.broadcast(Automaton([(bytes(r.key), r["item"]) for r in part.collect()])))
+    return out
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """docs' rows, their columns renamed to c0, c1, ..., and a column `mark` (see _MARK) of each row's text."""
+    shards = automata(benchmark, window, max_windows)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    text = f"c{docs.columns.index('text')}"
+    names, kinds = [*(x.split()[0] for x in _MARK.split(", "))], plain.dtypes
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = utf8(b.column(text))
+            split = [words(t) for t in texts]
+            hits, items = [[] for _ in texts], [set() for _ in texts]
+            for a in loaded(shards):
+                for i, w in enumerate(split):
+                    own, found = a.scan(w)
+                    hits[i] += own
+                    items[i] |= found
+            rows = []
+            for t, w, own, found in zip(texts, split, hits, items, strict=True):
+                own = _merge(own)
+                points = spans(t, own)
+                rows.append((len(w), [x for x, _ in own], [x for _, x in own], [x for x, _ in points], [x for _, x in points], sorted(found)))
+            ints = pa.list_(pa.int32())
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.int64(), ints, ints, ints, ints, pa.list_(pa.string())), strict=True)]
+            mark = pa.StructArray.from_arrays(cols, names)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c, _ in kinds), mark], [*(c for c, _ in kinds), "mark"])
+
+    mark = ", ".join(x.replace(" ", ": ", 1) for x in _MARK.split(", "))
+    typed = plain.withColumn(text, F.col(text).cast("string"))
+    return typed.mapInArrow(go, ", ".join(f"{c} {k}" for c, k in typed.dtypes) + f", mark struct<{mark}>")
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, name: str = "decontam", max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """docs with a column `name` (struct n_words, hit_from, hit_to, char_from, char_to, items): what of each text is in the benchmark."""
+    return scan(docs, benchmark, window, max_windows).toDF(*docs.columns, name)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs without the documents in which a benchmark window occurs; same columns."""
-    name = "decontam"
-    while name in docs.columns:
-        name += "_"
-    marked = scan(docs.withColumnRenamed("decontam", name) if name != "decontam" else docs, benchmark, window, max_chars)
-    kept = marked.where(F.size("decontam.hit_from") == 0).drop("decontam")
-    return kept.withColumnRenamed(name, "decontam") if name != "decontam" else kept
-
-
-def _digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    kept = scan(docs, benchmark, window, max_windows).where(F.size("mark.hit_from") == 0).drop("mark")
+    return kept.toDF(*docs.columns)
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    m = scan(docs, table(spark, sf_dir, "benchmark"))
+    m = marked(picked(table(spark, sf_dir, "documents"), doc_id="bigint", text="string"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate(F.zip_with("decontam.hit_to", "decontam.hit_from", lambda b, a: (b - a).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
     return m.select(
         "doc_id",
@@ -195,3 +182,23 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.array_join("decontam.items", ",").cast("binary"), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
+
+
+SQL = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), bw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS k
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM bw WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM windows), places AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw CROSS JOIN sizes WHERE len(w) >= n)
+), found AS (SELECT doc_id, i, p.n, item FROM places p JOIN windows USING (n, k)),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, url_filter
-from .decontaminate import op1_benchmark_decontamination
+from . import chat, decontaminate, line_dedup, url_filter
 from .imatch import op9_imatch_fingerprints
 from .packing import op3_sum_of_squares_packing
 from .quality import op5_quality_classifier
@@ -14,7 +13,7 @@ from .wrappers import op6_wrapper_extraction
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_benchmark_decontamination,
+        decontaminate.op1_benchmark_decontamination,
         op2_simple8b_token_files,
         op3_sum_of_squares_packing,
         line_dedup.op4_line_dedup,
@@ -27,6 +26,7 @@ QUERIES = {
     )
 }
 ORACLE_SQL = {
+    "op1_benchmark_decontamination": decontaminate.SQL,
     "op4_line_dedup": line_dedup.SQL,
     "op8_url_bloom_cascade": url_filter.SQL,
     "op10_chat_formatting": chat.SQL,

@@ -39,27 +39,38 @@ def brute_hits(text, items, window=10):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("max_chars", [10**9, 120])
-def test_decontamination_equals_brute_force(spark, max_chars):
+@pytest.mark.parametrize("max_windows", [10**9, 4])
+def test_decontamination_equals_brute_force(spark, max_windows):
     rng = np.random.default_rng(0)
-    items = [(1, words(rng, 14, 50)), (2, "Short One!"), (3, ""), (4, None), (10, words(rng, 12, 50) + " É ü"), (2, "again, other")]
+    items = [(1, words(rng, 14, 50)), (2, "Short One!"), (3, ""), (4, None), (10, words(rng, 12, 50) + " É ü"), (2, "again, other"), (None, "null item")]
     w = items[0][1].split()
-    texts = [None, "", "nothing", "x, SHORT-one y", " ".join(w[:10]) + ". tail", " ".join(w[1:9]), "a " + "  ".join(w) + " b " + items[4][1].upper().replace("É", "é"), items[4][1] + " short one", "shorten ones", "again other again other"]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    d = docs(spark, *texts).withColumn("decontam", F.lit("mine")).withColumn("mark", F.lit(1))
-    got = {r.doc_id: r.found for r in decontaminate.scan(d.drop("decontam"), bench, max_chars=max_chars).withColumn("found", F.col("decontam")).collect()}
-    for i, t in enumerate(texts):
+    texts = [None, "", "nothing", "x, SHORT-one y", " ".join(w[:10]) + ". tail", " ".join(w[1:9]), "a " + "  ".join(w) + " b " + items[4][1].upper().replace("É", "é"), items[4][1] + " short one", "shorten ones", "again other again other", "é null ITEM"]
+    texts.append("pad " * 50_000 + texts[6] + " pad" * 50_000)
+    bench = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, `key` int")
+    d = docs(spark, *texts, *texts).withColumn("Decontam", F.lit("mine")).withColumn("mark", F.lit(1)).withColumn("a`b.c", F.lit(2)).withColumn("TEXT_", F.lit(3))
+    got = decontaminate.marked(d, bench, name="found", max_windows=max_windows).collect()
+    assert len(got) == 2 * len(texts)
+    for r in got:
+        i, t, m = r[0], r[1], r["found"]
         n, hit, found = brute_hits(t, items)
-        assert (got[i].n_words, sum(b - a for a, b in zip(got[i].hit_from, got[i].hit_to)), got[i]["items"]) == (n, hit, found), t
-    kept = decontaminate.decontaminate(d, bench, max_chars=max_chars)
-    assert kept.columns == d.columns
-    assert {r.doc_id for r in kept.collect()} == {i for i, t in enumerate(texts) if not brute_hits(t, items)[1]}
+        assert (m.n_words, sum(b - a for a, b in zip(m.hit_from, m.hit_to)), m["items"]) == (n, hit, sorted("" if x == "None" else x for x in found)), t
+        for a, b, c, e in zip(m.hit_from, m.hit_to, m.char_from, m.char_to):
+            assert decontaminate.words(t[c:e].encode()) == decontaminate.words(t.encode())[a:b]
+    kept = decontaminate.decontaminate(d, bench, max_windows=max_windows)
+    assert kept.columns == d.columns and kept.dtypes == d.dtypes
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, t in enumerate([*texts, *texts]) if not brute_hits(t, items)[1]]
     assert decontaminate.decontaminate(d.limit(0), bench).count() == 0
-    assert decontaminate.decontaminate(d, bench.limit(0)).count() == len(texts)
+    assert decontaminate.decontaminate(d, bench.limit(0)).count() == 2 * len(texts)
+
+
+def test_words_of_two_symbols(monkeypatch):
+    monkeypatch.setattr(decontaminate.Automaton, "ONE", 3)
+    a = decontaminate.Automaton([(b"a b c", "1"), (b"b d", "2"), (b"e", "3")])
+    assert a.width == 2 and a.scan(b"x a b c b d y e".split()) == ([(1, 4), (4, 6), (7, 8)], {"1", "2", "3"})
 
 
 def test_spans_are_code_points_of_the_original():
-    assert decontaminate.spans("É, ab  Cd.", [(1, 3)]) == [(3, 9)]
+    assert decontaminate.spans("É, ab  Cd.".encode(), [(1, 3)]) == [(3, 9)]
 
 
 # -- 2: token files
@@ -206,7 +217,8 @@ def test_line_dedup_against_brute_force(spark):
     pool = [f"A line of some length {i}" for i in range(6)] + ["short", "", "Ünïcode LINE with enough letters É", " \t padded line with blanks here \x0b\r"]
     rows = [(i, "\n".join(pool[k] if rng.random() < 0.7 else f"unique line number {i} {k} {rng.random()}" for k in rng.integers(0, len(pool), 5))) for i in range(25)]
     rows += [(25, None), (26, ""), (None, pool[0]), (3, pool[1]), (27, "É line of some LENGTH but other\n" * 3), (28, "é line of some length but other"), (29, "É line of some length but other")]
-    d = spark.createDataFrame([(*r, "x", 1) for r in rows], DOCS + ", lost_id string, kept_lines int")
+    rows += [(30, "\n".join(pool[:6] * 3000 + ["own line of document thirty"] * 3000)), (30, pool[2] + "\nother text of thirty, same id"), (30, pool[2])]
+    d = spark.createDataFrame([(*r, "x", 1, 2, 3) for r in rows], DOCS + ", lost_id string, own int, `a``b.c` int, Text_ int")
 
     def key(line):
         k = line.strip(" \t\n\x0b\x0c\r")
@@ -567,21 +579,27 @@ def test_the_lexicon_is_a_band_on_both_sides(spark):
 
 
 def test_chat_round_trip_mask_and_parts(spark):
-    rows = [(1, 0, "user", "a <turn role=\"x\">&lt; </turn>\n\\"), (1, 1, "assistant", "é</turn>\n&amp;"), (1, 2, "assistant", None), (1, 2, None, "tie"), (None, 0, 'r">\n', "x"), (2, None, "assistant", "")]
-    t = spark.createDataFrame([(*r, 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, formatted int")
-    out = chat.format_chat(t).withColumn("turns", chat.parse(F.col("formatted"))).withColumn("said", chat.learnt(F.col("formatted"), F.col("loss")))
-    got = {r.conv_id: r for r in out.collect()}
+    rows = [(1, 0, "user", "a <turn role=\"x\">&lt; </turn>\n\\ <image 0>"), (1, 1, "assistant", "é</turn>\n&amp;"), (1, 2, "assistant", None), (1, 2, None, "tie"), (None, 0, 'r">\n', "x"), (2, None, "assistant", ""), (3, 1, "user", "again"), (3, 1, "user", "again"), (3, 2, "assistant", "long " * 100_000)]
+    t = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id bigint, turn bigint, role string, text string, formatted int, Parts int")
+    out = chat.format_chat(t).withColumn("turns", chat.parse(F.col("formatted"), F.col("attachments"))).withColumn("said", chat.learnt(F.col("formatted"), F.col("loss")))
+    got = {r.conv_id: r for r in out.withColumn("turns", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), chat.said(x).alias("text")))).collect()}
     assert [(x.role, x.text) for x in got[1].turns] == [("user", rows[0][3]), ("assistant", rows[1][3]), ("", "tie"), ("assistant", "")]
     assert got[1].said == rows[1][3] and got[2].said == "" and got[None].turns[0].role == 'r">\n'
+    assert [x.text for x in got[3].turns] == ["again", "again", "long " * 100_000] and got[3].said == "long " * 100_000
     assert chat.format_chat(t.limit(0)).count() == 0
 
 
-def test_parts_become_placeholders(spark):
-    kind = "array<struct<kind:string,text:string,ref:string,units:int>>"
-    t = spark.createDataFrame(
-        [(1, 0, "user", None, [("text", "see <b>", None, None), ("image", None, "i.png", 2), ("image", None, "j.png", None)]), (1, 1, "user", None, [("audio", None, "k.wav", 10), ("odd", None, "o", 1), (None, "end", None, None)]), (1, 2, "user", None, None)],
-        f"conv_id bigint, turn bigint, role string, text string, parts {kind}",
-    )
-    r = chat.format_chat(t, "parts").first()
-    assert r.formatted == '<turn role="user">see &lt;b><image 0><image 1></turn>\n<turn role="user"><audio 2><odd 3>end</turn>\n<turn role="user"></turn>\n'
-    assert [(a["index"], a.kind, a.ref, a.tokens) for a in r.attachments] == [(0, "image", "i.png", 512), (1, "image", "j.png", 256), (2, "audio", "k.wav", 250), (3, "odd", "o", 0)]
+def test_parts_become_placeholders_and_parts_again(spark):
+    text = lambda x: ("text", x, None, None, None, None, None)
+    other = lambda kind, ref, **size: (kind, None, ref, size.get("width"), size.get("height"), size.get("seconds"), size.get("pages"))
+    turns = [
+        [text("see <b> <image 7>"), other("image", "i.png", width=57, height=28), other("image", "j.png")],
+        [other("audio", "k.wav", seconds=1.5), other("o<d>\"d", "o"), (None, "end", None, None, None, None, None), text(None), text(" &amp;")],
+        [other("document", "d.pdf", pages=3), other("document", "e.pdf")],
+    ]
+    t = spark.createDataFrame([(1, i, "user", "unused", p) for i, p in enumerate(turns)] + [(1, 3, "user", "own text", None), (1, 4, "user", "unused", [])], f"conv_id bigint, turn bigint, role string, text string, parts array<{chat.PART}>")
+    r = chat.format_chat(t, "parts").withColumn("turns", chat.parse(F.col("formatted"), F.col("attachments"))).first()
+    assert r.formatted.split("\n")[:2] == ['<turn role="user">see &lt;b> &lt;image 7><image 0><image 1></turn>', '<turn role="user"><audio 2><o&lt;d&gt;&quot;d 3>end &amp;amp;</turn>']
+    assert [(a["index"], a.kind, a.part.ref, a.tokens) for a in r.attachments] == [(0, "image", "i.png", 3), (1, "image", "j.png", 1), (2, "audio", "k.wav", 38), (3, 'o<d>"d', "o", 0), (4, "document", "d.pdf", 1536), (5, "document", "e.pdf", 512)]
+    want = [turns[0], [*turns[1][:2], text("end &amp;")], turns[2], [text("own text")], []]
+    assert [[tuple(p) for p in x.parts] for x in r.turns] == want
