@@ -4,22 +4,20 @@ A shingle is `shingle` consecutive words, A-Z lower-cased, joined by blanks; a t
 one shingle. A bit of the fingerprint is 1 if it is set in over half of the shingles' XXH64 hashes (seed 42).
 Fingerprints of 256 bits add three mixed copies of each hash.
 
-Equal fingerprints are one node, whatever their number of documents. Candidates come from tables of bits: two
-fingerprints meet where all bits of a table's selection agree. Pivot distances alone can't bound the candidates
-(each pivot discards under half of all pairs at these radii), so they work inside the tables' buckets: the Hamming
-distances of a bucket's fingerprints to reference fingerprints are tabled, pairs that differ by more than `max_bits`
-in any coordinate are discarded, and the survivors are verified. A bucket gives a spanning forest of its links, never
+Equal fingerprints are one node, whatever their number of documents. Links of at most `max_bits` come from pivot
+distance tables: the Hamming distances of fingerprints to reference fingerprints are tabled, pairs whose distances to
+any reference differ by more than `max_bits` are discarded, and the survivors are verified. Random references discard
+some 99.95 % of random pairs (see the README), which isn't enough alone: of all pairs of a billion fingerprints it would leave 10**14. So
+the pairs to look at come from buckets: the fingerprint's bits are cut into `max_bits` + 2 blocks, and there is a
+table for each two blocks. A pair of at most `max_bits` differing bits agrees in two blocks at least, so it meets in a
+bucket of some table, and no link is lost, at any number of bits. A bucket gives a spanning forest of its links, never
 its pairs.
 
-- Exact tables (64 bits, 4 bits apart at most): six blocks of bits, a table for each two of them. Four flipped bits
-  leave two blocks whole, so no link is lost.
-- Sampled tables (256 bits, wide radius): as many selections of bits as it takes to miss a pair at the radius with
-  the probability `miss`; the bits of a selection grow with the logarithm of the number of fingerprints, so that
-  buckets stay small at any size.
-
 Buckets of over `max_bucket` fingerprints aren't compared in one task: they are cut into blocks and every two blocks
 meet in a task of their own, which loses no link.
 
+The pipeline's near-duplicates are those of `drop_near_duplicates`: sets of shingles compared exactly.
+
 Defined cases: null and empty texts have the fingerprint zero and are linked like any other; rows with a null doc_id
 have a fingerprint, no component (null), and link nothing; rows that repeat a doc_id are nodes of one component only
 where their texts link; an empty table gives no rows; other columns are ignored.
@@ -38,17 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, utf8
+from .common import cut, picked as picked_, table, utf8
 from .components import components
-from .line_dedup import fresh
 
 SEED = 42
 SHINGLE, MAX_BITS = 4, 4
 PIVOTS = 16
 MAX_BUCKET = 1 << 16
-MISS = 0.03
-#: Widths of the six blocks of a 64-bit fingerprint.
-BLOCKS = (11, 11, 11, 11, 10, 10)
 _MASK = (1 << 64) - 1
 #: MinHash tables and the least hashes that make a key: a pair at 0.8 meets in none with probability (1 - 0.8^5)^28.
 TABLES, ROWS = 28, 5
@@ -103,45 +97,40 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1) -> Dat
             found = np.array([fingerprint(t, shingle, words) for t in utf8(b.column("text"))], dtype=np.uint64).reshape(-1, words).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(found[:, i]) for i in range(words))], ["doc_id", *(f"f{i}" for i in range(words))])
 
-    picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    picked = picked_(docs, doc_id="bigint", text="string")
     return picked.mapInArrow(go, "doc_id bigint, " + ", ".join(f"f{i} bigint" for i in range(words)))
 
 
-def _selections(n: int, words: int, max_bits: int, miss: float) -> list[np.ndarray]:
-    """The bits of each table, for n fingerprints."""
-    rng = np.random.default_rng(SEED)
-    if words == 1 and max_bits <= 4:
-        blocks = np.split(np.arange(64), np.cumsum(BLOCKS)[:-1])
-        return [np.concatenate(two) for two in itertools.combinations(blocks, 2)]
-    bits = max(8, math.ceil(math.log2(max(n, 2) / 4)))
-    chance = (1 - max_bits / (64 * words)) ** bits
-    tables = max(4, math.ceil(math.log(miss) / math.log(1 - chance)))
-    return [np.sort(rng.choice(64 * words, bits, replace=False)) for _ in range(tables)]
+def _selections(words: int, max_bits: int) -> list[np.ndarray]:
+    """The bits of each table: two of max_bits + 2 blocks. Beyond 64 bits a key is a hash of them."""
+    return [np.concatenate(two) for two in itertools.combinations(np.array_split(np.arange(64 * words), max_bits + 2), 2)]
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def forest(f: np.ndarray, max_bits: int, pivots: np.ndarray) -> list[tuple[int, int]]:
-    """Links of at most max_bits that join what can be joined; f: a row of words for each fingerprint."""
+def forest(f: np.ndarray, max_bits: int, pivots: np.ndarray, tally: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links of at most max_bits that join what can be joined; f: a row of words for each fingerprint.
+
+    tally: gets the numbers of pairs looked at, left by the pivots, and linked, added up.
+    """
     coords = np.stack([_distance(f, p) for p in pivots], axis=1).astype(np.int16)
     rest, found = np.arange(len(f)), []
     while len(rest) > 1:
         stack, rest = [rest[0]], rest[1:]
         while stack and len(rest):
             x = stack.pop()
-            near = np.flatnonzero(np.abs(coords[rest, 0] - coords[x, 0]) <= max_bits)
-            for i in range(1, coords.shape[1], 5):
-                if len(near) < 32:
-                    break
-                near = near[(np.abs(coords[rest[near], i : i + 5] - coords[x, i : i + 5]) <= max_bits).all(axis=1)]
-            near = near[_distance(f[rest[near]], f[x]) <= max_bits]
-            if len(near):
-                hit = rest[near]
-                found += [(int(x), int(y)) for y in hit]
-                stack += hit.tolist()
-                rest = np.delete(rest, near)
+            near = np.flatnonzero(np.abs(coords[rest, 0] - coords[x, 0]) <= max_bits) if len(rest) > 64 else np.arange(len(rest))
+            near = near[(np.abs(coords[rest[near]] - coords[x]) <= max_bits).all(axis=1)]
+            hit = near[_distance(f[rest[near]], f[x]) <= max_bits]
+            if tally is not None:
+                tally[:] = [tally[0] + len(rest), tally[1] + len(near), tally[2] + len(hit)]
+            if len(hit):
+                own = rest[hit]
+                found += [(int(x), int(y)) for y in own]
+                stack += own.tolist()
+                rest = np.delete(rest, hit)
     return found
 
 
@@ -210,9 +199,9 @@ def _bucketed(words: int, max_bits: int, max_bucket: int | None, keys: list[str]
     return go
 
 
-def links(nodes: DataFrame, words: int, max_bits: int, miss: float = MISS, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def links(nodes: DataFrame, words: int, max_bits: int, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Edges (u, v) between the rep of fingerprints (rep, f0, ...) that are at most max_bits apart; see the module."""
-    chosen = _selections(nodes.count(), words, max_bits, miss)
+    chosen = _selections(words, max_bits)
     names = [f"f{i}" for i in range(words)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +210,13 @@ def links(nodes: DataFrame, words: int, max_bits: int, miss: float = MISS, max_b
                 f = np.stack([part.column(c).to_numpy() for c in names], axis=1)
                 bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8), axis=1, bitorder="little")
                 for t, own in enumerate(chosen):
-                    packed = np.zeros((len(f), 8), dtype=np.uint8)
                     key = np.packbits(bits[:, own], axis=1, bitorder="little")
-                    packed[:, : key.shape[1]] = key
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), t)), pa.array(packed.view(np.int64)[:, 0]), part.column("rep"), *(part.column(c) for c in names)], ["t", "k", "rep", *names])
+                    wide = np.zeros((len(f), -(-key.shape[1] // 8) * 8), dtype=np.uint8)
+                    wide[:, : key.shape[1]] = key
+                    k = wide.view(np.uint64)
+                    with np.errstate(over="ignore"):
+                        one = k[:, 0] if k.shape[1] == 1 else np.bitwise_xor.reduce(mix(k + np.arange(k.shape[1], dtype=np.uint64)), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), t)), pa.array(one.view(np.int64)), part.column("rep"), *(part.column(c) for c in names)], ["t", "k", "rep", *names])
 
     return _met(nodes.select("rep", *names).mapInArrow(deal, _typed(["t", "k", "rep", *names])), words, max_bits, max_bucket)
 
@@ -254,12 +246,12 @@ def _met(rows: DataFrame, words: int, max_bits: int, max_bucket: int = MAX_BUCKE
     return edges.unionByName(more.select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, max_bits: int = MAX_BITS, miss: float = MISS, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, max_bits: int = MAX_BITS, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """doc_id, f0, ..., component_id for each row of docs."""
     names = [f"f{i}" for i in range(words)]
     found = cut(fingerprints(docs, shingle, words))
     nodes = cut(found.where(F.col("doc_id").isNotNull()).groupBy(*names).agg(F.min("doc_id").alias("rep")))
-    joined = components(links(nodes, words, max_bits, miss, max_bucket))
+    joined = components(links(nodes, words, max_bits, max_bucket))
     label = nodes.join(joined, F.col("rep") == F.col("node"), "left").select(*(F.col(c).alias(f"n_{c}") for c in names), F.coalesce("component", "rep").alias("label"))
     same = [F.col(c) == F.col(f"n_{c}") for c in names]
     out = found.join(label, same, "left")
@@ -393,8 +385,7 @@ def similar_sets(docs: DataFrame, shingle: int, similarity: float, words: int) -
     if similarity < 0.8:
         raise ValueError("tables and radius are made for similarities of 0.8 and more")
     ratio, names = Fraction(str(similarity)), [f"f{i}" for i in range(words)]
-    text = F.col("text").cast("string")
-    picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("own"))
+    picked = picked_(docs, doc_id="bigint", text="string").withColumn("own", F.xxhash64("text"))
     found = cut(sketches(picked, shingle, words))
     nodes = found.where(F.col("doc_id").isNotNull()).dropDuplicates(["s"])
 
@@ -425,11 +416,12 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     the group's least doc_id all stay, and so do rows without a doc_id.
     """
     found = similar_sets(docs, shingle, similarity, words).where(F.col("doc_id").isNotNull())
-    name, text = fresh("lost_id", docs), fresh("lost_text", docs)
     least = found.groupBy("group").agg(F.min("doc_id").alias("least"))
-    losing = found.distinct().join(least, "group").where(F.col("least") < F.col("doc_id")).select(F.col("doc_id").alias(name), F.col("own").alias(text)).distinct()
-    same = (docs["doc_id"] == F.col(name)) & (F.xxhash64(docs["text"].cast("string")) == F.col(text))
-    return docs.join(losing.hint("shuffle_hash"), same, "left_anti")
+    losing = found.distinct().join(least, "group").where(F.col("least") < F.col("doc_id")).select(F.col("doc_id").alias("lost_id"), F.col("own").alias("lost_text")).distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    ident, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    same = (F.col(ident) == F.col("lost_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("lost_text"))
+    return docs.toDF(*names).join(losing.hint("shuffle_hash"), same, "left_anti").toDF(*docs.columns)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,14 +7,17 @@ of the rules' keys, level 1 of those other keys of the corpus that level 0 lets
 that level 1 lets through, and so on until nothing is let through. Membership of any key of the corpus is exact, and
 the urls join nothing.
 
-Level 0's rate of false positives is set from the number of distinct keys in the corpus, so level 1 holds about as
-many keys as there are rules, whatever the corpus's size: what is collected and broadcast grows with the rules
-only. Both are checked: beyond `max_rules` rules the keys are joined to the rules instead. The corpus's keys are
-filtered by level 0 before they meet in a shuffle, so keys that many urls share don't gather in a task.
+Rules are dealt to shards by their keys' hash, `shard_rules` to a shard at most on average, and every shard has cascades
+of its own, broadcast apart: a batch of urls is looked up in one shard after another, of which one is in a worker's
+memory at a time. Level 0's rate of false positives is set from the number of the corpus's keys, which is counted, so
+level 1 holds fewer keys than there are rules (0.71 times as many are expected at most), whatever the corpus's size: a
+rule takes some 50 bits, and what is collected grows with the rules only. The corpus's keys are filtered by level 0
+before they meet in a shuffle, so keys that many urls share don't gather in a task.
 
 Defined cases: a null url or one without `://` has an empty host and path and no rule; an empty path starts with no
-rule's path but an empty one; a rule given twice is one rule, and with both verdicts it blocks; rows that repeat a
-page are judged alike; other columns are ignored.
+rule's path but an empty one; a rule given twice is one rule, and with both verdicts it blocks; there is a row for
+each row of pages, also where page_ids or whole rows repeat or are null; urls may be of any length; other columns are
+ignored; no rules leave the default; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import loaded, picked, table
 
 #: (host, path, verdict): fixed values of the query's contract.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DEFAULT_VERDICT = "allow"
-MAX_RULES = 1_000_000
+SHARD_RULES = 1_000_000
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -52,12 +55,15 @@ def keys(host: str, path: str, lengths: list[int]) -> list[str]:
     """The url's keys, longest first; lengths: of the rules' paths, descending."""
     if not host:
         return []
-    labels = host.split(".")
-    hosts = [".".join(labels[i:]) for i in range(len(labels))]
+    hosts = [host, *(host[i + 1 :] for i, c in enumerate(host) if c == ".")]
     found = [h + path[:n] for h in hosts for n in lengths if n <= len(path)]
     return sorted(found, key=len, reverse=True)
 
 
+def shard(key: str, shards: int) -> int:
+    return xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"), seed=1 << 32) % shards if shards > 1 else 0
+
+
 class Bloom:
     """k bits of `size` for each key; salt: the level, so that levels are independent."""
 
@@ -106,92 +112,76 @@ class Cascade:
         return cls(levels)
 
 
-def _candidates(urls: DataFrame, lengths: list[int], firsts) -> DataFrame:
-    """Distinct keys of the corpus that a first level lets through: verdict, key. firsts: broadcast of verdict to Bloom."""
-
-    def go(batches):
-        for b in batches:
-            seen: set[tuple[str, str]] = set()
-            for url in b.column("url").to_pylist():
-                for k in keys(*split_url(url), lengths):
-                    seen.update((v, k) for v, level in firsts.value.items() if k in level)
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in seen], pa.string()), pa.array([k for _, k in seen], pa.string())], ["verdict", "key"])
+class _Looked:
+    """The keys of a batch of urls, by shard."""
 
-    return urls.mapInArrow(go, "verdict string, key string").distinct()
+    def __init__(self, urls: list[str | None], lengths: list[int], shards: int):
+        self.split = [split_url(u) for u in urls]
+        self.keys = [keys(*x, lengths) for x in self.split]
+        self.by_shard: list[dict[str, None]] = [{} for _ in range(shards)]
+        for k in {k for own in self.keys for k in own}:
+            self.by_shard[shard(k, shards)][k] = None
 
 
-def build(urls: DataFrame, rules) -> dict[str, Cascade]:
-    """A cascade for each verdict, over the keys of urls (column url)."""
-    listed = {"allow": set(), "block": set()}
+def build(urls: DataFrame, rules, shard_rules: int = SHARD_RULES) -> list:
+    """Broadcasts of the cascades, a dictionary of verdict to cascade for each shard, over the keys of urls (column url)."""
+    sc = urls.sparkSession.sparkContext
+    rules = list(rules)
+    n = max(1, math.ceil(len(rules) / shard_rules))
+    listed = [{"allow": set(), "block": set()} for _ in range(n)]
     for host, path, verdict in rules:
-        listed[verdict].add(host + path)
+        listed[shard(host + path, n)][verdict].add(host + path)
     lengths = sorted({len(p) for _, p, _ in rules}, reverse=True)
-    n_urls = max(1, urls.agg(F.approx_count_distinct("url")).first()[0])
-    universe = n_urls * 4 * max(1, len(lengths))  # an estimate: it sets sizes, not results
-    firsts = {}
-    for v, own in listed.items():
-        r = max(1, len(own))
-        firsts[v] = Bloom(r, min(0.5, r * math.sqrt(0.5) / universe), 0)
-        for k in own:
-            firsts[v].add(k)
-    found = _candidates(urls, lengths, urls.sparkSession.sparkContext.broadcast(firsts))
-    passed: dict[str, set[str]] = {v: set() for v in listed}
-    for row in found.toLocalIterator():
-        if row.key not in listed[row.verdict]:
-            passed[row.verdict].add(row.key)
-    return {v: Cascade.deepen(firsts[v], listed[v], passed[v]) for v in listed}
-
-
-def judge(pages: DataFrame, rules=RULES, default: str = DEFAULT_VERDICT, max_rules: int = MAX_RULES) -> DataFrame:
+    # No url has more keys than suffixes of its host times lengths of paths.
+    suffixes = F.size(F.split(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1), r"\."))
+    universe = max(1, (urls.agg(F.sum(suffixes.cast("bigint"))).first()[0] or 0) * max(1, len(lengths)))
+    firsts = []
+    for own in listed:
+        made = {}
+        for v, ks in own.items():
+            r = max(1, len(ks))
+            made[v] = Bloom(r, min(0.5, r * math.sqrt(0.5) * n / universe), 0)
+            for k in ks:
+                made[v].add(k)
+        firsts.append(sc.broadcast(made))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            looked, seen = _Looked(b.column("url").to_pylist(), lengths, n), []
+            for i, own in enumerate(loaded(firsts)):
+                seen += [(i, v, k) for k in looked.by_shard[i] for v, level in own.items() if k in level]
+            cols = list(zip(*seen, strict=True)) if seen else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.string()), strict=True)], ["shard", "verdict", "key"])
+
+    passed: list[dict[str, set[str]]] = [{"allow": set(), "block": set()} for _ in range(n)]
+    for row in urls.mapInArrow(go, "shard int, verdict string, key string").distinct().toLocalIterator():
+        if row.key not in listed[row.shard][row.verdict]:
+            passed[row.shard][row.verdict].add(row.key)
+    return [sc.broadcast({v: Cascade.deepen(first.value[v], own[v], let[v]) for v in own}) for first, own, let in zip(firsts, listed, passed, strict=True)]
+
+
+def judge(pages: DataFrame, rules=RULES, default: str = DEFAULT_VERDICT, shard_rules: int = SHARD_RULES) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages (page_id, url)."""
     rules = list(rules)
     lengths = sorted({len(p) for _, p, _ in rules}, reverse=True)
-    picked = pages.select("page_id", F.col("url").cast("string").alias("url"))
-    schema = "page_id bigint, host string, path string, rule string, verdict string"
-    if len(rules) > max_rules:
-        return _joined(picked, rules, default)
-    shared = pages.sparkSession.sparkContext.broadcast(build(picked.select("url"), rules))
-
-    def go(batches):
-        cascades = shared.value
-        for b in batches:
-            rows = []
-            for page, url in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), strict=True):
-                host, path = split_url(url)
-                rule, verdict = None, default
-                for k in keys(host, path, lengths):
-                    blocked = k in cascades["block"]
-                    if blocked or k in cascades["allow"]:
-                        rule, verdict = k, "block" if blocked else "allow"
-                        break
-                rows.append((page, host, path, rule, verdict))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64())] + [pa.array(c, pa.string()) for c in cols[1:]], ["page_id", "host", "path", "rule", "verdict"])
-
-    return picked.mapInArrow(go, schema)
-
-
-def _joined(picked: DataFrame, rules: list, default: str) -> DataFrame:
-    """The same by a join of keys, for lists too long to broadcast."""
-    spark = picked.sparkSession
-    lengths = sorted({len(p) for _, p, _ in rules}, reverse=True)
-    schema = "page_id bigint, host string, path string, key string"
+    rows_ = picked(pages, page_id="bigint", url="string")
+    shards = build(rows_.select("url"), rules, shard_rules)
 
-    def go(batches):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for page, url in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), strict=True):
-                host, path = split_url(url)
-                rows += [(page, host, path, k) for k in keys(host, path, lengths) or [None]]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64())] + [pa.array(c, pa.string()) for c in cols[1:]], ["page_id", "host", "path", "key"])
-
-    listed = spark.createDataFrame([(h + p, v) for h, p, v in rules], "key string, verdict string").groupBy("key").agg(F.max("verdict").alias("verdict"))
-    numbered = picked.withColumn("row", F.struct("page_id", "url"))
-    found = numbered.select("page_id", "url").mapInArrow(go, schema).join(listed, "key", "left")
-    best = F.max_by(F.struct("key", "verdict"), F.when(F.col("verdict").isNotNull(), F.struct(F.char_length("key"), F.char_length(F.substring_index("key", "/", 1)))))
-    out = found.groupBy("page_id", "host", "path").agg(best.alias("best"))
-    return out.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+            looked, found = _Looked(b.column("url").to_pylist(), lengths, len(shards)), {}
+            for i, cascades in enumerate(loaded(shards)):
+                for k in looked.by_shard[i]:
+                    if k in cascades["block"]:
+                        found[k] = "block"
+                    elif k in cascades["allow"]:
+                        found[k] = "allow"
+            rules_ = [next((k for k in own if k in found), None) for own in looked.keys]
+            verdicts = [default if k is None else found[k] for k in rules_]
+            hosts, paths = zip(*looked.split, strict=True) if looked.split else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), *(pa.array(c, pa.string()) for c in (hosts, paths, rules_, verdicts))], ["page_id", "host", "path", "rule", "verdict"])
+
+    return rows_.mapInArrow(go, "page_id bigint, host string, path string, rule string, verdict string")
 
 
 def op8_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -426,7 +426,7 @@ def test_near_duplicates_and_defined_cases(spark):
     base = [words(rng, 300) for _ in range(12)]
     edit = lambda t, k: " ".join("zz" if i % k == k - 1 else w for i, w in enumerate(t.split()))
     rows = list(enumerate([*base, base[0], edit(base[1], 150), edit(base[2], 100), None, "", words(rng, 3)])) + [(None, base[3]), (3, base[3])]
-    d = spark.createDataFrame([(*r, "x") for r in rows], DOCS + ", component_id string")
+    d = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], DOCS + ", component_id string, lost_id int, TEXT_ int")
     kept = simhash.drop_near_duplicates(d)
     assert kept.columns == d.columns
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
@@ -471,6 +471,20 @@ def test_a_repeated_doc_id_goes_or_stays_by_its_text(spark):
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (2, b)]
 
 
+def test_wide_radii_lose_nothing_and_pivots_discard():
+    rng = np.random.default_rng(31)
+    f = rng.integers(0, 2**64, (500, 1), dtype=np.uint64)
+    for r in (1, 4, 9):
+        chosen = simhash._selections(1, r)
+        assert len(chosen) == math.comb(r + 2, 2)
+        for _ in range(200):
+            flipped = set(rng.choice(64, r, replace=False).tolist())
+            assert any(flipped.isdisjoint(c.tolist()) for c in chosen)
+    pivots = simhash.mix(np.arange(1, simhash.PIVOTS + 1, dtype=np.uint64)).reshape(-1, 1)
+    tally = [0, 0, 0]
+    assert simhash.forest(f, 4, pivots, tally) == [] and tally[0] == 500 * 499 // 2 and tally[1] < tally[0] / 500
+
+
 def test_long_chains_are_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)], "u bigint, v bigint")
     got = {r.node: r.component for r in components.components(edges).collect()}
@@ -491,10 +505,13 @@ def test_url_rules_against_brute_force(spark):
         rule, v, _ = max(fits, key=lambda x: (len(x[0]), len(x[2])), default=(None, "allow", ""))
         return host, path, rule, v
 
-    for limit in (100, 0):
-        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, rules, max_rules=limit).collect()}
-        assert got == {i: brute(u) for i, u in enumerate([*urls, *urls])}
+    rows = [(i if i % 5 else None, u) for i, u in enumerate(urls)] * 2 + [(1, "http://a.net/x?a"), (1, "http://a.net/x?b")]
+    pages = spark.createDataFrame([(*r, "v", "h") for r in rows], "page_id bigint, url string, verdict string, HOST string")
+    for limit in (100, 2, 1):
+        got = [tuple(r) for r in url_filter.judge(pages, rules, shard_rules=limit).collect()]
+        assert sorted(got, key=repr) == sorted(((i, *brute(u)) for i, u in rows), key=repr)
     assert url_filter.judge(pages.limit(0)).count() == 0
+    assert {r.verdict for r in url_filter.judge(pages, []).collect()} == {"allow"}
 
 
 def test_a_cascade_is_exact_over_its_universe():
