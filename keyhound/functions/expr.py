@@ -218,7 +218,9 @@ def _index(value: Any, key: Any) -> Any:
     if isinstance(value, dict):
         if not isinstance(key, str):
             raise ExprError("keys must be known")
-        return value.get(key, F.lit(None).cast("string"))
+        if key not in value:
+            raise ExprError(f"unknown key {key}")
+        return value[key]
     return F.try_element_at(value, _col(key)) if isinstance(key, str) else value[key]
 
 
@@ -231,7 +233,7 @@ def _apply(op: str, a: Any, b: Any) -> Any:
     if op in ("||", "or"):
         return F.coalesce(_col(a), F.lit(False)) | F.coalesce(_col(b), F.lit(False))
     if op in ("&&", "and"):
-        return _col(a) & _col(b)
+        return F.coalesce(_col(a), F.lit(False)) & F.coalesce(_col(b), F.lit(False))
     if op == "??":
         return F.coalesce(_col(a), _col(b))
     if op == "in":
@@ -335,6 +337,25 @@ def _call(name: str, a: list, scope: dict) -> Any:
         raise ExprError(f"{name}: {e}") from None
 
 
+def lifted(source: str) -> tuple[str, list[float]]:
+    """An expression with the numbers that something is compared with replaced by names __n0, __n1, ..., and the numbers."""
+    out, numbers, at, compared = [], [], 0, False
+    source = cel_compat(source)
+    while at < len(source):
+        m = _TOKEN.match(source, at)
+        if not m:
+            raise ExprError(f"unexpected {source[at]!r} at {at}")
+        if m.lastgroup == "num" and compared:
+            out.append(f"__n{len(numbers)}")
+            numbers.append(float(m[0]))
+        else:
+            out.append(m[0])
+        if m.lastgroup:
+            compared = m[0] in ("<", "<=", ">", ">=")
+        at = m.end()
+    return "".join(out), numbers
+
+
 def compile_expr(source: str, scope: dict[str, Any]) -> Column:
     """A column of the expression's value; scope: what its names stand for."""
     return _col(_Parser(cel_compat(source), scope).parse())

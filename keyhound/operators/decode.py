@@ -160,8 +160,7 @@ def decoded(df: DataFrame, depth: int) -> DataFrame:
 
 def decoded_findings(df: DataFrame, config: Config, depth: int, **options) -> DataFrame:
     """Findings in decoded text that overlap what was decoded last, at their places in the original."""
-    rules = [r for r in config.rules.values() if r.regex]
-    m = trimmed(raw_matches(decoded(prefiltered(df, config), depth), rules))
+    m = trimmed(raw_matches(decoded(prefiltered(df, config), depth), list(config.rules.values())).where(F.col("match").isNotNull()))
     m = m.withColumn("own", F.filter("segments", lambda s: (s["kind"] != "") & (s["ds"] <= F.col("bend")) & (s["de"] >= F.col("bstart")))).where(F.size("own") > 0)
     before = lambda at: F.filter("segments", lambda s: s["ds"] < at)
     last_a, last_z = F.try_element_at(F.filter("segments", lambda s: s["ds"] <= F.col("bstart")), F.lit(-1)), F.try_element_at(before(F.col("bend")), F.lit(-1))

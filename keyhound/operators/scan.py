@@ -1,39 +1,45 @@
-"""The scan: fragments by rules to findings, with Spark's own functions.
-
-Fragments are rows (fragment_id, raw, start_line, attributes). Every rule is an expression over `raw`, guarded by its
-keywords; all rules of a batch are evaluated in one pass over the text, and only matches leave it. Locations, lines
-and entropies are computed for matches alone. Nothing is shuffled before composite rules.
+"""The scan: fragments by rules to findings.
+
+Fragments are rows (fragment_id, raw, start_line, attributes). One pass over a text's Arrow batch looks up the keywords
+of all rules in one automaton and gives the rules that the fragment is a candidate of; only their patterns are matched,
+with Spark's own functions, and only matches leave the text. What is known of a rule (pattern, groups, tags) stands in
+one array, where a match finds it by the rule's number, so the plan has one scan of the source and the same size for any
+number of rules. Rules whose filters differ in numbers only share one compiled filter. Nothing is shuffled before
+composite rules.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyhound.functions import dialect
+from keyhound.functions import dialect, keywords
 from keyhound.functions import text as T
-from keyhound.functions.expr import skips
+from keyhound.functions.expr import lifted, skips
 from keyhound.plans.rules import Config, Rule
 
-#: Rules evaluated in one projection; more would outgrow what the JVM compiles as one method.
-BATCH = 20
 #: Sources of this many tasks are never spread over more.
 SPREAD = 64
 #: Comments that keep a line from being reported; callers add the ones that their texts already hold.
 ALLOW = ("keyhound:allow",)
-MATCH = "array<struct<rule_id:string,match:string,cstart:int,bstart:int>>"
+#: The context that filters see: so many lines and bytes around a match. Fixed values.
+FILTER_CONTEXT = ("box", 350, 350, 20, 20)
+_RULE = "struct<id:string,description:string,java:string,path:string,secret_group:int,groups:int,names:array<string>,places:array<int>,tags:array<string>,specificity:int,skip_report:boolean,shape:int,numbers:array<double>>"
 
 
 def fragments(df: DataFrame, raw: str, fragment_id: str, path: Column | None = None, start_line: int = 1, attributes: Column | None = None) -> DataFrame:
-    """Rows of any table as fragments."""
-    own = F.create_map(F.lit("path"), path) if path is not None else F.create_map().cast("map<string,string>")
+    """Rows of any table as fragments. A path given apart wins over one among the attributes; null attributes are none."""
+    none = F.create_map().cast("map<string,string>")
+    given = F.coalesce(attributes.cast("map<string,string>"), none) if attributes is not None else none
+    own = given if path is None else F.map_concat(F.map_filter(given, lambda k, v: k != "path"), F.create_map(F.lit("path"), path))
     return df.select(
         F.col(fragment_id).alias("fragment_id"),
         F.coalesce(F.col(raw), F.lit("")).alias("raw"),
         F.lit(start_line).alias("start_line"),
-        (F.map_concat(own, attributes) if attributes is not None else own).alias("attributes"),
+        own.alias("attributes"),
     )
 
 
@@ -57,22 +63,44 @@ def prefiltered(df: DataFrame, config: Config) -> DataFrame:
     return df.where(~skips(config.prefilter, {"attributes": F.col("attributes")})) if config.prefilter else df
 
 
-def candidate(rule: Rule, folded: Column) -> Column:
-    """Whether a fragment holds one of the rule's keywords."""
-    return reduce(lambda a, b: a | b, [F.contains(folded, F.lit(k)) for k in rule.keywords]) if rule.keywords else F.lit(True)
+def _shapes(rules: list[Rule]) -> tuple[list[str], list[tuple[int | None, list[float]]]]:
+    """The distinct filters of rules with their numbers lifted out, and each rule's: which one, and its numbers."""
+    shapes: dict[str, int] = {}
+    own = []
+    for r in rules:
+        if not r.filter:
+            own.append((None, []))
+            continue
+        shape, numbers = lifted(r.filter)
+        own.append((shapes.setdefault(shape, len(shapes)), numbers))
+    return list(shapes), own
+
+
+def described(rules: list[Rule]) -> Column:
+    """What is known of the rules, as one constant array in their order."""
+    rows = []
+    for r, (shape, numbers) in zip(rules, _shapes(rules)[1], strict=True):
+        t = dialect.translate(r.regex) if r.regex else None
+        rows.append(
+            {
+                "id": r.id, "description": r.description, "java": t and t.java, "path": dialect.translate(r.path).java if r.path else None, "secret_group": r.secret_group, "groups": t.groups if t else 0,
+                "names": list(t.names) if t else [], "places": list(t.names.values()) if t else [], "tags": list(r.tags), "specificity": r.specificity, "skip_report": r.skip_report, "shape": shape, "numbers": numbers,
+            }
+        )
+    return F.from_json(F.lit(json.dumps(rows)), f"array<{_RULE}>")
 
 
 def keyword_candidates(df: DataFrame, config: Config) -> DataFrame:
     """fragment_id, rule_id for each rule that a fragment is a candidate of."""
-    # A column of its own is computed once, not once for each rule.
-    df, folded = df.withColumn("folded", T.fold(F.col("raw"))), F.col("folded")
-    hits = F.array_compact(F.array(*[F.when(candidate(r, folded), F.lit(r.id)) for r in config.rules.values()]))
-    return df.select("fragment_id", F.explode(hits).alias("rule_id"))
+    rules = list(config.rules.values())
+    ids = F.array(*map(F.lit, config.rules)) if rules else F.array().cast("array<string>")
+    found = df.select("fragment_id", F.explode(keywords.candidates([r.keywords for r in rules])(F.col("raw"))).alias("rule"))
+    return found.select("fragment_id", F.element_at(ids, F.col("rule") + 1).alias("rule_id"))
 
 
-def find_all(raw: Column, java: str) -> Column:
+def find_all(raw: Column, java: Column) -> Column:
     """Matches with the offsets (characters and bytes) of their starts, from the matches and the texts between them."""
-    found = F.regexp_extract_all(raw, F.lit(java), 0)
+    found = F.regexp_extract_all(raw, java, 0)
     between = F.split(raw, java, -1)
     pairs = F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(found)).alias("b"))
     zero = F.struct(F.array().cast("array<struct<match:string,cstart:int,bstart:int>>").alias("all"), F.lit(0).alias("c"), F.lit(0).alias("b"))
@@ -84,32 +112,18 @@ def find_all(raw: Column, java: str) -> Column:
     return F.aggregate(pairs, zero, step, lambda a: a["all"])
 
 
-def _named(rule_id: str):
-    return lambda m: F.struct(F.lit(rule_id).alias("rule_id"), m["match"].alias("match"), m["cstart"].alias("cstart"), m["bstart"].alias("bstart"))
-
-
 def raw_matches(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """df's rows by their matches: rule_id, match, cstart, bstart."""
+    """df's rows by their matches: rule (its number), rule_id, match, cstart, bstart."""
+    names = df.columns
     path = F.coalesce(F.try_element_at("attributes", F.lit("path")), F.lit(""))
-    parts, folded = [], F.col("folded")
-    names, df = df.columns, df.withColumn("folded", T.fold(F.col("raw")))
-    for i in range(0, len(rules), BATCH):
-        arrays = []
-        for r in rules[i : i + BATCH]:
-            when = candidate(r, folded)
-            if r.path:
-                when = (path != "") & F.rlike(path, F.lit(dialect.translate(r.path).java)) & when
-            java = dialect.translate(r.regex).java if r.regex else None
-            if java is None:
-                only = F.struct(F.lit(None).cast("string").alias("match"), F.lit(0).alias("cstart"), F.lit(0).alias("bstart"))
-                found = F.array(only)
-            else:
-                when = when & F.rlike("raw", F.lit(java))
-                found = find_all(F.col("raw"), java)
-            arrays.append(F.when(when, F.transform(found, _named(r.id))).otherwise(F.array().cast(MATCH)))
-        parts.append(df.withColumn("m", F.explode(F.flatten(F.array(*arrays)))))
-    out = reduce(DataFrame.unionByName, parts)
-    return out.select(*names, *(F.col(f"m.{c}").alias(c) for c in ("rule_id", "match", "cstart", "bstart")))
+    of = lambda n: F.element_at(described(rules), n + 1)
+    # Rules are tested on the fragment before it is repeated for any of them.
+    held = lambda n: (of(n)["java"].isNull() | F.rlike("raw", F.coalesce(of(n)["java"], F.lit("")))) & (of(n)["path"].isNull() | (path != "") & F.rlike(path, F.coalesce(of(n)["path"], F.lit(""))))
+    df = df.withColumn("candidates", keywords.candidates([r.keywords for r in rules])(F.col("raw")))
+    df = df.withColumn("rule", F.explode(F.filter("candidates", held))).withColumn("java", of(F.col("rule"))["java"])
+    only = F.struct(F.lit(None).cast("string").alias("match"), F.lit(0).alias("cstart"), F.lit(0).alias("bstart"))
+    df = df.withColumn("m", F.explode(F.when(F.col("java").isNull(), F.array(only)).otherwise(find_all(F.col("raw"), F.col("java")))))
+    return df.select(*names, "rule", of(F.col("rule"))["id"].alias("rule_id"), "m.match", "m.cstart", "m.bstart")
 
 
 def trimmed(df: DataFrame) -> DataFrame:
@@ -150,33 +164,20 @@ def located(df: DataFrame) -> DataFrame:
     return d.drop("n_all", "n_start", "n_end", "p_start", "p_end", "l_start", "l_end", "line_from", "line_to")
 
 
-def _by_rule(rules: list[Rule], value, kind: str) -> Column:
-    """A value for each rule, by rule_id."""
-    out = None
-    for r in rules:
-        v = value(r)
-        v = v if isinstance(v, Column) else F.lit(v)
-        out = F.when(F.col("rule_id") == r.id, v) if out is None else out.when(F.col("rule_id") == r.id, v)
-    return out.cast(kind) if out is not None else F.lit(None).cast(kind)
+def _group(match: Column, r: Column, i: Column) -> Column:
+    return F.call_function("regexp_extract", match, r["java"], i)
 
 
-def _secret(r: Rule) -> Column:
+def _secret(match: Column, r: Column) -> Column:
     """The chosen group, or the first that isn't empty, matched anew on the match."""
-    if not r.regex:
-        return F.lit("")
-    t = dialect.translate(r.regex)
-    group = lambda i: F.regexp_extract("match", t.java, i)
-    if r.secret_group:
-        return group(r.secret_group)
-    return F.coalesce(*[F.nullif(group(i), F.lit("")) for i in range(1, t.groups + 1)], F.col("match"))
+    numbers = F.when(r["groups"] > 0, F.sequence(F.lit(1), r["groups"])).otherwise(F.array().cast("array<int>"))
+    first = F.try_element_at(F.filter(F.transform(numbers, lambda i: _group(match, r, i)), lambda x: x != ""), F.lit(1))
+    return F.when(r["java"].isNull(), F.lit("")).when(r["secret_group"] > 0, _group(match, r, r["secret_group"])).otherwise(F.coalesce(first, match))
 
 
-def _captures(r: Rule) -> Column:
-    t = dialect.translate(r.regex) if r.regex else None
-    if not t or not t.names:
-        return F.create_map().cast("map<string,string>")
-    all_ = F.map_from_arrays(T.lit_list(list(t.names)), F.array(*[F.regexp_extract("match", t.java, i) for i in t.names.values()]))
-    return F.map_filter(all_, lambda k, v: v != "")
+def _captures(match: Column, r: Column) -> Column:
+    all_ = F.map_from_arrays(r["names"], F.transform(r["places"], lambda i: _group(match, r, i)))
+    return F.when(F.size(r["names"]) > 0, F.map_filter(all_, lambda k, v: v != "")).otherwise(F.create_map().cast("map<string,string>"))
 
 
 def findings(df: DataFrame, config: Config, functions: dict | None = None, ignore_allow: bool = False, context: str = "", allow: tuple[str, ...] = ALLOW) -> DataFrame:
@@ -198,29 +199,36 @@ def finish(m: DataFrame, config: Config, functions: dict | None = None, ignore_a
     if not ignore_allow and allow:
         allowed = reduce(lambda a, b: a | b, [F.contains("line", F.lit(x)) for x in allow])
         m = m.where(only_path | ~F.coalesce(allowed, F.lit(False)))
-    m = m.withColumn("secret", _by_rule(rules, _secret, "string"))
-    m = m.withColumn("capture_groups", _by_rule(rules, _captures, "map<string,string>"))
-    m = m.withColumn("description", _by_rule(rules, lambda r: r.description, "string"))
+    m = m.withColumn("r", F.element_at(described(rules), F.col("rule") + 1))
+    r = F.col("r")
+    m = m.withColumn("secret", _secret(F.col("match"), r)).withColumn("capture_groups", _captures(F.col("match"), r))
     m = m.withColumn("entropy", T.report_entropy(F.col("secret")).cast("float"))
-    finding = {
-        "secret": F.col("secret"), "match": F.col("match"), "line": F.coalesce("decoded_line", "line"), "rule_id": F.col("rule_id"), "description": F.col("description"),
-        "entropy": F.col("entropy").cast("string"), "fragment_raw": F.col("scanned"), "match_start_idx": F.col("at"), "match_end_idx": F.col("full_end"),
-    }
-    scope = {"attributes": F.col("attributes"), "finding": finding, "__functions__": functions or {}}
-    skip = skips(config.filter, scope) if config.filter else F.lit(False)
-    own = [r for r in rules if r.filter]
-    if own:
-        skip = skip | F.coalesce(_by_rule(own, lambda r: skips(r.filter, scope), "boolean"), F.lit(False))
-    m = m.where(only_path | ~skip)
+    if config.filter or any(x.filter for x in rules):
+        low, high = F.col("at"), F.col("full_end")
+        until = lambda c: F.octet_length(F.regexp_extract(c, r"\A[^\n\r]*", 0))
+        head, tail = T.bytes_between(F.col("scanned"), F.lit(0), low), T.bytes_between(F.col("scanned"), high, F.octet_length("scanned"))
+        finding = {
+            "secret": F.col("secret"), "match": F.col("match"), "line": F.coalesce("decoded_line", "line"), "rule_id": F.col("rule_id"), "description": r["description"],
+            "entropy": F.col("entropy").cast("string"), "fragment_raw": F.col("scanned"), "match_start_idx": low, "match_end_idx": high, "context": box(*FILTER_CONTEXT[1:]),
+            "match_line_start_idx": low - until(F.reverse(head)), "match_line_end_idx": high + until(tail),
+        }
+        scope = {"attributes": F.col("attributes"), "finding": finding, "__functions__": functions or {}}
+        skip = skips(config.filter, scope) if config.filter else F.lit(False)
+        own = None
+        for i, shape in enumerate(_shapes(rules)[0]):
+            numbers = {f"__n{k}": F.try_element_at(r["numbers"], F.lit(k + 1)) for k in range(shape.count("__n"))}
+            value = skips(shape, scope | numbers)
+            own = F.when(r["shape"] == i, value) if own is None else own.when(r["shape"] == i, value)
+        m = m.where(only_path | ~(skip if own is None else skip | F.coalesce(own, F.lit(False))))
     sha = F.coalesce(F.try_element_at("attributes", F.lit("git.sha")), F.lit(""))
     place = F.concat_ws(":", F.coalesce(path, F.lit("")), "rule_id", F.col("start_line_").cast("string"))
     m = m.withColumn("fingerprint", F.when(only_path, F.lit("")).when(sha != "", F.concat(sha, F.lit(":"), place)).otherwise(place))
-    m = m.withColumn("match", F.coalesce("match", F.concat(F.lit("file detected: "), path)))
     extra = [around(context)] if context else []
+    m = m.withColumn("shown", F.coalesce("match", F.concat(F.lit("file detected: "), path)))
     return m.select(
-        "fragment_id", "rule_id", "description", F.col("start_line_").alias("start_line"), "end_line", "start_column", "end_column", "match", "secret",
-        F.coalesce("line", F.lit("")).alias("line"), "capture_groups", "attributes", F.concat(_by_rule(rules, lambda r: T.lit_list(list(r.tags)), "array<string>"), "more_tags").alias("tags"),
-        _by_rule(rules, lambda r: r.specificity, "int").alias("specificity"), _by_rule(rules, lambda r: r.skip_report, "boolean").alias("skip_report"), "entropy", "fingerprint", "pass", *extra,
+        "fragment_id", "rule_id", r["description"].alias("description"), F.col("start_line_").alias("start_line"), "end_line", "start_column", "end_column", F.col("shown").alias("match"), "secret",
+        F.coalesce("line", F.lit("")).alias("line"), "capture_groups", "attributes", F.concat(r["tags"], "more_tags").alias("tags"),
+        r["specificity"].alias("specificity"), r["skip_report"].alias("skip_report"), "entropy", "fingerprint", "pass", *extra,
     )
 
 
@@ -242,13 +250,23 @@ def context_spec(spec: str) -> tuple[str, int, int, int, int]:
     return mode, *cols, *lines
 
 
+def box(before: int, after: int, up: int, down: int) -> Column:
+    """The lines around a match; of a match within one line, also only the columns around it. Shorter lines are shown whole."""
+    at = T.count_of(F.substring(F.col("raw"), F.lit(1), F.col("cstart")), "\n")
+    last = at + T.count_of(F.col("span"), "\n")
+    first = F.greatest(at - up, F.lit(0))
+    rows = F.slice(F.split("raw", "\n", -1), first + 1, last + down - first + 1)
+    if before or after:
+        column = F.octet_length(F.substring_index(F.substring(F.col("raw"), F.lit(1), F.col("cstart")), "\n", -1))
+        low, high = F.greatest(column - before, F.lit(0)), column + F.octet_length("span") + after
+        clipped = F.transform(rows, lambda x: T.bytes_between(x, F.when(F.octet_length(x) <= low, F.lit(0)).otherwise(low), high))
+        rows = F.when(F.contains("span", F.lit("\n")), rows).otherwise(clipped)
+    return F.array_join(rows, "\n")
+
+
 def around(spec: str) -> Column:
     """The text around a match, by context_spec."""
     mode, before, after, up, down = context_spec(spec)
     if mode == "cols":
         return T.bytes_between(F.col("raw"), F.col("bstart") - before, F.col("bend") + after).alias("match_context")
-    at = T.count_of(F.substring(F.col("raw"), F.lit(1), F.col("cstart")), "\n")
-    last = at + T.count_of(F.col("match"), "\n")
-    first = F.greatest(at - up, F.lit(0))
-    rows = F.slice(F.split("raw", "\n", -1), first + 1, last + down - first + 1)
-    return F.array_join(rows, "\n").alias("match_context")
+    return box(before, after, up, down).alias("match_context")
