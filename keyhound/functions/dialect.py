@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 #: Members of the POSIX classes and of the escapes that differ between the two dialects. Fixed values.
 POSIX = {
@@ -40,6 +41,7 @@ class Translated:
         self.java, self.names, self.groups = java, names, groups
 
 
+@lru_cache(4096)
 def translate(pattern: str) -> Translated:
     out, names, groups, i, n = ["(?d)(?u)"], {}, 0, 0, len(pattern)
     multiline = [False]

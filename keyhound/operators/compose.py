@@ -23,16 +23,33 @@ def _entries() -> Column:
 
 
 def required_pairs(found: DataFrame, config: Config) -> DataFrame:
-    """Primary findings with each component near enough: a band join within fragment and pass."""
+    """Primary findings with each component near enough: a band join within fragment and pass.
+
+    Sets take a rule's components in order, lines first, and no more than MAX_SETS different ones. So where columns don't
+    matter, components beyond the first MAX_SETS of their rule on a line (of a fragment, where lines don't matter
+    either) are never needed and are left out before the join, and a line of thousands of findings makes at most
+    MAX_SETS pairs for each. Components limited by columns meet by strips of that many columns.
+    """
     needs = [(r.id, i, q.rule_id, q.within_lines, q.within_columns) for r in config.rules.values() for i, q in enumerate(r.required)]
     spark = found.sparkSession
     wanted = spark.createDataFrame(needs, "primary_id string, place int, required_id string, within_lines int, within_columns int")
     p = found.join(F.broadcast(wanted), F.col("rule_id") == F.col("primary_id"))  # as many rows as the rules require
+    kinds = wanted.select("required_id", "within_lines", "within_columns").distinct()
     c = found.select(F.col("fragment_id").alias("f2"), F.col("pass").alias("p2"), F.col("rule_id").alias("r2"), F.struct(*[_entries() if c == "capture_groups" else c for c in _COMPONENT]).alias("component"))
+    c = c.join(F.broadcast(kinds.select(F.col("required_id").alias("k2"), F.col("within_lines").alias("wl"), F.col("within_columns").alias("wc"))), F.col("r2") == F.col("k2")).drop("k2")
+    line = F.when(F.col("wl").isNotNull(), F.col("component.start_line"))
+    same = Window.partitionBy("f2", "p2", "r2", "wl", line).orderBy("component")
+    free = c.where(F.col("wc").isNull()).withColumn("nth", F.dense_rank().over(same)).where(F.col("nth") <= MAX_SETS).drop("nth").withColumn("strip", F.lit(0))
+    width = F.col("wc") + 1
+    narrow = c.where(F.col("wc").isNotNull()).withColumn("strip", F.floor(F.col("component.start_column") / width).cast("int"))
+    own = F.floor(F.col("start_column") / (F.col("within_columns") + 1)).cast("int")
+    p = p.withColumn("own", F.explode(F.when(F.col("within_columns").isNull(), F.array(F.lit(0))).otherwise(F.array(own - 1, own, own + 1))))
     near = (F.col("within_lines").isNull() | (F.abs(F.col("start_line") - F.col("component.start_line")) <= F.col("within_lines"))) & (
         F.col("within_columns").isNull() | (F.abs(F.col("start_column") - F.col("component.start_column")) <= F.col("within_columns"))
     )
-    return p.join(c, (F.col("fragment_id") == F.col("f2")) & (F.col("pass") == F.col("p2")) & (F.col("required_id") == F.col("r2")) & near)
+    keys = (F.col("fragment_id") == F.col("f2")) & (F.col("pass") == F.col("p2")) & (F.col("required_id") == F.col("r2")) & (F.col("own") == F.col("strip"))
+    limits = F.col("within_lines").eqNullSafe(F.col("wl")) & F.col("within_columns").eqNullSafe(F.col("wc"))
+    return p.join(free.unionByName(narrow), keys & limits & near).drop("wl", "wc", "own", "strip")
 
 
 def required_sets(groups: Column) -> Column:
@@ -62,19 +79,29 @@ def composed(found: DataFrame, config: Config) -> DataFrame:
 def suppressed(found: DataFrame) -> DataFrame:
     """Findings that no finding of higher specificity covers, and that aren't components of a composite.
 
-    All conditions share fragment and line as equal keys, so that they are hash joins with a small rest.
+    All conditions share fragment and line as equal keys, so that they are hash joins with a small rest. Secrets are
+    compared once each, not once a finding, and only with secrets of a line that has more than one specificity.
     """
     sha = lambda c: F.coalesce(F.try_element_at(c, F.lit("git.sha")), F.lit(""))
-    g = found.select(F.col("fragment_id").alias("f2"), F.col("start_line").alias("l2"), F.col("rule_id").alias("r2"), F.col("secret").alias("s2"), F.col("specificity").alias("p2"), sha("attributes").alias("sha2")).distinct()
-    same = (F.col("fragment_id") == F.col("f2")) & (F.col("start_line") == F.col("l2"))
-    higher = same & (F.col("rule_id") != F.col("r2")) & F.contains("s2", F.col("secret")) & (F.col("p2") > F.col("specificity"))
-    out = found.join(g, higher & (sha("attributes") == F.col("sha2")), "left_anti")
+    keys = ["fragment_id", "start_line"]
+    secrets = found.select(*keys, "secret", "specificity", sha("attributes").alias("sha")).distinct()
+    levels = secrets.groupBy(*keys, "sha").agg(F.min("specificity").alias("low"), F.max("specificity").alias("high")).where("low < high")
+    mixed = secrets.join(levels, [*keys, "sha"])
+    low = mixed.where("specificity < high").select(*keys, "sha", "secret", "specificity")
+    high = mixed.where("specificity > low").select(*keys, "sha", F.col("secret").alias("s2"), F.col("specificity").alias("p2"))
+    # A rule has one specificity, so a higher one is another rule's.
+    covered = low.join(high, [*keys, "sha"]).where(F.contains("s2", F.col("secret")) & (F.col("p2") > F.col("specificity"))).select(*keys, F.col("sha").alias("sha_"), "secret", "specificity").distinct()
+    on = lambda d, other, names: [d[n].eqNullSafe(other[n]) for n in names]
+    same = [*on(found, covered, [*keys, "secret", "specificity"]), sha(found["attributes"]) == covered["sha_"]]
+    out = found.join(covered, reduce(lambda a, b: a & b, same), "left_anti")
     if "required_sets" in found.columns:
         sets = out.where(F.col("required_sets").isNotNull()).select("fragment_id", F.explode("required_sets").alias("s"))
         c = sets.select(F.col("fragment_id").alias("f2"), F.explode("s.components").alias("c"))
-        c = c.select("f2", F.col("c.start_line").alias("l2"), F.col("c.rule_id").alias("r2"), F.col("c.secret").alias("s2"), F.col("c.specificity").alias("p2")).distinct()
-        covered = same & ((F.col("secret") == F.col("s2")) | ((F.col("rule_id") != F.col("r2")) & F.contains("s2", F.col("secret")) & (F.col("p2") > F.col("specificity"))))
-        out = out.join(c, covered, "left_anti")
+        c = c.select("f2", F.col("c.start_line").alias("l2"), F.col("c.secret").alias("s2"), F.col("c.specificity").alias("p2")).distinct()
+        here = (F.col("fragment_id") == F.col("f2")) & (F.col("start_line") == F.col("l2"))
+        exact = out.join(c.select("f2", "l2", "s2").distinct(), here & F.col("secret").eqNullSafe(F.col("s2")), "left_anti")
+        inside = F.contains("s2", F.col("secret")) & (F.col("p2") > F.col("specificity"))
+        out = exact.join(c, here & inside, "left_anti")
     return out
 
 

@@ -1,7 +1,7 @@
 """Reports of findings: rows for JSON and CSV, SARIF and JUnit documents.
 
 Rows are written by Spark, in as many files as there are tasks. The single documents (a JSON array, SARIF, JUnit)
-are streamed through the driver a partition at a time.
+are generators of text that read a partition at a time through the driver and hold no list of findings.
 """
 
 from __future__ import annotations
@@ -12,75 +12,119 @@ from collections.abc import Iterator
 from string import Template
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyhound.functions import text as T
+from keyhound.sources.files import platform, web_remote
+
 #: Columns of the CSV report, in order. Fixed values.
 CSV = ("RuleID", "Commit", "File", "SymlinkFile", "Secret", "Match", "StartLine", "EndLine", "StartColumn", "EndColumn", "Author", "Message", "Date", "Email", "Fingerprint", "Tags")
 
 
-def flat(found: DataFrame) -> DataFrame:
-    """Findings with the columns of reports, file and commit taken from the attributes."""
+_JSON = ("RuleID", "Description", "StartLine", "EndLine", "StartColumn", "EndColumn", "Match", "Secret", "MatchContext", "CaptureGroups", "Attributes", "RequiredSets", "ValidationStatus", "ValidationReason", "ValidationMeta", "File", "SymlinkFile", "Commit", "Link", "Entropy", "Author", "Email", "Date", "Message")
+#: Fields that JSON leaves out where they are empty.
+_OMITTED = ("MatchContext", "CaptureGroups", "Attributes", "RequiredSets", "ValidationStatus", "ValidationReason", "ValidationMeta", "Link")
+
+
+def _sets(c: Column) -> Column:
+    """Required sets by the names of reports."""
+    part = lambda x: F.struct(
+        x["rule_id"].alias("RuleID"), x["start_line"].alias("StartLine"), x["end_line"].alias("EndLine"), x["start_column"].alias("StartColumn"), x["end_column"].alias("EndColumn"), x["match"].alias("Match"), x["secret"].alias("Secret"),
+        F.when(F.size(x["capture_groups"]) > 0, F.map_from_entries(x["capture_groups"])).alias("CaptureGroups"),
+    )
+    some = lambda x: F.nullif(x, F.lit(""))
+    return F.transform(c, lambda s: F.struct(F.transform(s["components"], part).alias("components"), some(s["validation_status"]).alias("validationStatus"), some(s["validation_reason"]).alias("validationReason")))
+
+
+def flat(found: DataFrame, remote: str = "") -> DataFrame:
+    """Findings with the columns of reports; file and commit are taken from the attributes. remote: what links lead to."""
     of = lambda a: F.coalesce(F.try_element_at("attributes", F.lit(a)), F.lit(""))
+    has = lambda c, kind="string": F.col(c) if c in found.columns else F.lit(None).cast(kind)
+    text = lambda c: F.coalesce(has(c), F.lit(""))
+    web = web_remote(F.lit(remote))
+    link = F.when(of("git.sha") == "", F.lit("")).otherwise(T.scm_link(platform(web), web, of("git.sha"), of("path"), F.col("start_line"), F.col("end_line")))
+    sets = _sets(F.col("required_sets")) if "required_sets" in found.columns else F.lit(None).cast("array<string>")
+    meta = dict(found.dtypes).get("validation_meta", "map<string,string>")
     return found.select(
         F.col("rule_id").alias("RuleID"), F.col("description").alias("Description"), of("git.sha").alias("Commit"), of("path").alias("File"), of("fs.symlink").alias("SymlinkFile"), F.col("secret").alias("Secret"), F.col("match").alias("Match"),
         F.col("start_line").alias("StartLine"), F.col("end_line").alias("EndLine"), F.col("start_column").alias("StartColumn"), F.col("end_column").alias("EndColumn"), of("git.author_name").alias("Author"), of("git.message").alias("Message"),
         of("git.date").alias("Date"), of("git.author_email").alias("Email"), F.col("fingerprint").alias("Fingerprint"), F.col("tags").alias("TagList"), F.array_join("tags", " ").alias("Tags"), F.col("entropy").alias("Entropy"), F.col("attributes").alias("Attributes"),
+        (link if remote else F.lit("")).alias("Link"), text("match_context").alias("MatchContext"), F.col("capture_groups").alias("CaptureGroups"), sets.alias("RequiredSets"),
+        text("validation_status").alias("ValidationStatus"), text("validation_reason").alias("ValidationReason"), has("validation_meta", meta).alias("ValidationMeta"),
     )
 
 
-def csv_rows(found: DataFrame) -> DataFrame:
-    return flat(found).select(*CSV)
+def csv_rows(found: DataFrame, remote: str = "") -> DataFrame:
+    """The columns of CSV; Link where there is a remote, MatchContext where findings have one."""
+    more = ["Link"] * bool(remote) + ["MatchContext"] * ("match_context" in found.columns)
+    return flat(found, remote).select(*CSV, *more)
 
 
-def write_csv(found: DataFrame, path: str) -> None:
-    csv_rows(found).write.option("header", True).option("escape", '"').csv(path)
+def write_csv(found: DataFrame, path: str, remote: str = "") -> bool:
+    """Writes the rows, or nothing at all where there are none."""
+    rows = csv_rows(found, remote)
+    if rows.isEmpty():
+        return False
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return True
 
 
-def json_rows(found: DataFrame) -> DataFrame:
+def json_rows(found: DataFrame, remote: str = "") -> DataFrame:
     """One JSON object a finding, in a column `json`."""
-    f = flat(found)
-    names = ("RuleID", "Description", "StartLine", "EndLine", "StartColumn", "EndColumn", "Match", "Secret", "File", "SymlinkFile", "Commit", "Entropy", "Author", "Email", "Date", "Message")
-    return f.select(F.to_json(F.struct(*names, F.col("TagList").alias("Tags"), "Fingerprint")).alias("json"))
+    f = flat(found, remote)
+    kinds = dict(f.dtypes)
+    empty = lambda c: F.col(c) == "" if kinds[c] == "string" else F.size(c) <= 0
+    shown = [F.when(~empty(c), F.col(c)).alias(c) if c in _OMITTED else F.col(c) for c in _JSON]
+    return f.select(F.to_json(F.struct(*shown, F.col("TagList").alias("Tags"), "Fingerprint")).alias("json"))
 
 
-def json_report(found: DataFrame) -> Iterator[str]:
+def json_report(found: DataFrame, remote: str = "") -> Iterator[str]:
     first = True
     yield "["
-    for row in json_rows(found).toLocalIterator():
+    for row in json_rows(found, remote).toLocalIterator():
         body = json.dumps(json.loads(row.json), indent=1, ensure_ascii=False).replace("\n", "\n ")
         yield ("\n " if first else ",\n ") + body
         first = False
     yield "]\n" if first else "\n]\n"
 
 
-def sarif_report(found: DataFrame, config, tool: str = "keyhound") -> dict:
+def _said(r) -> str:
+    return f"Rule {r.RuleID} found a secret in {r.File}, line {r.StartLine}" + (f" (commit {r.Commit})" if r.Commit else "")
+
+
+def sarif_report(found: DataFrame, config, tool: str = "keyhound") -> Iterator[str]:
     """A SARIF 2.1.0 document; rules come from the configuration."""
     rules = [{"id": r.id, "shortDescription": {"text": r.description}} for r in config.rules.values()]
-    results = []
+    head = {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "semanticVersion": "1.0.0", "rules": rules}}, "results": []}]}
+    yield json.dumps(head, ensure_ascii=False)[: -len("]}]}")]
+    first = True
     for r in flat(found).toLocalIterator():
         region = {"startLine": r.StartLine, "startColumn": r.StartColumn, "endLine": r.EndLine, "endColumn": r.EndColumn, "snippet": {"text": r.Secret}}
-        results.append(
-            {
-                "message": {"text": f"{r.RuleID} has detected secret for file {r.File}" + (f" at commit {r.Commit}." if r.Commit else ".")},
-                "ruleId": r.RuleID,
-                "locations": [{"physicalLocation": {"artifactLocation": {"uri": r.File}, "region": region}}],
-                "partialFingerprints": {"commitSha": r.Commit, "email": r.Email, "author": r.Author, "date": r.Date, "commitMessage": r.Message},
-                "properties": {"tags": r.TagList},
-            }
-        )
-    return {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "semanticVersion": "1.0.0", "rules": rules}}, "results": results}]}
-
-
-def junit_report(found: DataFrame, tool: str = "keyhound") -> str:
-    """A JUnit document: a failing case for each finding."""
-    cases = []
+        place = {"artifactLocation": {"uri": r.SymlinkFile or r.File}, "region": region}
+        if r.MatchContext:
+            place["contextRegion"] = {"startLine": r.StartLine, "endLine": r.EndLine, "snippet": {"text": r.MatchContext}}
+        result = {
+            "message": {"text": _said(r)},
+            "ruleId": r.RuleID,
+            "locations": [{"physicalLocation": place}],
+            "partialFingerprints": {"commitSha": r.Commit, "email": r.Email, "author": r.Author, "date": r.Date, "commitMessage": r.Message},
+            "properties": {"tags": r.TagList},
+        }
+        yield ("" if first else ", ") + json.dumps(result, ensure_ascii=False)
+        first = False
+    yield "]}]}\n"
+
+
+def junit_report(found: DataFrame, tool: str = "keyhound") -> Iterator[str]:
+    """A JUnit document: a failing case for each finding. The findings are counted before they are read."""
+    n = found.count()
+    yield f'<?xml version="1.0" encoding="UTF-8"?>\n<testsuites>\n  <testsuite failures="{n}" name="{tool}" tests="{n}" time="">\n'
     for r in flat(found).toLocalIterator():
-        said = f"{r.RuleID} has detected a secret in file {r.File}, line {r.StartLine}" + (f", at commit {r.Commit}" if r.Commit else "") + "."
+        said = _said(r)
         body = json.dumps({"RuleID": r.RuleID, "StartLine": r.StartLine, "Match": r.Match, "Secret": r.Secret, "File": r.File, "Fingerprint": r.Fingerprint}, indent=1, ensure_ascii=False)
-        cases.append(f"    <testcase classname={quoteattr(r.Description)} file={quoteattr(r.File)} name={quoteattr(said)}>\n      <failure message={quoteattr(said)} type={quoteattr(r.Description)}>{escape(body)}</failure>\n    </testcase>\n")
-    n = len(cases)
-    return f'<?xml version="1.0" encoding="UTF-8"?>\n<testsuites>\n  <testsuite failures="{n}" name="{tool}" tests="{n}" time="">\n' + "".join(cases) + "  </testsuite>\n</testsuites>\n"
+        yield f"    <testcase classname={quoteattr(r.Description)} file={quoteattr(r.File)} name={quoteattr(said)}>\n      <failure message={quoteattr(said)} type={quoteattr(r.Description)}>{escape(body)}</failure>\n    </testcase>\n"
+    yield "  </testsuite>\n</testsuites>\n"
 
 
 def template_report(found: DataFrame, template: str) -> Iterator[str]:

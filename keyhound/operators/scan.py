@@ -116,7 +116,8 @@ def raw_matches(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """df's rows by their matches: rule (its number), rule_id, match, cstart, bstart."""
     names = df.columns
     path = F.coalesce(F.try_element_at("attributes", F.lit("path")), F.lit(""))
-    of = lambda n: F.element_at(described(rules), n + 1)
+    known = described(rules)
+    of = lambda n: F.element_at(known, n + 1)
     # Rules are tested on the fragment before it is repeated for any of them.
     held = lambda n: (of(n)["java"].isNull() | F.rlike("raw", F.coalesce(of(n)["java"], F.lit("")))) & (of(n)["path"].isNull() | (path != "") & F.rlike(path, F.coalesce(of(n)["path"], F.lit(""))))
     df = df.withColumn("candidates", keywords.candidates([r.keywords for r in rules])(F.col("raw")))

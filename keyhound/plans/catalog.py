@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,8 @@ from pyspark.sql import functions as F
 from keyhound.functions import expr
 from keyhound.functions import text as T
 from keyhound.operators import compose, decode, report, scan, validate
-from keyhound.plans import configs, rules
-from keyhound.plans.lineage import materialised
+from keyhound.plans import configs, rules, services
+from keyhound.plans.lineage import materialised, shared_folder
 from keyhound.sources import files
 
 QUERIES: dict = {}
@@ -23,6 +22,10 @@ EMAIL = r"[a-z0-9._]+@[a-z0-9.]+\.[a-z]{2,}"
 CARD = r"\b([0-9]{16})\b"
 _TOKENS = f"(SELECT doc_id, source, text, unnest(regexp_extract_all(text, '{TOKEN}', 0)) AS match FROM documents)"
 _SECRETS = f"(SELECT *, regexp_extract(match, '{TOKEN}', 1) AS secret FROM {_TOKENS})"
+#: All matches with the text before each.
+_PLACES = f"""(SELECT doc_id, text, match, substr(text, 1, CAST(c AS INTEGER)) AS pre FROM (
+  SELECT doc_id, text, match, sum(length(b)) OVER (PARTITION BY doc_id ORDER BY k) + coalesce(sum(length(match)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
+  FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '{TOKEN}', 0)) AS match, unnest(regexp_split_to_array(text, '{TOKEN}')[1:len(regexp_extract_all(text, '{TOKEN}', 0))]) AS b, generate_subscripts(regexp_extract_all(text, '{TOKEN}', 0), 1) AS k FROM documents)))"""
 _LINES = "(SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)"
 
 
@@ -90,33 +93,31 @@ def match_token_rule(spark, sf_dir):
     return tokens(spark, sf_dir).select(F.col("fragment_id").alias("doc_id"), "match", "secret")
 
 
-@query(f"SELECT DISTINCT doc_id, match, CAST(strlen(substr(text, 1, strpos(text, match) - 1)) AS INTEGER) AS byte_start FROM {_TOKENS}")
+@query(f"SELECT doc_id, match, CAST(strlen(pre) AS INTEGER) AS byte_start FROM {_PLACES}")
 def match_offsets(spark, sf_dir):
+    """Every occurrence, repeats too."""
     m = scan.raw_matches(documents(spark, sf_dir), list(_config(_one("token", TOKEN)).rules.values()))
-    return m.groupBy(F.col("fragment_id").alias("doc_id"), "match").agg(F.min("bstart").alias("byte_start"))
+    return m.select(F.col("fragment_id").alias("doc_id"), "match", F.col("bstart").alias("byte_start"))
 
 
 @query(f"""
-WITH p AS (SELECT DISTINCT doc_id, match, substr(text, 1, strpos(text, match) - 1) AS pre FROM {_TOKENS}),
+WITH p AS (SELECT doc_id, match, pre FROM {_PLACES}),
 q AS (SELECT *, CASE WHEN contains(pre, chr(10)) THEN strlen(regexp_extract(pre, '(?s)^.*\n')) - 1 ELSE 0 END AS nl FROM p)
 SELECT doc_id, match, CAST(1 + length(pre) - length(replace(pre, chr(10), '')) AS INTEGER) AS start_line,
        CAST(strlen(pre) - nl + 1 AS INTEGER) AS start_column, CAST(strlen(pre) + strlen(match) - nl AS INTEGER) AS end_column FROM q
 """)
 def match_location(spark, sf_dir):
-    t = tokens(spark, sf_dir).groupBy(F.col("fragment_id").alias("doc_id"), "match")
-    first = t.agg(F.min(F.struct("start_line", "start_column", "end_column")).alias("f"))
-    return first.select("doc_id", "match", "f.start_line", "f.start_column", "f.end_column")
+    return tokens(spark, sf_dir).select(F.col("fragment_id").alias("doc_id"), "match", "start_line", "start_column", "end_column")
 
 
 @query(f"""
-WITH p AS (SELECT DISTINCT doc_id, match, text, substr(text, 1, strpos(text, match) - 1) AS pre FROM {_TOKENS}),
+WITH p AS (SELECT doc_id, match, text, pre FROM {_PLACES}),
 q AS (SELECT *, 1 + length(pre) - length(replace(pre, chr(10), '')) AS n FROM p)
 SELECT doc_id, match, array_to_string(list_slice(string_split(text, chr(10)), greatest(n - 1, 1), n + 1), chr(10)) AS match_context FROM q
 """)
 def match_context_box(spark, sf_dir):
     t = scan.findings(documents(spark, sf_dir), _config(_one("token", TOKEN)), context="2L")
-    first = t.groupBy(F.col("fragment_id").alias("doc_id"), "match").agg(F.min_by("match_context", F.struct("start_line", "start_column")).alias("match_context"))
-    return first
+    return t.select(F.col("fragment_id").alias("doc_id"), "match", "match_context")
 
 
 @query(f"SELECT doc_id, match, match AS match_context FROM {_TOKENS}")
@@ -184,44 +185,59 @@ def path_only_rule(spark, sf_dir):
     return scan.findings(pages(spark, sf_dir), config).select(F.col("fragment_id").alias("page_id"), "match")
 
 
-_ASCII = r"SELECT item_id, text AS decoded FROM benchmark WHERE regexp_full_match(text, '[\x09-\x7E]{40,}') AND regexp_matches(text, '^[A-Za-z]')"
+#: Texts of which an encoded form within other text is decoded: printable, and long enough as a run. What isn't stays out.
+_PLAIN = r"regexp_full_match(text, '[\x09-\x7E]+')"
+_B64 = "replace(base64(encode({0})), chr(10), '')"
+_B1 = _B64.format("text")
+_B2 = _B64.format(_B1)
+
+
+def _run(b: str) -> str:
+    """That a decoder takes a base64 text: sixteen characters without padding, and one that isn't a letter."""
+    return f"length(rtrim({b}, '=')) >= 16 AND regexp_matches({b}, '[0-9+/]')"
+
+
+def _decodes(condition: str) -> str:
+    return f"SELECT doc_id, 'see ' || text || ' end' AS decoded FROM documents WHERE text <> '' AND {condition}"
 
 
 def _encoded(spark, sf_dir, how) -> DataFrame:
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where(F.rlike("text", F.lit(r"\A[\x09-\x7E]{40,}\z")) & F.rlike("text", F.lit("^[A-Za-z]")))
-    return scan.fragments(b.withColumn("e", how(F.col("text"))), "e", "item_id")
+    """Every text of documents, encoded within other text."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text <> ''")
+    return scan.spread(scan.fragments(d.withColumn("e", F.concat(F.lit("see "), how(F.col("text")), F.lit(" end"))), "e", "doc_id"))
 
 
 def _decoded(f: DataFrame, depth: int) -> DataFrame:
     d = decode.decoded(f, depth)
-    return d.where(F.col("pass") == depth).select(F.col("fragment_id").alias("item_id"), F.col("raw").alias("decoded"))
+    return d.where(F.col("pass") == depth).select(F.col("fragment_id").alias("doc_id"), F.col("raw").alias("decoded"))
 
 
 def _base64(c):
     return F.regexp_replace(F.base64(c.cast("binary")), r"\s", "")
 
 
-@query(_ASCII)
+@query(_decodes(f"{_PLAIN} AND strlen(text) >= 16"))
 def decode_hex(spark, sf_dir):
     return _decoded(_encoded(spark, sf_dir, lambda c: F.lower(F.hex(c.cast("binary")))), 1)
 
 
-@query(_ASCII)
+@query(_decodes(f"{_PLAIN} AND {_run(_B1)}"))
 def decode_base64(spark, sf_dir):
     return _decoded(_encoded(spark, sf_dir, _base64), 1)
 
 
-@query(_ASCII)
+@query(_decodes(_PLAIN))
 def decode_percent(spark, sf_dir):
     return _decoded(_encoded(spark, sf_dir, lambda c: F.regexp_replace(F.hex(c.cast("binary")), "(..)", "%$1")), 1)
 
 
-@query(_ASCII)
+@query(_decodes("true"))
 def decode_unicode(spark, sf_dir):
-    return _decoded(_encoded(spark, sf_dir, lambda c: F.regexp_replace(F.lower(F.hex(c.cast("binary"))), "(..)", r"\\u00$1")), 1)
+    """Escapes of any character, printable or not, of the basic plane."""
+    return _decoded(_encoded(spark, sf_dir, lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(....)", r"\\u$1")), 1)
 
 
-@query(_ASCII)
+@query(_decodes(f"{_PLAIN} AND {_run(_B1)} AND {_run(_B2)}"))
 def decode_recursive(spark, sf_dir):
     return _decoded(_encoded(spark, sf_dir, lambda c: F.regexp_replace(F.hex(_base64(_base64(c)).cast("binary")), "(..)", "%$1")), 3)
 
@@ -238,10 +254,10 @@ def _each(name: str, pattern: str, group: int = 0) -> str:
 _NEAR = f"WITH {_each('c', CARD, 1)}, {_each('e', EMAIL)} "
 
 
-@query(_NEAR + "SELECT DISTINCT c.doc_id, CAST(c.n AS INTEGER) AS start_line, c.secret FROM c JOIN e ON c.doc_id = e.doc_id AND abs(c.n - e.n) <= 5")
+@query(_NEAR + "SELECT c.doc_id, CAST(c.n AS INTEGER) AS start_line, c.secret FROM c WHERE EXISTS (SELECT 1 FROM e WHERE c.doc_id = e.doc_id AND abs(c.n - e.n) <= 5)")
 def composite_within_lines(spark, sf_dir):
     f = compose.composed(found(spark, sf_dir, _near(5)), _near(5))
-    return f.select(F.col("fragment_id").alias("doc_id"), "start_line", "secret").distinct()
+    return f.select(F.col("fragment_id").alias("doc_id"), "start_line", "secret")
 
 
 @query(_NEAR + "SELECT c.doc_id, CAST(c.n AS INTEGER) AS start_line, c.secret, CAST(least(100, count(DISTINCT (e.n, e.secret))) AS INTEGER) AS n_sets FROM c JOIN e ON c.doc_id = e.doc_id AND abs(c.n - e.n) <= 50 GROUP BY ALL")
@@ -456,10 +472,8 @@ def expression_functions(spark, sf_dir):
 def token_efficiency(spark, sf_dir):
     from keyhound.functions.efficiency import column
 
-    try:
-        import public_tokenizers
-    except ImportError:
-        return tokens(spark, sf_dir).select("secret").limit(0)
+    import public_tokenizers
+
     fails = column(public_tokenizers.path("byte_bpe_50k.json"), frozenset({"token", "secret", "password"}))
     config = _config(_one("generic", r'(\w+)\s*=\s*"([0-9a-zA-Z+/_-]{16,})"', "secretGroup = 2\ntokenEfficiency = true"))
     return scan.findings(documents(spark, sf_dir), config, {"filter.failsTokenEfficiency": fails}).select("fragment_id", "secret")
@@ -469,8 +483,7 @@ def token_efficiency(spark, sf_dir):
 def stream_scan(spark, sf_dir):
     from keyhound.streaming.scan import write_findings
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyhound-stream-")
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
     found = scan.findings(scan.fragments(rows, "text", "doc_id"), _config(_one("token", TOKEN, "keywords = ['token']")))
@@ -483,3 +496,45 @@ def full_scan(spark, sf_dir):
     """All default rules, one pass of decoding, composition and suppression."""
     f = compose.scan(documents(spark, sf_dir), rules.default_config(), depth=1)
     return f.select("fragment_id", "rule_id", "start_line", "start_column", "end_column", "secret", "tags", "fingerprint")
+
+
+_SERVICES = ", ".join(f"({i}, '{n}')" for i, n in enumerate(services.SERVICES))
+
+
+@query(f"""SELECT doc_id, name || '-' || kind AS rule_id, md5(CAST(doc_id AS VARCHAR)) AS secret, 1 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 AS start_line
+FROM documents JOIN (VALUES {_SERVICES}) v(i, name) ON doc_id % {len(services.SERVICES)} = i, (VALUES ('key'), ('secret')) k(kind)""")
+def many_rules(spark, sf_dir):
+    """Over four hundred rules at once: each text gets lines with a key and a secret of some service, each found by its rule."""
+    name = F.element_at(F.array(*map(F.lit, services.SERVICES)), (F.col("doc_id") % len(services.SERVICES) + 1).cast("int"))
+    secret = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    planted = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), name, F.lit('_api_key = "'), secret, F.lit('", '), F.upper(name), F.lit("_CLIENT_SECRET: '"), secret, F.lit("'"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", planted.alias("text"))
+    f = scan.findings(scan.spread(scan.fragments(d, "text", "doc_id")), services.all_rules())
+    of_services = f.where(F.array_contains("tags", "key") | F.array_contains("tags", "secret"))
+    # Rules of the sample that tag their findings alike are left out.
+    mine = of_services.where(F.size("tags") == 2).where(~F.col("rule_id").isin("hex-token"))
+    return mine.select(F.col("fragment_id").alias("doc_id"), "rule_id", "secret", F.col("start_line").cast("bigint").alias("start_line"))
+
+
+@query(f"""WITH {_each('t', TOKEN, 1)}, {_each('k', 'token')}
+SELECT t.doc_id, 'composite' AS rule_id, CAST(t.n AS INTEGER) AS start_line, t.secret FROM t WHERE EXISTS (SELECT 1 FROM k WHERE k.doc_id = t.doc_id AND k.n = t.n)
+UNION ALL SELECT k.doc_id, 'word', CAST(k.n AS INTEGER), k.secret FROM k WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = k.doc_id AND t.n = k.n)""")
+def component_suppression(spark, sf_dir):
+    """A word that a composite on its line has for a component isn't a finding of its own."""
+    config = _config(_one("composite", TOKEN, "[[rules.required]]\nid = 'word'\nwithinLines = 0"), _one("word", "token"))
+    f = compose.suppressed(compose.composed(found(spark, sf_dir, config), config))
+    return f.select(F.col("fragment_id").alias("doc_id"), "rule_id", "start_line", "secret")
+
+
+@query("SELECT '0' AS source, count(*) AS n, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents UNION ALL SELECT '1', count(*), CAST(sum(strlen(coalesce(html, ''))) AS BIGINT) FROM pages")
+def union_sources(spark, sf_dir):
+    f = files.union(documents(spark, sf_dir), pages(spark, sf_dir))
+    return f.groupBy(F.substring_index("fragment_id", ":", 1).alias("source")).agg(F.count("*").alias("n"), F.sum(F.octet_length("raw")).cast("bigint").alias("n_bytes"))
+
+
+@query(f"SELECT doc_id, match FROM {_PLACES} WHERE strlen(pre) >= 500 AND NOT contains(regexp_extract(pre, '[^\\n]*\\z'), 'a')")
+def filter_context(spark, sf_dir):
+    """A filter that reads where a match is, the text before it on its line, and the context around it."""
+    source = 'let before = finding["fragment_raw"][finding["match_line_start_idx"]:finding["match_start_idx"]]; before contains "a" || finding["match_start_idx"] < 500 || !(finding["context"] contains finding["match"])'
+    f = scan.findings(documents(spark, sf_dir), _config(_one("token", TOKEN, f"filter = '''{source}'''")))
+    return f.select(F.col("fragment_id").alias("doc_id"), "match")

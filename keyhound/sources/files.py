@@ -6,12 +6,15 @@ import bz2
 import gzip
 import io
 import lzma
+import os
 import re
 import shlex
 import tarfile
 import zipfile
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from typing import BinaryIO, TextIO
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -28,6 +31,8 @@ except ImportError:
 
 CHUNK, LOOK_AHEAD = 100_000, 25_000
 ARCHIVE_DEPTH = 8
+#: Files, and files within archives, of more bytes aren't read, unless a caller says otherwise.
+MAX_BYTES = 250 << 20
 #: What broken archives raise.
 _BROKEN = (OSError, EOFError, lzma.LZMAError, zlib.error, zipfile.BadZipFile, tarfile.TarError, NotImplementedError, RuntimeError, ValueError, *([zstandard.ZstdError] if zstandard else []))
 #: Storage classes that can't be read at once. Fixed values.
@@ -41,43 +46,85 @@ def not_nested(paths: list[str]) -> list[str]:
     return [p for p in clean if not any(p != q and p.startswith(q.rstrip("/") + "/") for q in clean)]
 
 
-def read_files(spark: SparkSession, paths: list[str], prefilter: str = "", max_bytes: int | None = None, pattern: str = "*") -> DataFrame:
-    """Files as rows (path, length, content). Size and prefilter are tested before any content is read."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(not_nested(paths))
+def links(paths: list[str]) -> tuple[dict[str, str], dict[str, str]]:
+    """Symbolic links to files and to folders below local paths, each with what it leads to. Only names are read."""
+    to_files: dict[str, str] = {}
+    to_folders: dict[str, str] = {}
+    todo = [p for p in paths if "://" not in p]
+    while todo:
+        at = todo.pop()
+        if os.path.islink(at):
+            (to_folders if os.path.isdir(at) else to_files)[at] = os.path.realpath(at)
+        elif os.path.isdir(at):
+            todo += [e.path for e in os.scandir(at)]
+    return to_files, to_folders
+
+
+def read_files(spark: SparkSession, paths: list[str], prefilter: str = "", max_bytes: int | None = MAX_BYTES, pattern: str = "*", follow_symlinks: bool = False) -> DataFrame:
+    """Files as rows (path, length, content, symlink). Size and prefilter are tested before any content is read.
+
+    Local symbolic links are left out, or followed: then `path` is what a link leads to and `symlink` the link; a folder
+    that a link leads to is read once, as itself.
+    """
+    to_files, to_folders = links(paths)
+    more = [t for t in to_folders.values() if follow_symlinks]
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(not_nested([*paths, *more]))
     df = df.withColumn("path", F.regexp_replace("path", "^file:/+", "/")).where(F.col("length") > 0)
+    for folder in to_folders:  # names of links, as many as there are
+        df = df.where(~F.startswith("path", F.lit(folder.rstrip("/") + "/")))
     if max_bytes:
         df = df.where(F.col("length") <= max_bytes)
+    known = spark.createDataFrame([*to_files.items()], "link string, target string")
+    df = df.join(F.broadcast(known), F.col("path") == F.col("link"), "left")
+    if not follow_symlinks:
+        df = df.where(F.col("link").isNull())
+    df = df.withColumn("path", F.coalesce("target", "path")).withColumn("symlink", F.coalesce("link", F.lit("")))
     if prefilter:
-        df = df.where(~skips(prefilter, {"attributes": F.create_map(F.lit("path"), F.col("path"))}))
-    return df.select("path", "length", "content")
+        df = df.where(~skips(prefilter, {"attributes": F.create_map(F.lit("path"), F.col("path"), F.lit("fs.symlink"), F.col("symlink"))}))
+    return df.select("path", "length", "content", "symlink")
+
+
+def text_fragments(spark: SparkSession, text: str | TextIO, attributes: dict[str, str] | None = None, size: int = CHUNK, ahead: int = LOOK_AHEAD) -> DataFrame:
+    """A text, or what a stream (standard input) still holds, as fragments with attributes."""
+    whole = (text if isinstance(text, str) else text.read()).encode("utf-8", "surrogatepass")
+    rows = [(f"text:{line + 1}", chunk.decode("utf-8", "replace"), line + 1, dict(attributes or {})) for line, chunk in chunks(whole, size, ahead)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def union(*sources: DataFrame) -> DataFrame:
+    """Fragments of several sources as one table; ids of the n-th source begin with n and a colon."""
+    own = [d.select(F.concat(F.lit(f"{i}:"), F.col("fragment_id").cast("string")).alias("fragment_id"), "raw", "start_line", "attributes") for i, d in enumerate(sources)]
+    return reduce(DataFrame.unionByName, own)
 
 
-def _unzst(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+def _unzst(data: BinaryIO):
+    return zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True)
 
 
-def _members(name: str, data: bytes) -> Iterator[tuple[str, bytes]] | None:
-    """The files of an archive or the content of a compressed stream; None for anything else."""
+def _members(name: str, data: bytes, limit: int = MAX_BYTES) -> Iterator[tuple[str, bytes]] | None:
+    """The files of an archive or the content of a compressed stream; None for anything else. No file is read beyond `limit`."""
     if zipfile.is_zipfile(io.BytesIO(data)):
         z = zipfile.ZipFile(io.BytesIO(data))
-        return ((f"{name}!{i.filename}", z.read(i)) for i in z.infolist() if not i.is_dir() and not i.flag_bits & 1)
-    for magic, opened in ((b"\x1f\x8b", gzip.decompress), (b"BZh", bz2.decompress), (b"\xfd7zXZ\x00", lzma.decompress), (b"\x28\xb5\x2f\xfd", _unzst)):
+        return ((f"{name}!{i.filename}", z.read(i)) for i in z.infolist() if not i.is_dir() and not i.flag_bits & 1 and i.file_size <= limit)
+    for magic, opened in ((b"\x1f\x8b", gzip.GzipFile), (b"BZh", bz2.BZ2File), (b"\xfd7zXZ\x00", lzma.LZMAFile), (b"\x28\xb5\x2f\xfd", _unzst)):
         if data.startswith(magic) and not (opened is _unzst and zstandard is None):
-            return iter([(name, opened(data))])
+            with opened(fileobj=io.BytesIO(data)) if opened is gzip.GzipFile else opened(io.BytesIO(data)) as f:
+                inner = f.read(limit + 1)
+            return iter([(name, inner)] if len(inner) <= limit else [])
     if data[257:262] == b"ustar":
         t = tarfile.open(fileobj=io.BytesIO(data))
-        return ((f"{name}!{i.name}", t.extractfile(i).read()) for i in t if i.isfile())
+        return ((f"{name}!{i.name}", t.extractfile(i).read()) for i in t if i.isfile() and i.size <= limit)
     return None
 
 
-def unpack(name: str, data: bytes, depth: int = ARCHIVE_DEPTH) -> Iterator[tuple[str, bytes]]:
+def unpack(name: str, data: bytes, depth: int = ARCHIVE_DEPTH, limit: int = MAX_BYTES) -> Iterator[tuple[str, bytes]]:
     """A file, or the files of an archive by names joined with !; single compressed streams are opened in place.
 
-    A broken archive gives the files before its first fault; encrypted files are left out.
+    A broken archive gives the files before its first fault; encrypted files, and files of over `limit` bytes, are left out.
     """
     if depth > 0:
         try:
-            inner = _members(name, data)
+            inner = _members(name, data, limit)
         except _BROKEN:
             return
         if inner is not None:
@@ -88,7 +135,7 @@ def unpack(name: str, data: bytes, depth: int = ARCHIVE_DEPTH) -> Iterator[tuple
                     return
                 except _BROKEN:
                     return
-                yield from unpack(below, content, depth - 1)
+                yield from unpack(below, content, depth - 1, limit)
     yield name, data
 
 
@@ -119,15 +166,17 @@ def file_fragments(files: DataFrame, archive_depth: int = ARCHIVE_DEPTH, size: i
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+            for path, content, link in zip(*(b.column(c).to_pylist() for c in ("path", "content", "symlink")), strict=True):
+                more = [("fs.symlink", link)] if link else []
                 for name, data in unpack(path, content or b"", archive_depth):
                     if not data or binary(data):
                         continue
                     for line, chunk in chunks(data, size, ahead):
-                        rows.append((f"{name}:{line + 1}", chunk.decode("utf-8", "replace"), line + 1, [("path", name)]))
+                        rows.append((f"{name}:{line + 1}", chunk.decode("utf-8", "replace"), line + 1, [("path", name), *more]))
             yield _rows(rows)
 
-    return files.select("path", "content").mapInArrow(go, SCHEMA)
+    link = F.col("symlink") if "symlink" in files.columns else F.lit("")
+    return files.select("path", "content", link.alias("symlink")).mapInArrow(go, SCHEMA)
 
 
 def archived(fragments: DataFrame) -> DataFrame:

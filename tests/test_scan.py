@@ -132,3 +132,62 @@ def test_sets_are_validated_each(spark):
     answer = lambda k: k.select("key", F.lit("valid").alias("result"), F.lit(None).cast("string").alias("reason"), F.create_map(F.lit("e"), F.lit("")).alias("metadata"))
     assert validate.validated_sets(f, None, answer, keep_empty=True).first().validation_meta == {"e": ""}
     assert validate.validated_sets(f.limit(0), None, answer).count() == 0
+
+
+def test_a_line_of_thousands_of_findings(spark):
+    """Composites and suppression on one long line: components are limited before the join, secrets compared once."""
+    c = rules.parse("[[rules]]\nid='p'\nregex='p(\\d+)'\n[[rules.required]]\nid='u'\nwithinLines=1\n[[rules]]\nid='u'\nregex='u(\\d+)'\nskipReport=true\n[[rules]]\nid='g'\nregex='[0-9]{3}'\nspecificity=0")
+    line = " ".join(f"p{i:05} u{i:05}" for i in range(5000))
+    found = compose.materialised(scan.findings(frags(spark, line), c))
+    assert found.count() > 15_000
+    pairs = compose.required_pairs(found, c)
+    assert pairs.count() == 5000 * compose.MAX_SETS
+    out = compose.composed(found, c).where("rule_id = 'p'")
+    assert out.count() == 5000 and out.agg(F.min(F.size("required_sets")), F.max(F.size("required_sets"))).first() == (100, 100)
+    assert compose.suppressed(found.where("rule_id <> 'u'")).where("rule_id = 'g'").count() == 0
+
+
+def test_components_by_columns_equal_all_pairs(spark):
+    c = rules.parse("[[rules]]\nid='p'\nregex='p'\n[[rules.required]]\nid='u'\nwithinLines=1\nwithinColumns=7\n[[rules]]\nid='u'\nregex='u'\nskipReport=true")
+    text = "p..u....p...........u.p\n.u..........p......u\n\n....u"
+    found = scan.findings(frags(spark, text), c)
+    at = {k: [(r.start_line, r.start_column) for r in found.where(f"rule_id = '{k}'").collect()] for k in "pu"}
+    want = sorted((x, y) for x in at["p"] for y in at["u"] if abs(x[0] - y[0]) <= 1 and abs(x[1] - y[1]) <= 7)
+    got = compose.required_pairs(found, c).select("start_line", "start_column", "component.start_line", "component.start_column").collect()
+    assert sorted(((a, b), (x, y)) for a, b, x, y in got) == want
+
+
+def test_filters_share_shapes_and_see_context(spark):
+    many = "\n".join(f"[[rules]]\nid='r{i}'\nregex='(k{i}x\\w+)'\nkeywords=['k{i}x']\nfilter='entropy(finding[\"secret\"]) <= {i / 10}'" for i in range(30))
+    config = rules.parse(many)
+    assert len(scan._shapes(list(config.rules.values()))[0]) == 1
+    got = {r.rule_id for r in scan.findings(frags(spark, " ".join(f"k{i}xabcdefgh" for i in range(30))), config).collect()}
+    assert got == {r for r in config.rules if int(r[1:]) / 10 < 3.2}
+    c = rules.parse("[[rules]]\nid='a'\nregex='key'\nfilter='finding[\"context\"] contains \"near\"'")
+    far = "\n" * 21
+    assert [r.fragment_id for r in scan.findings(frags(spark, f"near{far}key", f"near{far[1:]}key", "x" * 400 + "key" + "y" * 347 + "near", "x" * 400 + "key" + "y" * 346 + "near"), c).collect()] == [0, 2]
+    for bad in ('finding["secert"] == "x"', "finding.nothing == 1"):
+        try:
+            scan.findings(frags(spark, "x"), rules.parse(f"[[rules]]\nid='a'\nregex='x'\nfilter='''{bad}'''")).count()
+            raise AssertionError(bad)
+        except ValueError:
+            pass
+
+
+def test_box_contexts_clip_columns(spark):
+    c = rules.parse("[[rules]]\nid='a'\nregex='key'")
+    f = scan.findings(frags(spark, "0123456789\nab\n....key....\nlong line here"), c, context="2L,-2C,+3C")
+    assert f.first().match_context == "ab\n..key...\nng line "
+
+
+def test_fragments_take_one_path_and_null_attributes(spark):
+    d = spark.createDataFrame([(1, "x", {"path": "old", "a": "b"}), (2, None, None)], "i long, t string, m map<string,string>")
+    got = {r.fragment_id: (r.raw, r.attributes) for r in scan.fragments(d, "t", "i", F.lit("new"), attributes=F.col("m")).collect()}
+    assert got == {1: ("x", {"path": "new", "a": "b"}), 2: ("", {"path": "new"})}
+
+
+def test_rules_of_services_have_names_of_their_own():
+    from keyhound.plans import services
+
+    made = services.service_rules()
+    assert len({r.id for r in made}) == len(made) >= 412 and len(set(services.SERVICES)) == len(services.SERVICES)
