@@ -12,7 +12,7 @@ from keyhound.functions import text as T
 from keyhound.operators import compose, decode, report, scan, validate
 from keyhound.plans import configs, rules, services
 from keyhound.plans.lineage import materialised, shared_folder
-from keyhound.sources import files
+from keyhound.sources import exports, files
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -538,3 +538,19 @@ def filter_context(spark, sf_dir):
     source = 'let before = finding["fragment_raw"][finding["match_line_start_idx"]:finding["match_start_idx"]]; before contains "a" || finding["match_start_idx"] < 500 || !(finding["context"] contains finding["match"])'
     f = scan.findings(documents(spark, sf_dir), _config(_one("token", TOKEN, f"filter = '''{source}'''")))
     return f.select(F.col("fragment_id").alias("doc_id"), "match")
+
+
+@query("""WITH f AS (SELECT conv_id, max_by(text, turn) FILTER (turn = 0) AS title FROM conversations GROUP BY conv_id),
+t AS (SELECT conv_id, turn, coalesce(text, '') AS text, role FROM conversations)
+SELECT 'chats/issues/' || conv_id AS path, 'issue' AS resource, CAST(strlen(trim(coalesce(title, ''), chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))) AS BIGINT) AS n_bytes FROM f
+  WHERE trim(coalesce(title, ''), chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) <> ''
+UNION ALL SELECT 'chats/issues/' || conv_id, 'comment', CAST(strlen(trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))) AS BIGINT) FROM t
+  WHERE turn > 0 AND role <> 'system' AND trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) <> ''""")
+def thread_fragments(spark, sf_dir):
+    """Conversations as an export of issues: the first turn is the title, the others are comments."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    note = F.struct(F.col("turn").alias("id"), F.col("text"), F.lit(None).cast("timestamp").alias("created"), (F.col("role") == "system").alias("system"))
+    t = c.groupBy(F.col("conv_id").alias("number")).agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("title"), F.collect_list(F.when(F.col("turn") > 0, note)).alias("comments"))
+    t = t.select(F.lit("chats").alias("repo"), "number", "title", F.lit("").alias("body"), F.lit("").alias("url"), F.lit(None).cast("timestamp").alias("created"), "comments")
+    of = lambda a: F.element_at("attributes", a).alias(a)
+    return exports.threads(t).select(of("path"), of("resource"), F.octet_length("raw").cast("bigint").alias("n_bytes"))
