@@ -25,17 +25,70 @@ _TOKEN = re.compile(
     r"|(?P<name>[A-Za-z_]\w*)|(?P<op>\|\||&&|==|!=|<=|>=|\?\?|\?\.|\*\*|\.\.|[-+*/%<>!?:.,()\[\]{};=^])",
     re.S,
 )
-_BINARY = {"??": 1, "||": 2, "or": 2, "&&": 3, "and": 3, "==": 4, "!=": 4, "<": 4, "<=": 4, ">": 4, ">=": 4, "in": 4, "not": 4, "contains": 4, "startsWith": 4, "endsWith": 4, "matches": 4, "+": 5, "-": 5, "*": 6, "/": 6, "%": 6, "**": 7, "^": 7}
+_BINARY = {"??": 9, "||": 2, "or": 2, "&&": 3, "and": 3, "==": 4, "!=": 4, "<": 4, "<=": 4, ">": 4, ">=": 4, "in": 4, "not": 4, "contains": 4, "startsWith": 4, "endsWith": 4, "matches": 4, "+": 5, "-": 5, "*": 6, "/": 6, "%": 6, "**": 7, "^": 7}
 
 
-def cel_compat(source: str) -> str:
-    """Older spellings as current ones: raw strings, optional access, bindings."""
-    s = re.sub(r'r"""(.*?)"""', lambda m: "`" + m[1] + "`", source, flags=re.S)
-    s = re.sub(r"\br'([^']*)'|\br\"([^\"]*)\"", lambda m: "`" + (m[1] if m[1] is not None else m[2]) + "`", s)
-    s = re.sub(r"\.\?(\w+)", r"?.\1", s)
-    s = re.sub(r"\[\?", "[", s)
-    s = re.sub(r"\.orValue\(([^()]*)\)", r" ?? \1", s)
-    return re.sub(r"\bcel\.bind\(\s*(\w+)\s*,\s*((?:[^(),]|\([^()]*\))*),", r"(let \1 = \2;", s)
+_RAW = re.compile(r"r(\"\"\"(?P<a>.*?)\"\"\"|\"(?P<b>[^\"]*)\"|'(?P<c>[^']*)')", re.S)
+
+
+def _tokens(source: str) -> list[tuple[str, str]]:
+    """The tokens of an expression, white space and comments left out; raw strings become quoted ones."""
+    out, at = [], 0
+    while at < len(source):
+        raw = _RAW.match(source, at) if not at or not (source[at - 1].isalnum() or source[at - 1] == "_") else None
+        if raw:
+            text = next(x for x in (raw["a"], raw["b"], raw["c"]) if x is not None)
+            quoted = "`" + text + "`" if "`" not in text else '"' + text.replace("\\", "\\\\").replace('"', '\\"') + '"'
+            out.append(("str", quoted))
+            at = raw.end()
+            continue
+        m = _TOKEN.match(source, at)
+        if not m:
+            raise ExprError(f"unexpected {source[at]!r} at {at}")
+        if m.lastgroup:
+            out.append((m.lastgroup, m[0]))
+        at = m.end()
+    return out
+
+
+def _arguments(tokens: list, at: int) -> tuple[list[list], int]:
+    """The arguments of a call whose opening bracket is at `at`, and the place after its closing one."""
+    found, depth, at = [[]], 1, at + 1
+    while at < len(tokens):
+        text = tokens[at][1] if tokens[at][0] == "op" else ""
+        depth += (text in ("(", "[", "{")) - (text in (")", "]", "}"))
+        if not depth:
+            return found, at + 1
+        if text == "," and depth == 1:
+            found.append([])
+        else:
+            found[-1].append(tokens[at])
+        at += 1
+    raise ExprError("a bracket isn't closed")
+
+
+def current(tokens: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Older spellings as current ones: optional access and bindings. Strings stay as they are."""
+    out, at = [], 0
+    while at < len(tokens):
+        here = [t for _, t in tokens[at : at + 4]]
+        plain = tokens[at][0] != "str"
+        if plain and here[:2] == [".", "?"]:
+            out.append(("op", "?."))
+            at += 2
+        elif plain and here[:2] == ["[", "?"]:
+            out.append(("op", "["))
+            at += 2
+        elif plain and here == ["cel", ".", "bind", "("]:
+            given, at = _arguments(tokens, at + 3)
+            if len(given) != 3:
+                raise ExprError("bind takes a name, a value and an expression")
+            name, value, body = given
+            out += [("op", "("), ("name", "let"), *name, ("op", "="), *current(value), ("op", ";"), *current(body), ("op", ")")]
+        else:
+            out.append(tokens[at])
+            at += 1
+    return out
 
 
 def _unquote(s: str) -> str:
@@ -47,16 +100,7 @@ def _unquote(s: str) -> str:
 
 class _Parser:
     def __init__(self, source: str, scope: dict[str, Any]):
-        self.tokens, self.scope, self.i = [], dict(scope), 0
-        at = 0
-        while at < len(source):
-            m = _TOKEN.match(source, at)
-            if not m:
-                raise ExprError(f"unexpected {source[at]!r} at {at}")
-            if m.lastgroup:
-                self.tokens.append((m.lastgroup, m[0]))
-            at = m.end()
-        self.tokens.append(("end", ""))
+        self.tokens, self.scope, self.i = [*current(_tokens(source)), ("end", "")], dict(scope), 0
 
     def peek(self, *texts: str) -> bool:
         return self.tokens[self.i][0] in ("op", "name") and self.tokens[self.i][1] in texts
@@ -292,6 +336,7 @@ def _call(name: str, a: list, scope: dict) -> Any:
         "filter.containsAny": lambda s, v: _any(T.contains_any, s, v),
         "filter.findMatch": lambda s, p: T.find_match(_col(s), _known(p)),
         "filter.entropy": lambda s: T.byte_entropy(_col(s)),
+        "orValue": lambda v, d: F.coalesce(_col(v), _col(d)),
         "get": lambda m, k, d: F.coalesce(_col(_index(m, k)), _col(d)),
         "getPath": _path,
         "len": lambda s: F.octet_length(_col(s)),
@@ -339,26 +384,20 @@ def _call(name: str, a: list, scope: dict) -> Any:
 
 def lifted(source: str) -> tuple[str, list[float]]:
     """An expression with the numbers that something is compared with replaced by names __n0, __n1, ..., and the numbers."""
-    out, numbers, at, compared = [], [], 0, False
-    source = cel_compat(source)
-    while at < len(source):
-        m = _TOKEN.match(source, at)
-        if not m:
-            raise ExprError(f"unexpected {source[at]!r} at {at}")
-        if m.lastgroup == "num" and compared:
+    out, numbers, compared = [], [], False
+    for kind, text in current(_tokens(source)):
+        if kind == "num" and compared:
             out.append(f"__n{len(numbers)}")
-            numbers.append(float(m[0]))
+            numbers.append(float(text))
         else:
-            out.append(m[0])
-        if m.lastgroup:
-            compared = m[0] in ("<", "<=", ">", ">=")
-        at = m.end()
-    return "".join(out), numbers
+            out.append(text)
+        compared = kind == "op" and text in ("<", "<=", ">", ">=")
+    return " ".join(out), numbers
 
 
 def compile_expr(source: str, scope: dict[str, Any]) -> Column:
     """A column of the expression's value; scope: what its names stand for."""
-    return _col(_Parser(cel_compat(source), scope).parse())
+    return _col(_Parser(source, scope).parse())
 
 
 def skips(source: str, scope: dict[str, Any]) -> Column:
