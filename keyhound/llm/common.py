@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +66,30 @@ def loaded(shards: list) -> Iterator:
         yield s.value
         if len(shards) > 1:
             s.__dict__.pop("_value", None)
+
+
+#: What this worker keeps between tasks: one operator's state, by its key.
+_kept: dict = {}
+
+
+def kept(key: tuple, make):
+    """The state of this key, made where the worker doesn't have it; what any other operator kept goes first."""
+    if key not in _kept:
+        vacated()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def vacated() -> None:
+    """Frees what other operators' tasks left in this worker; an operator that keeps nothing begins its tasks with it."""
+    if _kept:
+        _kept.clear()
+        released()
+
+
+def released() -> None:
+    """Hands freed memory back to the system, for which the allocators otherwise keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)

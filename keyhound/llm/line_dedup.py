@@ -36,14 +36,6 @@ def key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(_BLANKS)))
 
 
-def fresh(name: str, df: DataFrame) -> str:
-    """A column name that df doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def lost(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """For each text that loses lines, their places: doc_id, own (a hash of the text), gone (sorted, from 0); docs: doc_id, text, own."""
     numbered = F.transform(lines(F.col("text")), lambda x, i: F.struct(i.alias("at"), x.alias("line")))

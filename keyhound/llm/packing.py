@@ -131,13 +131,13 @@ def encoded(docs: DataFrame, path: str, length: int, end_id: int) -> DataFrame:
     """docs (doc_id, text) as _CODED: full sequences and remainders."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with encoding(path) as encoder:
-            for part in (x for b in batches for x in slices(b)):
-                ids, bounds = encoder.encode(part.column("text"))
-                rows = []
-                for k, doc_id in enumerate(part.column("doc_id").to_pylist()):
-                    rows += cut_ids(doc_id, np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id)), length)
-                yield _batch(rows, _CODED)
+        encoder = encoding(path)
+        for part in (x for b in batches for x in slices(b)):
+            ids, bounds = encoder.encode(part.column("text"))
+            rows = []
+            for k, doc_id in enumerate(part.column("doc_id").to_pylist()):
+                rows += cut_ids(doc_id, np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id)), length)
+            yield _batch(rows, _CODED)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(go, _CODED)
 

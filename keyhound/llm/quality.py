@@ -33,10 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table
-from .line_dedup import fresh
+from .common import picked, released, table, vacated
 from .simhash import mix
-from .tokens import released
 
 MAX_ROWS, MAX_BYTES = 4000, 32 << 10
 MAX_WORDS, MIN_TEXTS, SHAPE = 30_000, 3, 12
@@ -220,8 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     one = own.groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").cast("int").alias("y"), F.max("quality").cast("int").alias("z")).where("y = z")
     # The labels of the smallest hashes are few enough to broadcast; twice as many as rows, as some have no text to train on.
     ids = one.orderBy(F.xxhash64("label_id"), "label_id").limit(2 * max_rows)
-    text = F.col("text").cast("string")
-    found = docs.select("doc_id", text.alias("text")).where(F.octet_length(text) <= MAX_BYTES)
+    found = picked(docs, doc_id="bigint", text="string").where(F.octet_length("text") <= MAX_BYTES)
     found = found.join(F.broadcast(ids.drop("z")), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y")
     rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(max_rows).collect()
     y = np.array([r.y for r in rows], dtype=np.float64)
@@ -236,35 +233,33 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     return Model(vectors, network, float(y.mean()))
 
 
-def _with(docs: DataFrame, name: str) -> StructType:
-    return StructType([*docs.schema.fields, StructField(name, DoubleType())])
-
-
-def scored(docs: DataFrame, model: Model, keep_from: float | None = None) -> DataFrame:
-    """docs' rows with a column `score`, or docs' rows of a score of keep_from at least, as they are."""
+def scored(docs: DataFrame, model: Model, keep_from: float | None = None, name: str = "score") -> DataFrame:
+    """docs' rows with a further column of scores, or docs' rows of a score of keep_from at least, as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    name = fresh("score", docs)
+    at = docs.columns.index("text")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
+        vacated()
         model = shared.value
         try:
             for b in batches:
-                at = b.schema.names.index("text")
                 found = model.score(pc.cast(b.column(at), pa.string()).to_pylist())
                 if keep_from is not None:
                     yield b.filter(pa.array(found >= keep_from))
                 else:
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, name])
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, "score"])
         finally:
             if model.vectors is not None:
                 model.vectors.cache.clear()
                 model.vectors.kinds.clear()
             released()
 
-    schema = docs.schema if keep_from is not None else _with(docs, name)
-    return docs.mapInArrow(go, schema)
+    if keep_from is not None:
+        return plain.mapInArrow(go, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(go, StructType([*plain.schema.fields, StructField("score", DoubleType())])).toDF(*docs.columns, name)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -273,6 +268,6 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = picked(table(spark, sf_dir, "documents"), doc_id="bigint", text="string")
     found = scored(docs, train(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

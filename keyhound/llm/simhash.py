@@ -36,7 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, picked as picked_, table, utf8
+from .common import cut, table, utf8, vacated
+from .common import picked as picked_
 from .components import components
 
 SEED = 42
@@ -93,6 +94,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: int = 1) -> Dat
     """doc_id and f0, f1, ... (signed 64-bit) for each row of docs."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacated()
         for b in batches:
             found = np.array([fingerprint(t, shingle, words) for t in utf8(b.column("text"))], dtype=np.uint64).reshape(-1, words).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(found[:, i]) for i in range(words))], ["doc_id", *(f"f{i}" for i in range(words))])
@@ -283,6 +285,7 @@ def sketches(docs: DataFrame, shingle: int, words: int, sets: bool = False) -> D
     kept = [c for c in docs.columns if c != "text"]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacated()
         for part in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             found = [_grams(t, shingle) for t in utf8(part.column("text"))]
             with np.errstate(over="ignore"):

@@ -63,19 +63,19 @@ def segments(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_I
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, segment, before, open_docs, open_ids, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
-        with encoding(path) as encoder:
-            for piece in (x for b in batches for x in slices(b)):
-                ids, bounds = encoder.encode(piece.column("text"))
-                for k, doc_id in enumerate(piece.column("doc_id").to_pylist()):
-                    own = np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id))
-                    if open_docs and size + len(own) > segment_ids:
-                        yield _segment(part, segment, before, open_docs, open_ids)
-                        segment, before, open_docs, open_ids, size = segment + 1, before + size, [], [], 0
-                    open_docs.append(doc_id)
-                    open_ids.append(own)
-                    size += len(own)
-            if open_docs:
-                yield _segment(part, segment, before, open_docs, open_ids)
+        encoder = encoding(path)
+        for piece in (x for b in batches for x in slices(b)):
+            ids, bounds = encoder.encode(piece.column("text"))
+            for k, doc_id in enumerate(piece.column("doc_id").to_pylist()):
+                own = np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id))
+                if open_docs and size + len(own) > segment_ids:
+                    yield _segment(part, segment, before, open_docs, open_ids)
+                    segment, before, open_docs, open_ids, size = segment + 1, before + size, [], [], 0
+                open_docs.append(doc_id)
+                open_ids.append(own)
+                size += len(own)
+        if open_docs:
+            yield _segment(part, segment, before, open_docs, open_ids)
 
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,17 +1,14 @@
 """Token ids by the tokenizers library, with a bounded memory of pieces already encoded.
 
-An encoder belongs to the task that makes it: `encoding` gives one and frees all that it holds when the task's
-iterator ends, so a reused worker keeps nothing of it.
+A worker keeps one encoder, of bounded bytes, for the tasks of one operator after another (see `common.kept`): the first
+task of any other operator frees it, so what operators keep never adds up in a worker.
 """
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import os
 import re
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -19,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from .common import kept
+
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of pieces that an encoder keeps; where they are full it begins anew, which changes speed only.
 MAX_BYTES = 96 << 20
@@ -199,23 +198,9 @@ class Encoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
-@contextmanager
-def encoding(path: str, max_bytes: int = MAX_BYTES) -> Iterator[Encoder]:
-    """An encoder for the rows of one task; what it took goes back to the system at the end, also where the task fails."""
-    own = Encoder(path, max_bytes)
-    try:
-        yield own
-    finally:
-        own.__dict__.clear()
-        released()
-
-
-def released() -> None:
-    """Hands freed memory back to the system, for which the allocators otherwise keep it."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-        libc.malloc_trim(0)
+def encoding(path: str, max_bytes: int = MAX_BYTES) -> Encoder:
+    """This worker's encoder."""
+    return kept(("encoder", path, max_bytes), lambda: Encoder(path, max_bytes))
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -44,7 +44,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, vacated
+from .common import picked as picked_
 from .url_filter import split_url
 
 #: Bytes of all wrappers that may be broadcast.
@@ -573,6 +574,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     schema = "host string, wrapper string, salt int"
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacated()
         found: dict[str, Item] = {}
         salt = TaskContext.get().partitionId() % 64
         for b in batches:
@@ -608,13 +610,14 @@ class _Hosts(dict):
 
 def extract(pages: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """page_id, url, text for each row of pages (page_id, url, html)."""
-    picked = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    picked = picked_(pages, page_id="bigint", url="string", html="string")
     found = cut(wrappers(picked))
     size = found.agg(F.sum(F.octet_length("host") + F.octet_length("wrapper"))).first()[0] or 0
     host = F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1)
     lower = F.translate(F.coalesce(host, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacated()
         known = _Hosts()
         for b in batches:
             texts = [main_text(p, known[w]) for p, w in zip(b.column("html").to_pylist(), b.column("wrapper").to_pylist(), strict=True)]

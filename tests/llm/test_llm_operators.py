@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from keyhound.llm import chat, components, decontaminate, imatch, line_dedup, packing, quality, simhash, simple8b, token_files, tokens, url_filter, wrappers
+from keyhound.llm import chat, common, components, decontaminate, imatch, line_dedup, packing, quality, simhash, simple8b, token_files, tokens, url_filter, wrappers
 
 DOCS = "doc_id bigint, text string"
 
@@ -63,10 +63,10 @@ def test_decontamination_equals_brute_force(spark, max_windows):
     assert decontaminate.decontaminate(d, bench.limit(0)).count() == 2 * len(texts)
 
 
-def test_words_of_two_symbols(monkeypatch):
-    monkeypatch.setattr(decontaminate.Automaton, "ONE", 3)
+def test_words_of_several_places(monkeypatch):
+    monkeypatch.setattr(decontaminate.Automaton, "BASE", 2)
     a = decontaminate.Automaton([(b"a b c", "1"), (b"b d", "2"), (b"e", "3")])
-    assert a.width == 2 and a.scan(b"x a b c b d y e".split()) == ([(1, 4), (4, 6), (7, 8)], {"1", "2", "3"})
+    assert a.width == 3 and a.scan(b"x a b c b d y e".split()) == ([(1, 4), (4, 6), (7, 8)], {"1", "2", "3"})
 
 
 def test_spans_are_code_points_of_the_original():
@@ -93,12 +93,14 @@ def test_encoder_equals_the_library():
     import pyarrow as pa
 
     for limit in (tokens.MAX_BYTES, 1):
-        with tokens.encoding(tokens.vocabulary_path(), limit) as e:
-            for _ in range(2):
-                ids, at = e.encode(pa.array(ODD))
-                want = e.library([t or "" for t in ODD])
-                assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [w.tolist() for w in want]
-        assert not vars(e)  # nothing outlives the task
+        e = tokens.encoding(tokens.vocabulary_path(), limit)
+        for _ in range(2):
+            ids, at = e.encode(pa.array(ODD))
+            want = e.library([t or "" for t in ODD])
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [w.tolist() for w in want]
+        assert tokens.encoding(tokens.vocabulary_path(), limit) is e and len(common._kept) == 1
+    common.vacated()  # as another operator's task begins
+    assert not common._kept and e.pieces.nbytes < 2 * tokens.MAX_BYTES
 
 
 def test_encoder_keeps_many_pieces_and_any_length():
@@ -106,10 +108,10 @@ def test_encoder_keeps_many_pieces_and_any_length():
 
     rng = np.random.default_rng(14)
     texts = [" ".join(f"x{i:b}" for i in rng.integers(0, 10**6, 3000)) for _ in range(5)] + ["ab" * 600_000, "é " * 400_000, "a\n" * 300_000]
-    with tokens.encoding(tokens.vocabulary_path()) as e:
-        ids, at = e.encode(pa.array(texts))
-        want = e.library(texts)
-        assert e.pieces.count > 10_000 and all((ids[a:b] == w).all() for a, b, w in zip(at, at[1:], want))
+    e = tokens.Encoder(tokens.vocabulary_path())
+    ids, at = e.encode(pa.array(texts))
+    want = e.library(texts)
+    assert e.pieces.count > 10_000 and all((ids[a:b] == w).all() for a, b, w in zip(at, at[1:], want))
 
 
 def test_token_files_hold_all_documents_in_order(spark, tmp_path):
@@ -249,8 +251,8 @@ def test_quality_learns_and_stays_calibrated(spark):
     d = spark.createDataFrame([(*r, 1.5) for r in rows], DOCS + ", score double")
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(400)] + [(401, None)], "doc_id long, quality int")
     model = quality.train(d, labels)
-    out = quality.scored(d, model)
-    assert out.columns == ["doc_id", "text", "score", "score_"]
+    out = quality.scored(d, model, name="Score")
+    assert out.columns == ["doc_id", "text", "score", "Score"]
     s = {r[0]: r[3] for r in out.collect()}
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([(s[i] >= 0.3) == (i % 3 > 0) for i in held]) > 0.97
