@@ -23,6 +23,7 @@ own next one; other columns are ignored; an empty table gives no rows; texts may
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
 from collections.abc import Iterator
@@ -33,10 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import picked, released, table, vacated
 from .decontaminate import words
 from .simhash import mix
-from .tokens import released
 
 MIN_SHARE, MAX_SHARE = 1e-4, 0.05
 SUBSETS, LEVELS = 16, 7
@@ -63,23 +63,23 @@ class Terms(dict):
 
 
 def frequencies(docs: DataFrame) -> DataFrame:
-    """term, n: the number of documents of each term; term null: of all documents."""
+    """term, n: the number of documents of each term."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def merged() -> tuple[np.ndarray, np.ndarray]:
             terms, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return terms, np.bincount(at, np.concatenate([c for _, c in held]), len(terms)).astype(np.int64)
+            return terms, np.bincount(at, np.concatenate([c for _, c in held]), len(terms)).astype(np.int32)
 
         def packed(terms, counts) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts, pa.int64())], ["term", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts, pa.int32())], ["term", "n"])
 
-        known, held, size, n = Terms(), [], 0, 0
+        vacated()
+        known, held, size = Terms(), [], 0
         for b in batches:
-            n += b.num_rows
             for text in b.column("text").to_pylist():
                 own = known.of(text.encode("utf-8", "surrogatepass")) if text else ()
                 if len(own):
-                    held.append((own, np.ones(len(own), np.int64)))
+                    held.append((own, np.ones(len(own), np.int32)))
                     size += len(own)
                 if size > _HELD:
                     held = [merged()]
@@ -89,27 +89,30 @@ def frequencies(docs: DataFrame) -> DataFrame:
                         held, size = [], 0
         if held:
             yield packed(*merged())
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64())], ["term", "n"])
         known.clear()
         released()
 
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "term bigint, n bigint")
+    counted = picked(docs, text="string").mapInArrow(count, "term bigint, n int")
     return counted.groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> np.ndarray:
     """The terms within the band, sorted."""
-    counts = cut(frequencies(docs).where("term is null or n > 1"))
-    n = counts.where("term is null").agg(F.sum("n")).first()[0] or 0
+    n = docs.count()
     low, high = max(2, math.ceil(min_share * n)), max(2, math.floor(max_share * n))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [b.column("term").to_numpy().tobytes() for b in batches]
         yield pa.RecordBatch.from_arrays([pa.array([b"".join(own)], pa.binary())], ["terms"])
 
-    chosen = counts.where(F.col("term").isNotNull() & F.col("n").between(low, high)).select("term")
+    chosen = frequencies(docs).where(F.col("n").between(low, high)).select("term")
     rows = chosen.mapInArrow(pack, "terms binary").collect()  # bounded: see the module
-    return np.sort(np.frombuffer(b"".join(r.terms for r in rows), np.uint64))
+    out = np.sort(np.frombuffer(b"".join(r.terms for r in rows), np.uint64))
+    # The counts aren't needed any more: the driver's cleaner removes their shuffle files once their plan is collected.
+    del chosen, rows
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def fingerprint(terms: np.ndarray, lexicon: np.ndarray) -> bytes:
@@ -186,11 +189,12 @@ def fingerprints(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(lexicon(docs, min_share, max_share))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ranged = _ranged(picked.withColumn("h", F.xxhash64("text")), n)
+    rows_ = picked(docs, doc_id="bigint", text="string").withColumn("text", F.coalesce("text", F.lit("")))
+    ranged = _ranged(rows_.withColumn("h", F.xxhash64("text")), n)
 
     def rows(triples: Iterator[tuple[int | None, str, int]]) -> Iterator[tuple]:
         """Documents in order, each range followed by the document after it, of which only the text is used (tail 1)."""
+        vacated()
         known, before = Terms(), None
         for doc_id, text, tail in triples:
             own = fingerprint(known.of(text.encode("utf-8", "surrogatepass")), shared.value)
