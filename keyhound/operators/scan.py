@@ -2,9 +2,9 @@
 
 Fragments are rows (fragment_id, raw, start_line, attributes). One pass over a text's Arrow batch looks up the keywords
 of all rules in one automaton and gives the rules that the fragment is a candidate of; only their patterns are matched,
-with Spark's own functions, and only matches leave the text. What is known of a rule (pattern, groups, tags) stands in
-one array, where a match finds it by the rule's number, so the plan has one scan of the source and the same size for any
-number of rules. Rules whose filters differ in numbers only share one compiled filter. Nothing is shuffled before
+with Spark's own functions, and only matches leave the text. Patterns stand in one constant array, and what else is known
+of a rule in a small table that matches are joined to by the rule's number, so the plan has one scan of the source and
+the same size for any number of rules. Rules whose filters differ in numbers only share one compiled filter. Nothing is shuffled before
 composite rules.
 """
 
@@ -27,7 +27,7 @@ SPREAD = 64
 ALLOW = ("keyhound:allow",)
 #: The context that filters see: so many lines and bytes around a match. Fixed values.
 FILTER_CONTEXT = ("box", 350, 350, 20, 20)
-_RULE = "struct<id:string,description:string,java:string,path:string,secret_group:int,groups:int,names:array<string>,places:array<int>,tags:array<string>,specificity:int,skip_report:boolean,shape:int,numbers:array<double>>"
+_RULE = "number int, id string, description string, java string, secret_group int, groups int, names array<string>, places array<int>, tags array<string>, specificity int, skip_report boolean, shape int, numbers array<double>"
 
 
 def fragments(df: DataFrame, raw: str, fragment_id: str, path: Column | None = None, start_line: int = 1, attributes: Column | None = None) -> DataFrame:
@@ -76,18 +76,14 @@ def _shapes(rules: list[Rule]) -> tuple[list[str], list[tuple[int | None, list[f
     return list(shapes), own
 
 
-def described(rules: list[Rule]) -> Column:
-    """What is known of the rules, as one constant array in their order."""
+def described(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """What is known of the rules: number, and r, a struct of it all."""
     rows = []
-    for r, (shape, numbers) in zip(rules, _shapes(rules)[1], strict=True):
+    for i, (r, (shape, numbers)) in enumerate(zip(rules, _shapes(rules)[1], strict=True)):
         t = dialect.translate(r.regex) if r.regex else None
-        rows.append(
-            {
-                "id": r.id, "description": r.description, "java": t and t.java, "path": dialect.translate(r.path).java if r.path else None, "secret_group": r.secret_group, "groups": t.groups if t else 0,
-                "names": list(t.names) if t else [], "places": list(t.names.values()) if t else [], "tags": list(r.tags), "specificity": r.specificity, "skip_report": r.skip_report, "shape": shape, "numbers": numbers,
-            }
-        )
-    return F.from_json(F.lit(json.dumps(rows)), f"array<{_RULE}>")
+        names, places = ([*t.names], [*t.names.values()]) if t else ([], [])
+        rows.append((i, r.id, r.description, t and t.java, r.secret_group, t.groups if t else 0, names, places, [*r.tags], r.specificity, r.skip_report, shape, numbers))
+    return df.sparkSession.createDataFrame(rows, _RULE).select("number", F.struct("*").alias("r"))
 
 
 def keyword_candidates(df: DataFrame, config: Config) -> DataFrame:
@@ -116,7 +112,8 @@ def raw_matches(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """df's rows by their matches: rule (its number), rule_id, match, cstart, bstart."""
     names = df.columns
     path = F.coalesce(F.try_element_at("attributes", F.lit("path")), F.lit(""))
-    known = described(rules)
+    patterns = [{"id": r.id, "java": dialect.translate(r.regex).java if r.regex else None, "path": dialect.translate(r.path).java if r.path else None} for r in rules]
+    known = F.from_json(F.lit(json.dumps(patterns)), "array<struct<id:string,java:string,path:string>>")  # a constant of the plan
     of = lambda n: F.element_at(known, n + 1)
     # Rules are tested on the fragment before it is repeated for any of them.
     held = lambda n: (of(n)["java"].isNull() | F.rlike("raw", F.coalesce(of(n)["java"], F.lit("")))) & (of(n)["path"].isNull() | (path != "") & F.rlike(path, F.coalesce(of(n)["path"], F.lit(""))))
@@ -200,7 +197,7 @@ def finish(m: DataFrame, config: Config, functions: dict | None = None, ignore_a
     if not ignore_allow and allow:
         allowed = reduce(lambda a, b: a | b, [F.contains("line", F.lit(x)) for x in allow])
         m = m.where(only_path | ~F.coalesce(allowed, F.lit(False)))
-    m = m.withColumn("r", F.element_at(described(rules), F.col("rule") + 1))
+    m = m.join(F.broadcast(described(m, rules)), F.col("rule") == F.col("number")).drop("number")  # a row for each rule
     r = F.col("r")
     m = m.withColumn("secret", _secret(F.col("match"), r)).withColumn("capture_groups", _captures(F.col("match"), r))
     m = m.withColumn("entropy", T.report_entropy(F.col("secret")).cast("float"))
