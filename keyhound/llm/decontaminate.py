@@ -2,7 +2,7 @@
 
 A text's words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased. The automaton holds every
 window of `window` consecutive words of an item (an item of fewer, but not none, is one window) as a string of one
-symbol for each word, so a window of ten words is ten nodes at most. A document's words become symbols too (words of no
+symbol for each word, so a window of ten words is some twenty nodes at most. A document's words become symbols too (words of no
 item a symbol of no window), its string is scanned once, and matches are ranges of its words at once; `marked` gives
 them as ranges of words and of the original text's code points.
 
@@ -18,6 +18,7 @@ contaminates nothing; texts may be of any length; other columns are kept whateve
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, cut, loaded, picked, table, utf8
+from .common import WORD_BYTES, cut, loaded, picked, table, utf8, vacated
 
 WINDOW = 10
 #: Windows in one automaton.
@@ -60,8 +61,9 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 class Automaton:
     """Windows of words, and the items that each belongs to."""
 
-    #: Words beyond this many have two symbols each, the first from the lower half of the code points.
-    ONE = 1_000_000
+    #: A word's symbol is a number to this base, each of its places with characters of its own, so that no match begins
+    #: within a symbol and no state has more than BASE ways on.
+    BASE = 64
 
     def __init__(self, pairs: list[tuple[bytes, str]]):
         import ahocorasick
@@ -70,7 +72,7 @@ class Automaton:
         for key, item in pairs:
             items.setdefault(key, []).append(item)
         distinct = sorted({w for key in items for w in key.split(b" ")})
-        self.width = 1 if len(distinct) <= self.ONE else 2
+        self.width = next(k for k in itertools.count(1) if self.BASE**k >= len(distinct))
         self.none = "\0" * self.width
         self.symbols = {w: self._symbol(i) for i, w in enumerate(distinct)}
         self.search = ahocorasick.Automaton()
@@ -82,14 +84,13 @@ class Automaton:
             self.search.make_automaton()
 
     def _symbol(self, i: int) -> str:
-        place = lambda k: chr(k + 1 if k < 0xD7FF else k + 0x801)  # noqa: E731  (not the surrogates)
-        return place(i) if self.width == 1 else place(i // 500_000) + place(550_000 + i % 500_000)
+        return "".join(chr(1 + self.BASE * k + i // self.BASE**k % self.BASE) for k in range(self.width))
 
     def scan(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """The ranges of words hit (end excluded), and the items that occur."""
         if self.empty or not w:
             return [], set()
-        text = "".join([self.symbols.get(x, self.none) for x in w])
+        text = "".join(map(self.symbols.get, w, itertools.repeat(self.none)))
         hits, items = [], set()
         for end, (n, own) in self.search.iter(text):
             last = end // self.width + 1
@@ -136,6 +137,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_window
     names, kinds = [*(x.split()[0] for x in _MARK.split(", "))], plain.dtypes
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacated()
         for b in batches:
             texts = utf8(b.column(text))
             split = [words(t) for t in texts]
