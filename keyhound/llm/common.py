@@ -36,9 +36,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, which survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df with its lineage cut by a reliable checkpoint, which survives lost executors.
+
+    What came before is then out of use: the driver collects its plans, so that Spark's cleaner removes their shuffle
+    files and older checkpoints now and not when the driver's memory happens to run low.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def ascii_lower(c: Column) -> Column:
