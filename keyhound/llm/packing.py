@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, vacated
 from .tokens import encoding, slices, vocabulary_path
 
 LENGTH = 2048
@@ -146,6 +146,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, e
     """One row for each piece: see SCHEMA. Sequences are padded by whoever writes them out."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacated()  # encoding is over
         packer = Packer(length, TaskContext.get().partitionId() * STRIDE)
         for b in batches:
             for piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
