@@ -217,7 +217,7 @@ def fingerprints(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float
         if held:
             yield _result(held)
 
-    # The first document of each range: its key first, without texts, then its text.
+    # Ranges are dealt by their number itself: by its hash some tasks would get several. The first document of each: its key first, without texts, then its text.
     order = F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id", "h")
     firsts = ranged.select("part", order.alias("k")).groupBy("part").agg(F.min("k").alias("k"))
     keys = sorted((r.part, r.k.doc_id, r.k.h) for r in firsts.collect())  # a row for each range
@@ -229,7 +229,7 @@ def fingerprints(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float
     found = ranged.join(F.broadcast(after.select(F.col("part").alias("k_part"), "to", "k_id", "k_h")), (F.col("part") == F.col("k_part")) & F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h")))
     tails = found.groupBy("to").agg(F.min_by(F.struct("doc_id", "text"), "text").alias("d")).select(F.col("d.doc_id").alias("doc_id"), F.col("d.text").alias("text"), F.col("to").alias("part"), F.lit(1).alias("tail"))
     all_ = ranged.select("doc_id", "text", "part", F.lit(0).alias("tail")).unionByName(tails)
-    dealt = all_.repartition(n, "part").sortWithinPartitions("part", "tail", "doc_id", F.xxhash64("text"), "text")
+    dealt = all_.repartitionById(n, "part").sortWithinPartitions("part", "tail", "doc_id", F.xxhash64("text"), "text")
     return dealt.select("doc_id", "text", "tail").mapInArrow(go, schema)
 
 
