@@ -30,3 +30,23 @@ def test_rows_equal_sql(spark, tables, name):
 
 def test_the_flagship_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_a_stream_reads_one_file_and_folders_of_files(spark, tmp_path):
+    larger = DATA.replace("sf0.001", "sf0.01")  # with tokens in it
+    d = spark.read.parquet(f"{larger}/documents.parquet")
+    d.coalesce(1).write.parquet(f"{tmp_path}/one")
+    (part,) = (tmp_path / "one").glob("part-*")
+    for name in ("file", "parts", "dealt"):
+        (tmp_path / name / "other.parquet").mkdir(parents=True)
+        (tmp_path / name / "other.parquet" / "documents.parquet").write_bytes(part.read_bytes())
+    (tmp_path / "file" / "documents.parquet").write_bytes(part.read_bytes())
+    d.repartition(3).write.parquet(f"{tmp_path}/parts/documents.parquet")
+    d.write.partitionBy("lang").parquet(f"{tmp_path}/dealt/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{larger}/documents.parquet'")
+    want = sorted(c.execute(entry.oracle_sql()["stream_scan"]).fetchall())
+    assert want
+    for name in ("file", "parts", "dealt"):
+        got = entry.queries()["stream_scan"](spark, f"{tmp_path}/{name}").collect()
+        assert sorted(map(tuple, got)) == want, name
