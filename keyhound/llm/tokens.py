@@ -19,8 +19,10 @@ import xxhash
 from .common import kept
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-#: Bytes of pieces that an encoder keeps; where they are full it begins anew, which changes speed only.
+#: Bytes of pieces that an encoder keeps; where they are full it goes on with those it has met again, which changes speed only.
 MAX_BYTES = 96 << 20
+#: Pieces that go through the library as one text.
+LINES = 32
 #: Bytes of text encoded at once.
 SLICE_BYTES = 3 << 20
 #: Texts in which a blank meets other white space or an end, with long runs of newlines or two at the end, or that
@@ -58,10 +60,21 @@ class Pieces:
     def _room(self, slots: int) -> None:
         self.keys, self.checks = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
         self.starts, self.sizes, self.count = np.zeros(slots, np.uint32), np.zeros(slots, np.uint32), 0
+        self.again = np.zeros(slots, bool)
 
     @property
     def nbytes(self) -> int:
-        return 24 * len(self.keys) + self.store.nbytes
+        return 25 * len(self.keys) + self.store.nbytes
+
+    def renew(self) -> None:
+        """Keeps the pieces that were met again since the last time; none where that frees less than half."""
+        at = np.flatnonzero(self.again)
+        if 2 * len(at) > self.count:
+            return self.clear()
+        h, sizes = np.stack([self.keys[at], self.checks[at]], axis=1), self.sizes[at]
+        flat = self.store[_spread(self.starts[at].astype(np.int64), sizes.astype(np.int64))]
+        self.clear()
+        self.add(h, flat, sizes)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The slot of each hash (a row of two words), -1 where it isn't known."""
@@ -92,9 +105,10 @@ class Pieces:
         """New pieces, each hash once, with their ids end to end."""
         if 3 * (self.count + len(h)) > 2 * len(self.keys):
             kept = np.flatnonzero(self.keys)
-            old = np.stack([self.keys[kept], self.checks[kept]], axis=1), self.starts[kept], self.sizes[kept]
+            old, again = (np.stack([self.keys[kept], self.checks[kept]], axis=1), self.starts[kept], self.sizes[kept]), self.again[kept]
             self._room(1 << (3 * (self.count + len(h)) // 2).bit_length())
             self._put(*old)
+            self.again[self.find(old[0][again])] = True
         if self.used + len(flat) > len(self.store):
             self.store = np.concatenate([self.store[: self.used], np.zeros(self.used // 2 + 2 * len(flat), np.uint32)])
         self.store[self.used : self.used + len(flat)] = flat
@@ -102,6 +116,12 @@ class Pieces:
         self.used += len(flat)
 
 
+def _listed(pieces: pa.Array) -> list[str]:
+    """Pieces, which hold no blank, as Python's strings: one split of them all, in place of an object of Arrow's for each."""
+    one = pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces)
+    return pc.binary_join(one, pa.scalar(" ", pieces.type))[0].as_py().split(" ") if len(pieces) else []
+
+
 def _hashed(pieces: Sequence[str]) -> np.ndarray:
     h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), np.uint64).reshape(-1, 2).copy()
     h[:, 0] |= np.uint64(1) << np.uint64(63)  # 0 is an empty slot
@@ -124,6 +144,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = Pieces(max_bytes)
+        self.newline = self._library(["\n"])[0]
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts straight from the library, and each text's number of ids."""
@@ -134,13 +155,28 @@ class Encoder:
         flat, n = self._library(texts)
         return np.split(flat, np.cumsum(n)[:-1]) if len(n) else []
 
+    def _lines(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pieces, which hold no white space but a blank before them, many in a text.
+
+        Each ends with a newline there, which stands alone before a blank and a piece, before a piece and at the end. Where that
+        doesn't show in the ids, as of an empty piece or by another vocabulary, each piece is a text.
+        """
+        if len(self.newline) == 1:
+            flat, n = self._library(["\n".join(pieces[i : i + LINES]) + "\n" for i in range(0, len(pieces), LINES)])
+            ends = np.flatnonzero(flat == self.newline)
+            last = np.minimum(LINES * np.arange(1, len(n) + 1), len(pieces)) - 1
+            if all(pieces) and len(ends) == len(pieces) and (ends[last] + 1 == np.cumsum(n)).all():
+                return np.delete(flat, ends), np.diff(ends, prepend=-1) - 1
+        return self._library(pieces)
+
     def _places(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each piece begin in the store, and how many they are."""
         known = self.pieces
         if known.nbytes > known.max_bytes:
-            known.clear()
+            known.renew()
         h = _hashed(distinct)
         at = known.find(h)
+        known.again[at[at >= 0]] = True
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new = [distinct[i] for i in missing]
@@ -165,12 +201,18 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         h = _hashed(pieces)
-        missing = np.flatnonzero(self.pieces.find(h) < 0)
-        # NUL marks a piece that has no blank before it: a text's or a line's first. \1 is a newline.
+        at = self.pieces.find(h)
+        self.pieces.again[at[at >= 0]] = True
+        missing = np.flatnonzero(at < 0)
+        # NUL marks a piece that has no blank before it: a text's or a line's first; alone it is an empty line. \1 is a newline.
+        apart = [i for i in missing.tolist() if pieces[i] in ("\0", "\1")]
+        if apart:
+            self.pieces.add(h[apart], *self._library(["\n" if pieces[i] == "\1" else "" for i in apart]))
+            missing = np.setdiff1d(missing, apart)
         for i in range(0, len(missing), 20_000):
             at = missing[i : i + 20_000]
             part = [pieces[k] for k in at]
-            self.pieces.add(h[at], *self._library([p[1:] if p[0] == "\0" else "\n" if p == "\1" else " " + p for p in part]))
+            self.pieces.add(h[at], *self._lines([p[1:] if p[0] == "\0" else " " + p for p in part]))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and n + 1 offsets into it. Null and empty texts have none."""
@@ -187,7 +229,7 @@ class Encoder:
         lists = pc.split_pattern(pc.replace_substring(marked, "\n", " \1 \0"), " ")
         coded = lists.values.dictionary_encode()
         index = coded.indices.to_numpy()
-        starts, n = self._places(coded.dictionary.to_pylist())
+        starts, n = self._places(_listed(coded.dictionary))
         n = n[index]
         ends = np.cumsum(n)
         ids = self.pieces.store[_spread(starts[index], n)]

@@ -114,6 +114,30 @@ def test_encoder_keeps_many_pieces_and_any_length():
     assert e.pieces.count > 10_000 and all((ids[a:b] == w).all() for a, b, w in zip(at, at[1:], want))
 
 
+def test_new_pieces_share_texts_and_those_met_again_stay():
+    import pyarrow as pa
+
+    e = tokens.Encoder(tokens.vocabulary_path())
+    sent, library = [], e._library
+    e._library = lambda texts: (sent.extend(texts), library(texts))[1]
+
+    def texts_sent(text):
+        sent.clear()
+        ids, _ = e.encode(pa.array([text]))
+        n = len(sent)
+        assert ids.tolist() == e.library([text])[0].tolist()
+        return n
+
+    names = [f"w{i:b}" for i in range(3000)]
+    assert 0 < texts_sent(" ".join(names) + ",\n\nw\n.") < 300
+    assert texts_sent(" ".join(names[:500])) == 0
+    e.pieces.max_bytes = 1  # full from now on
+    assert texts_sent(" ".join(names[:500])) == 0 and 500 <= e.pieces.count < 600
+    assert texts_sent(" ".join(names[:500])) > 0  # nothing but what was met again: begun anew
+    e.newline = e.newline + 1  # as where a newline doesn't stand alone
+    assert texts_sent(" ".join(names[500:]) + "\nx") > 2500
+
+
 def test_token_files_hold_all_documents_in_order(spark, tmp_path):
     rng = np.random.default_rng(1)
     texts = [*ODD, *(words(rng, n) for n in (3, 700, 4000))]
